@@ -23,6 +23,21 @@ def op8_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codes(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_conversations, read_conversations
+
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return read_conversations(format_conversations(turns))
+
+
+def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pages import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
