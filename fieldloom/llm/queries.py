@@ -32,6 +32,13 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_conversations(format_conversations(turns))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pages import extract_text
 
