@@ -23,6 +23,18 @@ def op8_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codes(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminations
+
+    return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixture import mix
+
+    return mix(table(spark, sf_dir, "documents")).drop("row_key")
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import format_conversations, read_conversations
 
