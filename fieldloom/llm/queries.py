@@ -44,6 +44,22 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_conversations(format_conversations(turns))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (their source is the host) and pages, whose rows have a null ``doc_id``, under one set of host priors."""
+    from pyspark.sql import functions as F
+
+    from . import language as L
+
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    none = F.lit(None).cast("string")
+    of_docs = docs.select(F.col("doc_id"), F.lit(None).cast("long").alias("page_id"), F.col("source").alias("host"), none.alias("markup"), none.alias("address"), "text")
+    of_pages = pages.select(F.lit(None).cast("long").alias("doc_id"), "page_id", L.host_of(F.col("url")).alias("host"), L.declared_by(F.col("html")).alias("markup"), L.address_language(F.col("url")).alias("address"), L.visible(F.col("html")).alias("text"))
+    key = F.xxhash64("doc_id", "page_id").alias("row_key")
+    rows = of_docs.unionAll(of_pages).withColumn("row_key", key)
+    ids = of_docs.select("doc_id", "page_id").unionAll(of_pages.select("doc_id", "page_id")).withColumn("row_key", key)
+    return ids.join(L.identify(rows, L.fit(docs)), "row_key").drop("row_key")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit, score
 
