@@ -60,6 +60,16 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.join(L.identify(rows, L.fit(docs)), "row_key").drop("row_key")
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .near_duplicates import near_duplicates
+
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_key"), "text")
+    found = near_duplicates(docs, shingle_words=2, num=80, den=100)
+    return found.select(F.col("row_key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit, score
 
