@@ -115,15 +115,19 @@ class Segment:
 
 # -------------------------------------------------------------- tokenization
 class PieceEncoder:
-    """Ids of whole texts through the tokenizer, each distinct word piece encoded once.
+    """Ids of whole texts through the tokenizer, each distinct word encoded once.
 
-    The tokenizer cuts a normalised text into pieces that never affect each
-    other, so a piece's ids can be kept. Texts that hold one of its special
-    tokens, and those whose lower case depends on context, go to the tokenizer
-    whole. The memory of pieces is emptied when it reaches ``keep`` pieces.
+    The tokenizer cuts a normalised text into pieces that hold no white space and
+    never affect each other, so the ids of what stands between white space can be
+    kept. Texts that hold one of its special tokens, and those whose lower case or
+    white space differs between the libraries, go to the tokenizer whole. Once
+    ``keep`` words are known, others are encoded without being kept.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    ODD = "Σİ\x1c\x1d\x1e\x1f\u180e"
+    JOINED = 2048
+
+    def __init__(self, path: str, keep: int = 500_000):
         import json
 
         import regex
@@ -131,7 +135,7 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
-        self.special = [t["content"] for t in spec.get("added_tokens") or []]
+        self.special = [t["content"] for t in spec.get("added_tokens") or []] + list(self.ODD)
         self.find = None
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
         steps = pre.get("pretokenizers", [pre])
@@ -139,46 +143,53 @@ class PieceEncoder:
         if plain and len(steps) == 2 and steps[0].get("type") == "Split" and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and steps[1].get("type") == "ByteLevel":
             self.find = regex.compile(steps[0]["pattern"]["Regex"]).findall
         self.keep = keep
-        self.forget()
-
-    def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.table = np.zeros(1 << 20, dtype=np.uint32)
-        self.first = np.zeros(1 << 16, dtype=np.int64)
-        self.count = np.zeros(1 << 16, dtype=np.int64)
-        self.used = 0
-
-    def learn(self, pieces: list[str]) -> None:
-        for piece, enc in zip(pieces, self.tokenizer.encode_batch(pieces, add_special_tokens=False), strict=True):
-            n, at = len(enc.ids), len(self.known)
-            while self.used + n > len(self.table):
+        self.ends = np.zeros(1 << 18, dtype=np.int64)  # where the ids of word i + 1 end; word 0 has none
+
+    def learn(self, words: list[str]) -> None:
+        """Encodes words in runs joined by a space, and cuts the ids by the piece that each came from."""
+        for at in range(0, len(words), self.JOINED):
+            run = words[at : at + self.JOINED]
+            encoded = self.tokenizer.encode(" ".join(run), add_special_tokens=False)
+            pieces = np.array([len(self.find(w)) for w in run], dtype=np.int64)
+            per_piece = np.bincount(np.array(encoded.word_ids, dtype=np.int64), minlength=int(pieces.sum())) if encoded.ids else np.zeros(0, np.int64)
+            counts = np.diff(np.concatenate([[0], np.cumsum(per_piece)])[np.concatenate([[0], np.cumsum(pieces)])])
+            n, first = len(self.known), int(self.ends[len(self.known)])
+            while first + len(encoded.ids) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            if at >= len(self.first):
-                self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
-            self.table[self.used : self.used + n] = enc.ids
-            self.first[at], self.count[at] = self.used, n
-            self.known[piece] = at
-            self.used += n
+            while n + len(run) >= len(self.ends):
+                self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+            self.table[first : first + len(encoded.ids)] = encoded.ids
+            self.ends[n + 1 : n + 1 + len(run)] = first + np.cumsum(counts)
+            self.known.update(zip(run, range(n, n + len(run)), strict=True))
 
     def __call__(self, text: str) -> np.ndarray:
         import unicodedata
+        from itertools import repeat
 
-        if self.find is None or any(s in text for s in self.special) or "Σ" in text or "İ" in text:
+        if self.find is None or any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
-        pieces = self.find(text.lower())
-        if len(self.known) > self.keep:
-            self.forget()
-        known = self.known
-        if new := set(pieces).difference(known):
-            self.learn(list(new))
-        which = np.fromiter(map(known.__getitem__, pieces), dtype=np.int64, count=len(pieces))
-        counts = self.count[which]
+        words = text.lower().split()
+        kept = len(self.known)
+        which = np.fromiter(map(self.known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        missing = np.flatnonzero(which < 0)
+        if len(missing):
+            own = [words[i] for i in missing]
+            self.learn(list(dict.fromkeys(own)))
+            which[missing] = [self.known[w] for w in own]
+        first = self.ends[which]
+        counts = self.ends[which + 1] - first
         ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.repeat(self.first[which] - (ends - counts), counts) + np.arange(total)
-        return self.table[at]
+        at = np.repeat(first - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
+        ids = self.table[at]
+        if len(missing) and len(self.known) > self.keep:
+            for word in dict.fromkeys(own):
+                del self.known[word]
+            assert len(self.known) == kept
+        return ids
 
 
 @cache
