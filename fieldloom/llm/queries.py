@@ -77,6 +77,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import surrogates
+
+    return surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pages import extract_text
 
