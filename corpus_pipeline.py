@@ -1,15 +1,78 @@
-"""From raw documents to token files in five stages."""
+"""From raw documents to token files in five stages.
+
+Each stage is a function of (spark, docs, sf_dir) that returns a table; all but
+the last return the columns of ``docs``. ``run`` writes each stage's result to
+the shared folder and reads it again before the next. SQL can't express trained
+trigram models, sketches, tilings or tokenizers, so there is no ``ORACLE_SQL``;
+the tests hold every stage against a plain version.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fieldloom.llm import decontaminate, language, mixture, near_duplicates
+from fieldloom.llm.codes import token_codes
+from fieldloom.llm.common import written
+from fieldloom.llm.queries import tokenizer_path
+
+MAX_REPEATS = 1.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labels know; the others go. A document's source is its host."""
+    none = F.lit(None).cast("string")
+    key = F.xxhash64("doc_id", "source", "text")
+    rows = docs.select(key.alias("row_key"), F.col("source").alias("host"), none.alias("markup"), none.alias("address"), "text")
+    found = language.identify(rows, language.fit(docs))
+    refused = found.where(~F.col("accepted")).select(F.col("row_key").alias("_refused"))
+    return docs.join(refused, key == F.col("_refused"), "left_anti")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that with the smallest id; of rows that are the same, one.
+
+    A row without an id is told by its text.
+    """
+    key = F.coalesce(F.col("doc_id"), F.bitwise_not(F.shiftrightunsigned(F.xxhash64("text"), 1)))
+    found = near_duplicates.near_duplicates(docs.select(key.alias("row_key"), "text"))
+    kept = found.where("kept").select(F.col("row_key").alias("_kept")).distinct()
+    rows = docs.withColumn("_key", key).withColumn("_text", F.xxhash64("text"))
+    return rows.join(kept, F.col("_key") == F.col("_kept"), "left_semi").dropDuplicates(["_key", "_text"]).select(*docs.columns)
+
+
+def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return docs.where(decontaminate.is_clean(F.col("text"), benchmark))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mixture of sources reads it, once at least."""
+    return mixture.mixed_documents(docs, max_repeats=MAX_REPEATS)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the documents in ascending id order, and what is read back from them."""
+    return token_codes(docs, tokenizer_path())
+
 
-STAGES: list = []
+STAGES = [
+    ("language", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", decontaminate_documents),
+    ("mixture", mix_sources),
+    ("tokens", write_tokens),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result of all stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = written(docs)
     return docs
