@@ -44,6 +44,12 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_conversations(format_conversations(turns))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import version_fingerprints
+
+    return version_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents (their source is the host) and pages, whose rows have a null ``doc_id``, under one set of host priors."""
     from pyspark.sql import functions as F
