@@ -22,7 +22,7 @@ CELLS = 24  # of the stored fingerprint
 LEAST_CELLS = 15
 ROUNDS = 9
 ATTEMPTS = 12
-SHORT_TEXT = 800
+SHORT_TEXT = 600
 TINY_TEXT = 60
 LONG_PIECE = 400
 SLICE = 200
@@ -34,9 +34,10 @@ CHECK_SEED = 77
 def pieces(text: Column) -> Column:
     """Paragraphs, cut at the ends of their sentences; a long one without ends is cut into slices.
 
-    A text of under SHORT_TEXT characters gives its pairs of neighbouring words
-    instead, as it has too few sentences to tell likeness by, and one of under
-    TINY_TEXT characters its runs of three characters.
+    A text of under SHORT_TEXT characters has too few sentences to tell likeness
+    by, and gives its pairs of neighbouring words instead; one of under TINY_TEXT
+    characters its runs of three characters. Up to twice these lengths a text
+    gives both kinds, so that two versions on either side of a bound share one.
     """
     cutting = F.split(text, ENDS)
     slices = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / SLICE)), lambda i: F.substr(p, (i * SLICE + 1).cast("int"), F.lit(SLICE)))
@@ -44,7 +45,9 @@ def pieces(text: Column) -> Column:
     words = F.split(text, r"\s+")
     pairs = F.transform(words, lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1)))
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - 2)), lambda i: F.substr(text, i, F.lit(3)))
-    return F.filter(F.when(F.length(text) < TINY_TEXT, runs).when(F.length(text) < SHORT_TEXT, pairs).otherwise(long_text), lambda p: F.length(F.trim(p)) > 0)
+    n, none = F.length(text), F.array().cast("array<string>")
+    kinds = ((n < 2 * TINY_TEXT, runs), ((n >= TINY_TEXT) & (n < 2 * SHORT_TEXT), pairs), (n >= SHORT_TEXT, long_text))
+    return F.filter(F.concat(*[F.when(within, kind).otherwise(none) for within, kind in kinds]), lambda p: F.length(F.trim(p)) > 0)
 
 
 def digests(text: Column) -> Column:
