@@ -29,9 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import cut, text_or_empty, written
 
-K = 128
+K = 64
 SHORT_LIST = 24
 BLOCK = 256
+BROADCAST_IDS = 1_000_000
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -126,13 +127,11 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return both > 0 and den * both >= num * (len(a) + len(b) - both)
 
 
-def may_link(a: np.ndarray, b: np.ndarray, na: int, nb: int, num: int, den: int, k: int) -> bool:
-    """Whether the union's sketch leaves a link open: the estimate is within six standard deviations of the threshold or above."""
-    if min(na, nb) * den < num * max(na, nb):
-        return False
+def may_link(a: np.ndarray, b: np.ndarray, num: int, den: int, k: int) -> bool:
+    """Whether two sketches leave a link open: the estimate on their union is within six standard deviations of the threshold or above."""
     union = np.union1d(a, b)[:k]
     if len(union) < k:  # both sets are known whole
-        return True
+        return linked(a, b, num, den)
     both = np.isin(union, a, assume_unique=True) & np.isin(union, b, assume_unique=True)
     p = num / den
     return both.sum() >= k * p - 6 * (k * p * (1 - p)) ** 0.5
@@ -142,33 +141,44 @@ def as_set(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, dtype="<u8")
 
 
-SETS = "row_key long, n long, digest binary, shingles binary"
+SKETCHES = "row_key long, n long, digest binary, sketch binary"
 
 
-def set_batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+def sketch_batches(batches: Iterator[pa.RecordBatch], n: int, k: int) -> Iterator[pa.RecordBatch]:
     from hashlib import blake2b
 
     for batch in batches:
-        sets = [shingle_set(t.as_py(), n).astype("<u8").tobytes() for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("row_key"), pa.array([len(s) // 8 for s in sets], pa.int64()), pa.array([blake2b(s, digest_size=16).digest() for s in sets], pa.binary()), pa.array(sets, pa.binary())],
-            ["row_key", "n", "digest", "shingles"],
-        )
+        sets = [shingle_set(t.as_py(), n).astype("<u8") for t in batch.column("text")]
+        columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([s[:k].tobytes() for s in sets], pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column("row_key"), *columns], ["row_key", "n", "digest", "sketch"])
 
 
-def classes_of(docs: DataFrame, shingle_words: int) -> tuple[DataFrame, DataFrame]:
-    """Members (row_key, n, digest) and classes (cls, n, digest, shingles): one class for each different set that isn't empty.
+def classes_of(docs: DataFrame, shingle_words: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """Members (row_key, n, digest) and classes (digest, cls, n, sketch): one class for each different set that isn't empty.
 
-    The number of a class is its smallest row key. Classes are chosen on digests
-    before the sets are joined to them, so a set that many rows share is
-    exchanged once.
+    The number of a class is its smallest row key. Copies are combined before the
+    exchange, and the sets themselves, larger than the texts, aren't kept.
     """
     rows = docs.select("row_key", text_or_empty().alias("text"))
-    sets = written(rows.mapInArrow(lambda b: set_batches(b, shingle_words), SETS))
-    members = sets.select("row_key", "n", "digest")
-    first = members.where("n > 0").groupBy("digest").agg(F.min("row_key").alias("row_key"))
-    classes = written(sets.join(first.select("row_key"), "row_key", "left_semi").where("n > 0").groupBy("digest").agg(F.min("row_key").alias("cls"), F.first("n").alias("n"), F.first("shingles").alias("shingles")))
-    return members, classes
+    sketches = written(rows.mapInArrow(lambda b: sketch_batches(b, shingle_words, k), SKETCHES))
+    classes = sketches.where("n > 0").groupBy("digest").agg(F.min("row_key").alias("cls"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    return sketches.select("row_key", "n", "digest"), written(classes)
+
+
+def sets_of(docs: DataFrame, ids: DataFrame, shingle_words: int) -> DataFrame:
+    """(cls, shingles): the full sets of the documents in ``ids`` (cls), made from their texts again.
+
+    Where the ids are few enough to send to every task, no text is exchanged.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array([shingle_set(t.as_py(), shingle_words).astype("<u8").tobytes() for t in batch.column("text")], pa.binary())], ["cls", "shingles"])
+
+    ids = cut(ids.distinct())
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    rows = docs.select(F.col("row_key").alias("cls"), text_or_empty().alias("text")).join(wanted, "cls", "left_semi")
+    return written(rows.mapInArrow(task, "cls long, shingles binary").dropDuplicates(["cls"]))
 
 
 def index_of(classes: DataFrame, num: int, den: int, k: int) -> DataFrame:
@@ -176,14 +186,13 @@ def index_of(classes: DataFrame, num: int, den: int, k: int) -> DataFrame:
 
     def retained(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            sketches = [as_set(s)[:k].astype(np.int64) for s in frame["shingles"]]
-            sizes = [len(s) for s in sketches]
-            yield pd.DataFrame({"cls": np.repeat(frame["cls"].to_numpy(), sizes), "n": np.repeat(frame["n"].to_numpy(), sizes), "value": np.concatenate(sketches) if sketches else np.zeros(0, np.int64)})
+            sketches = [as_set(s).astype(np.int64) for s in frame["sketch"]]
+            yield pd.DataFrame({"cls": np.repeat(frame["cls"].to_numpy(), [len(s) for s in sketches]), "value": np.concatenate(sketches) if sketches else np.zeros(0, np.int64)})
 
-    values = classes.select("cls", "n", "shingles").mapInPandas(retained, "cls long, n long, value long")
+    values = classes.select("cls", "sketch").mapInPandas(retained, "cls long, value long")
     frequencies = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     counted = values.join(frequencies, "value")  # a value of one class meets no other
-    packed = counted.groupBy("cls").agg(F.first("n").alias("n"), F.sum("df").alias("hub"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values"))
+    packed = counted.groupBy("cls").agg(F.sum("df").alias("hub"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values")).join(classes.select("cls", "n"), "cls")
     # values that no other class holds are the rarest of all, and use up their share of the places
     whole = F.least("n", F.lit(k))
     p = num / den
@@ -206,21 +215,21 @@ def pairs_of(index: DataFrame, num: int, den: int, short_list: int) -> tuple[Dat
     return direct.unionAll(stars).distinct(), members
 
 
-def verified(pairs: DataFrame, classes: DataFrame, num: int, den: int, k: int) -> DataFrame:
-    """The pairs that are links."""
-    sets = classes.select("cls", "shingles")
-    left = pairs.join(sets.toDF("a", "sa"), "a")
-    both = left.join(sets.toDF("b", "sb"), "b")
+def with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """(a, b, x, y): ``pairs`` with the column of both classes."""
+    of = table.select("cls", column)
+    return pairs.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select("a", "b", "x", "y")
+
+
+def passing(rows: DataFrame, test) -> DataFrame:
+    """The pairs of ``rows`` (a, b, x, y) for which ``test(x, y)`` holds."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                p, q = as_set(x.as_py()), as_set(y.as_py())
-                keep.append(may_link(p[:k], q[:k], len(p), len(q), num, den, k) and linked(p, q, num, den))
+            keep = [test(as_set(x.as_py()), as_set(y.as_py())) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(task, "a long, b long")
+    return rows.mapInArrow(task, "a long, b long")
 
 
 class Forest:
@@ -279,7 +288,7 @@ def block_links(frame: pd.DataFrame, num: int, den: int, k: int) -> list[tuple[i
     return found
 
 
-def remaining(members: DataFrame, labels: DataFrame, classes: DataFrame, num: int, den: int, k: int, block: int) -> DataFrame:
+def remaining(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, num: int, den: int, k: int, block: int) -> DataFrame:
     """Links (a, b) that neither short lists nor pivots show: of classes outside their pivot's component.
 
     A pivot's classes are dealt into blocks by size, and only blocks whose sizes
@@ -308,7 +317,7 @@ def remaining(members: DataFrame, labels: DataFrame, classes: DataFrame, num: in
     rest = rest.withColumn("to", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1))).join(towards, ["pivot", "to"]).withColumn("u", F.explode(F.sequence(F.lit(0), F.col("open_blocks") - 1)))
     right = rest.select("pivot", F.col("to").alias("size"), "u", F.col("size").alias("other"), "x", "cls", "component", "n", F.lit(False).alias("open"))
     dealt = left.select(*[F.col(c) if c not in ("u", "x") else F.col(c).cast("long").alias(c) for c in left.columns]).unionAll(right.select(*[F.col(c) if c not in ("u", "x") else F.col(c).cast("long").alias(c) for c in left.columns]))
-    filled = dealt.join(classes.select("cls", "shingles"), "cls")
+    filled = dealt.join(sets, "cls")
 
     def task(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(block_links(frame, num, den, k), columns=["a", "b"]).astype("int64")
@@ -349,11 +358,14 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, num: int = 4, den:
     and are linked with nothing; a text of fewer words than a shingle has one
     shingle, all of it. An empty table gives no rows. Other columns are not read.
     """
-    members, classes = classes_of(docs, shingle_words)
+    members, classes = classes_of(docs, shingle_words, k)
     pairs, lists = pairs_of(index_of(classes, num, den, k), num, den, short_list)
-    links = cut(verified(pairs, classes, num, den, k))
+    pairs = cut(passing(with_both(pairs, classes, "sketch"), lambda x, y: may_link(x, y, num, den, k)))
+    ids = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select("b")).unionAll(lists.select("cls"))
+    sets = sets_of(docs, ids, shingle_words)
+    links = cut(passing(with_both(pairs, sets, "shingles"), lambda x, y: linked(x, y, num, den)))
     labels = cut(components(links))
-    rest = cut(remaining(lists, labels, classes, num, den, k, block))
+    rest = cut(remaining(lists, labels, classes, sets, num, den, k, block))
     if not rest.isEmpty():
         labels = cut(components(labels.select(F.col("cls").alias("a"), F.col("component").alias("b")).unionAll(rest)))
     # a class's number is its smallest row key, and a component's its smallest class
