@@ -149,7 +149,7 @@ def decode_streams(encoded: DataFrame, by: str, most: int = 4096) -> DataFrame:
     def task(frames):
         for frame in frames:
             for row in frame.itertuples(index=False):
-                values = decode(row.stream, row.n, list(row.bounds), row.low)
+                values = decode(row.stream, int(row.n), [int(b) for b in row.bounds], int(row.low))
                 yield pd.DataFrame({by: getattr(row, by), "pos": row.chunk * most + np.arange(len(values)), "sym": values})
 
     return encoded.mapInPandas(task, f"{by} {kind}, pos long, sym long")

@@ -32,13 +32,13 @@ def neighbours(queries: DataFrame, points: DataFrame, k: int, self_too: bool = T
     block = 512
     q = queries.withColumn("_block", F.floor(F.row_number().over(W.partitionBy("cloud", F.pmod(F.xxhash64("p"), F.lit(16))).orderBy("p")) / block) * 16 + F.pmod(F.xxhash64("p"), F.lit(16)))
     blocks = q.select("cloud", "_block").distinct()
-    right = points.join(blocks, "cloud")
+    right = others(points).withColumnRenamed("cloud", "b_cloud").join(blocks.toDF("b_cloud", "b_block"), "b_cloud")
 
     def nearest(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"cloud": [], "p": [], "b_p": [], "d2": [], "rank": []})
-        b = b.sort_values("p")
-        xs, ys, names = a[list(AXES)].to_numpy(float), b[list(AXES)].to_numpy(float), b["p"].to_numpy()
+        b = b.sort_values("b_p")
+        xs, ys, names = a[list(AXES)].to_numpy(float), b[[f"b_{c}" for c in AXES]].to_numpy(float), b["b_p"].to_numpy()
         out = []
         for p, x in zip(a["p"], xs, strict=True):
             e = x - ys
@@ -50,7 +50,7 @@ def neighbours(queries: DataFrame, points: DataFrame, k: int, self_too: bool = T
         return pd.DataFrame(out, columns=["cloud", "p", "b_p", "d2", "rank"])
 
     kind = dict(queries.dtypes)["cloud"]
-    return q.groupBy("cloud", "_block").cogroup(right.groupBy("cloud", "_block")).applyInPandas(nearest, f"cloud {kind}, p long, b_p long, d2 double, rank int")
+    return q.groupBy("cloud", "_block").cogroup(right.groupBy("b_cloud", "b_block")).applyInPandas(nearest, f"cloud {kind}, p long, b_p long, d2 double, rank int")
 
 
 def cell(c: str, radius: float) -> Column:

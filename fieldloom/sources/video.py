@@ -21,7 +21,7 @@ def raw_video_info(name: Column) -> list[Column]:
         part(name, r"\d+x(\d+)").cast("int").alias("height"),
         part(name, r"(?i)(\d+(?:\.\d+)?)(?:hz|fps)").cast("double").alias("fps"),
         F.when(both, F.raise_error(F.concat(F.lit("two bit depths in "), name))).otherwise(F.coalesce(bits, of_format, F.lit("8")).cast("int")).alias("bits"),
-        part(name, r"(?i)p?(400|420|422|444)").alias("chroma"),
+        part(name, r"(?i)(?:p|yuv)(400|420|422|444)").alias("chroma"),
         F.lower(part(name, r"(?i)[0-9]([lb]e)(?![a-z])")).alias("order"),
     ]
 
