@@ -22,7 +22,8 @@ CELLS = 24  # of the stored fingerprint
 LEAST_CELLS = 15
 ROUNDS = 9
 ATTEMPTS = 12
-SHORT_TEXT = 600
+BROADCAST_PAIRS = 1_000_000
+SHORT_TEXT = 300
 TINY_TEXT = 60
 LONG_PIECE = 400
 SLICE = 200
@@ -43,7 +44,7 @@ def pieces(text: Column) -> Column:
     slices = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / SLICE)), lambda i: F.substr(p, (i * SLICE + 1).cast("int"), F.lit(SLICE)))
     long_text = F.flatten(F.transform(cutting, lambda p: F.when(F.length(p) > LONG_PIECE, slices(p)).otherwise(F.array(p))))
     words = F.split(text, r"\s+")
-    pairs = F.transform(words, lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1)))
+    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.length(text) + 1), lambda w, after: F.concat_ws(" ", w, after))
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - 2)), lambda i: F.substr(text, i, F.lit(3)))
     n, none = F.length(text), F.array().cast("array<string>")
     kinds = ((n < 2 * TINY_TEXT, runs), ((n >= TINY_TEXT) & (n < 2 * SHORT_TEXT), pairs), (n >= SHORT_TEXT, long_text))
@@ -64,31 +65,6 @@ def position(d: Column, table: int, width: Column, seed: Column) -> Column:
     return F.pmod(F.xxhash64(d, F.lit(table), seed), width) + width * table
 
 
-# ------------------------------------------------------------- fingerprints
-def fingerprint(text: Column) -> Column:
-    """The sketch of a text as a string."""
-    return stored(F.xxhash64(text), digests(text))
-
-
-def stored(text_hash: Column, found: Column, cells: int = CELLS) -> Column:
-    """A sketch of the digests ``found`` as a string: a digest of the text, the count of pieces, the cells.
-
-    Equal texts have equal fingerprints; the digest of the text tells apart texts
-    that have the same pieces in another order.
-    """
-    width, seed = F.lit(cells // TABLES).cast("long"), F.lit(0)
-    placed = F.transform(found, lambda d: F.struct(*[position(d, k, width, seed).alias(f"p{k}") for k in range(TABLES)], d.alias("d"), check(d).alias("c")))
-
-    def cell(j: Column) -> Column:
-        here = F.filter(placed, lambda x: (x["p0"] == j) | (x["p1"] == j) | (x["p2"] == j))
-        start = F.struct(F.lit(0).cast("long").alias("d"), F.lit(0).cast("long").alias("c"))
-        xors = F.aggregate(here, start, lambda a, x: F.struct(a["d"].bitwiseXOR(x["d"]).alias("d"), a["c"].bitwiseXOR(x["c"]).alias("c")))
-        return F.concat_ws(".", F.hex(F.size(here).cast("long")), F.hex(xors["d"]), F.hex(xors["c"]))
-
-    body = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda j: cell(j.cast("long"))), ",")
-    return F.concat_ws(":", F.lit(f"iblt{cells}"), F.hex(text_hash), F.size(found).cast("string"), body)
-
-
 # --------------------------------------------------------------- comparison
 STATE = ("n", "key", "chk")
 
@@ -132,9 +108,26 @@ def peel(cells: DataFrame, by: list[str], rounds: int = ROUNDS) -> DataFrame:
     return cells
 
 
+def stored(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by…, cells): the sketch of the set ``a`` of each row as a string, CELLS cells at most, the empty ones left out."""
+    sized = rows.select(*by, "a", F.array().cast("array<bigint>").alias("b"), F.lit(CELLS // TABLES).cast("long").alias("width"), F.lit(0).alias("seed"))
+    cells = difference_cells(sized, by).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("cell", *STATE))).alias("cells"))
+    shown = F.transform("cells", lambda c: F.concat_ws(".", *[F.hex(c[x]) for x in ("cell", *STATE)]))
+    return cells.select(*by, F.array_join(shown, ",").alias("cells"))
+
+
+def fingerprint(text_hash: Column, pieces_found: Column, cells: Column) -> Column:
+    """A document's fingerprint: a digest of the text, the count of its pieces, its cells.
+
+    Equal texts have equal fingerprints; the digest of the text tells apart texts
+    that have the same pieces in another order.
+    """
+    return F.concat_ws(":", F.lit(f"iblt{CELLS}"), F.hex(text_hash), F.size(pieces_found).cast("string"), F.coalesce(cells, F.lit("")))
+
+
 def width_for(most: Column, attempt: int) -> Column:
     """Cells of each table for differences of up to ``most`` digests; twice as many with each attempt."""
-    return F.greatest(F.lit(LEAST_CELLS // TABLES), F.ceil(most * (0.5 * 2**attempt) + 1)).cast("long")
+    return F.greatest(F.lit(LEAST_CELLS // TABLES), F.ceil(most * (0.6 * 2**attempt) + 1)).cast("long")
 
 
 def compare(pairs: DataFrame, by: list[str]) -> DataFrame:
@@ -159,9 +152,10 @@ def compare(pairs: DataFrame, by: list[str]) -> DataFrame:
         good = counts.where("left = 0").drop("left")
         done = good if done is None else done.unionAll(good)
         failed = counts.where("left > 0").select(*by)
-        if failed.isEmpty():
+        n = failed.count()
+        if not n:
             break
-        rest = rest.join(failed, by, "left_semi")
+        rest = rest.join(F.broadcast(failed) if n <= BROADCAST_PAIRS else failed, by, "left_semi")
     # pairs without a difference leave no cell
     return done
 
@@ -176,7 +170,7 @@ def likeness(n_a: Column, n_b: Column, only_a: Column, only_b: Column) -> Column
 # ------------------------------------------------------------------ versions
 def followers(docs: DataFrame) -> DataFrame:
     """(doc_id, half, next_id): each document's half length and the next id; the last is followed by the first."""
-    rows = docs.select("doc_id", F.floor(F.length("text") / 2).cast("int").alias("half"))
+    rows = docs.groupBy("doc_id").agg(F.min(F.length("text")).alias("chars")).select("doc_id", F.floor(F.col("chars") / 2).cast("int").alias("half"))
     placed = cut(rows.repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()))
     bounds = placed.groupBy("part").agg(F.min("doc_id").alias("first"))
     # one row per partition
@@ -194,15 +188,15 @@ def version_fingerprints(docs: DataFrame) -> DataFrame:
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited and near_next. Null texts are empty; an empty text has no pieces,
     and is like another empty one. Rows without a ``doc_id`` are left out, and of
-    rows that repeat one, that with the smallest text counts. An empty table gives
+    rows that repeat one, that with the shortest text, the smallest of equals, counts. An empty table gives
     no rows. Other columns are not read.
 
     Texts are exchanged once by id, and of each the part that the document before
     needs once more.
     """
     rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", text_or_empty().alias("text"))
-    unique = rows.groupBy("doc_id").agg(F.min("text").alias("text"))
-    edges = cut(followers(unique))
+    unique = rows.groupBy("doc_id").agg(F.min(F.struct(F.length("text"), "text")).alias("least")).select("doc_id", F.col("least.text").alias("text"))
+    edges = cut(followers(rows))
     told = unique.join(edges.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("to"), "half"), "doc_id")
     told = told.select(F.col("to").alias("doc_id"), "half", F.substr("text", F.lit(1), F.col("half")).alias("instead"), digests(F.col("text")).alias("next_set"))
     both = unique.join(told, "doc_id")
@@ -214,14 +208,17 @@ def version_fingerprints(docs: DataFrame) -> DataFrame:
     counts = compare(pairs, ["doc_id", "side"])
     gone = lambda side, name: F.sum(F.when(F.col("side") == side, F.col(name)).otherwise(0))
     wide = counts.groupBy("doc_id").agg(*[gone(s, n).alias(f"{n}_{s}") for s in (0, 1) for n in ("only_a", "only_b")])
-    out = marks.join(wide, "doc_id", "left")
+    texts = F.array(F.struct(F.lit(0).alias("side"), F.col("own_set").alias("a")), F.struct(F.lit(1).alias("side"), F.col("edited_set").alias("a")))
+    cells = stored(marks.select("doc_id", F.explode(texts).alias("s")).select("doc_id", "s.side", "s.a"), ["doc_id", "side"])
+    cells = cells.groupBy("doc_id").agg(*[F.max(F.when(F.col("side") == s, F.col("cells"))).alias(f"cells_{s}") for s in (0, 1)])
+    out = marks.join(wide, "doc_id", "left").join(cells, "doc_id", "left")
     n, zero = lambda c: F.size(c).cast("long"), lambda c: F.coalesce(F.col(c), F.lit(0))
     return out.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        stored(F.col("own_hash"), F.col("own_set")).alias("fingerprint"),
-        stored(F.col("edited_hash"), F.col("edited_set")).alias("edited_fingerprint"),
+        fingerprint(F.col("own_hash"), F.col("own_set"), F.col("cells_0")).alias("fingerprint"),
+        fingerprint(F.col("edited_hash"), F.col("edited_set"), F.col("cells_1")).alias("edited_fingerprint"),
         likeness(n("own_set"), n("edited_set"), zero("only_a_0"), zero("only_b_0")).alias("near_edited"),
         likeness(n("own_set"), n("next_set"), zero("only_a_1"), zero("only_b_1")).alias("near_next"),
     )
