@@ -4,7 +4,8 @@ Each stage is a function of (spark, docs, sf_dir) that returns a table; all but
 the last return the columns of ``docs``. ``run`` writes each stage's result to
 the shared folder and reads it again before the next. SQL can't express trained
 trigram models, sketches, tilings or tokenizers, so there is no ``ORACLE_SQL``;
-the tests hold every stage against a plain version.
+the tests hold every stage against a plain version. Column names that begin with
+``_fl_`` are reserved; other extra columns are passed on.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     key = F.xxhash64("doc_id", "source", "text")
     rows = docs.select(key.alias("row_key"), F.col("source").alias("host"), none.alias("markup"), none.alias("address"), "text")
     found = language.identify(rows, language.fit(docs))
-    refused = found.where(~F.col("accepted")).select(F.col("row_key").alias("_refused"))
-    return docs.join(refused, key == F.col("_refused"), "left_anti")
+    refused = found.where(~F.col("accepted")).select(F.col("row_key").alias("_fl_refused"))
+    return docs.join(refused, key == F.col("_fl_refused"), "left_anti")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +38,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     key = F.coalesce(F.col("doc_id"), F.bitwise_not(F.shiftrightunsigned(F.xxhash64("text"), 1)))
     found = near_duplicates.near_duplicates(docs.select(key.alias("row_key"), "text"))
-    kept = found.where("kept").select(F.col("row_key").alias("_kept")).distinct()
-    rows = docs.withColumn("_key", key).withColumn("_text", F.xxhash64("text"))
-    return rows.join(kept, F.col("_key") == F.col("_kept"), "left_semi").dropDuplicates(["_key", "_text"]).select(*docs.columns)
+    kept = found.where("kept").select(F.col("row_key").alias("_fl_kept")).distinct()
+    rows = docs.withColumn("_fl_key", key).withColumn("_fl_text", F.xxhash64("text"))
+    return rows.join(kept, F.col("_fl_key") == F.col("_fl_kept"), "left_semi").dropDuplicates(["_fl_key", "_fl_text"]).select(*docs.columns)
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

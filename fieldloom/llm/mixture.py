@@ -157,5 +157,5 @@ def row_key():
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with each row as often as the mixture reads it, all columns kept."""
     readings = mix(docs, **options).select("row_key")
-    keyed = docs.withColumn("_row_key", row_key())
-    return keyed.join(readings, keyed["_row_key"] == readings["row_key"]).select(*[keyed[c] for c in docs.columns])
+    keyed = docs.withColumn("_fl_row_key", row_key())
+    return keyed.join(readings, keyed["_fl_row_key"] == readings["row_key"]).select(*[keyed[c] for c in docs.columns])

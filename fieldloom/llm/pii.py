@@ -206,13 +206,13 @@ def surrogates(docs: DataFrame, key: str = KEY, most_listed: int = 500) -> DataF
     """(row columns, text, n_entities, n_<kind>…): ``docs`` with each entity in ``text`` replaced.
 
     All rows and all columns but ``text`` stay as they are; counts that clash with
-    a column's name take its place. A null text stays null and an empty one empty,
+    a column's name take its place (names that begin with ``_fl_`` are reserved). A null text stays null and an empty one empty,
     with no entities. An entity is replaced in each row that repeats it, in whole
     texts of any length. ``docs`` needs a ``doc_id`` column only where more than
     ``most_listed`` entities draw twice; their draws are then joined by entity.
     """
     again = cut(attempts(docs.select(text_or_empty().alias("text")), key))
-    rows = docs.withColumn("_found", mentions(text_or_empty())).withColumn("_parts", F.split(text_or_empty(), PATTERN, -1))
+    rows = docs.withColumn("_fl_found", mentions(text_or_empty())).withColumn("_fl_parts", F.split(text_or_empty(), PATTERN, -1))
     n = again.limit(most_listed + 1).count()
     if n == 0:
         attempt_of = lambda kind, said: F.lit(0)
@@ -220,16 +220,16 @@ def surrogates(docs: DataFrame, key: str = KEY, most_listed: int = 500) -> DataF
         table = F.create_map(*[x for r in again.collect() for x in (F.lit(f"{r['kind']}|{r['plain']}"), F.lit(r["attempt"]))])
         attempt_of = lambda kind, said: F.coalesce(F.element_at(table, F.concat_ws("|", kind, said)), F.lit(0))
     else:
-        said = docs.select(F.xxhash64("doc_id", "text").alias("_key"), F.explode(F.array_distinct(mentions(text_or_empty()))).alias("value"))
-        said = said.withColumn("kind", kind_of(F.col("value"))).withColumn("plain", plain(F.col("value"), F.col("kind"))).select("_key", "kind", "plain").distinct()
-        own = said.join(again, ["kind", "plain"]).groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "plain"), "attempt"))).alias("_again"))
-        rows = rows.withColumn("_key", F.xxhash64("doc_id", "text")).join(own, "_key", "left")
-        attempt_of = lambda kind, said: F.coalesce(F.element_at("_again", F.concat_ws("|", kind, said)), F.lit(0))
-    typed = rows.withColumn("_kinds", F.transform("_found", kind_of))
-    drawn = F.zip_with("_found", "_kinds", lambda v, k: surrogate(v, k, key, attempt_of(k, plain(v, k))))
-    typed = typed.withColumn("_drawn", F.when(F.size("_found") > 0, drawn).otherwise(F.array().cast("array<string>")))
-    joined = F.array_join(F.flatten(F.zip_with("_parts", "_drawn", lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))), "")
-    text = F.when(F.size("_found") > 0, joined).otherwise(F.col("text"))
-    counts = [F.size(F.array_remove(F.array_distinct(F.transform("_kinds", lambda k, i: F.when(k == F.lit(name), i).otherwise(-1))), -1)).cast("long").alias(f"n_{name}") for name in KINDS]
+        said = docs.select(F.xxhash64("doc_id", "text").alias("_fl_key"), F.explode(F.array_distinct(mentions(text_or_empty()))).alias("value"))
+        said = said.withColumn("kind", kind_of(F.col("value"))).withColumn("plain", plain(F.col("value"), F.col("kind"))).select("_fl_key", "kind", "plain").distinct()
+        own = said.join(again, ["kind", "plain"]).groupBy("_fl_key").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "plain"), "attempt"))).alias("_fl_again"))
+        rows = rows.withColumn("_fl_key", F.xxhash64("doc_id", "text")).join(own, "_fl_key", "left")
+        attempt_of = lambda kind, said: F.coalesce(F.element_at("_fl_again", F.concat_ws("|", kind, said)), F.lit(0))
+    typed = rows.withColumn("_fl_kinds", F.transform("_fl_found", kind_of))
+    drawn = F.zip_with("_fl_found", "_fl_kinds", lambda v, k: surrogate(v, k, key, attempt_of(k, plain(v, k))))
+    typed = typed.withColumn("_fl_drawn", F.when(F.size("_fl_found") > 0, drawn).otherwise(F.array().cast("array<string>")))
+    joined = F.array_join(F.flatten(F.zip_with("_fl_parts", "_fl_drawn", lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))), "")
+    text = F.when(F.size("_fl_found") > 0, joined).otherwise(F.col("text"))
+    counts = [F.size(F.array_remove(F.array_distinct(F.transform("_fl_kinds", lambda k, i: F.when(k == F.lit(name), i).otherwise(-1))), -1)).cast("long").alias(f"n_{name}") for name in KINDS]
     names = {"n_entities", *(f"n_{k}" for k in KINDS)}
-    return typed.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in names], F.size("_found").cast("long").alias("n_entities"), *counts)
+    return typed.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in names], F.size("_fl_found").cast("long").alias("n_entities"), *counts)
