@@ -52,7 +52,7 @@ def test_other_rows_stay(got, docs):
 
 
 def test_collisions_draw_again(spark, monkeypatch):
-    monkeypatch.setattr(P, "byte", lambda h, i: F.pmod(F.conv(F.substring(h, 1, 2), 16, 10).cast("int"), F.lit(12)))  # few different draws
+    monkeypatch.setattr(P, "byte", lambda h, i: F.pmod(F.conv(F.substring(h, 1, 2), 16, 10).cast("int"), F.lit(60)))  # few different draws
     rows = [(i, f"from 10.0.{i}.1 on") for i in range(10)]
     got = P.surrogates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert got.select("text").distinct().count() == 10
