@@ -45,6 +45,11 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)``, with ``value`` worked out once however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def starts(sizes: DataFrame, outer: str, inner: str, size: str) -> DataFrame:
     """(outer, inner, start): the sum of ``size`` over all rows before, in the order (outer, inner).
 

@@ -12,12 +12,10 @@ first draw again.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import cut, let, text_or_empty
 
 # Titles by the gender that they tell, in Latin, Cyrillic and Greek script.
 MALE = "Mr Herr Herrn Monsieur Señor Sr Signor Господин Κύριος".split()
@@ -115,30 +113,54 @@ def luhn(number: Column) -> Column:
 def surrogate(value: Column, kind: Column, key: str, attempt: Column) -> Column:
     """The replacement of one mention; mentions with the same plain spelling differ in layout and case only."""
     own = digest(key, kind, plain(value, kind), attempt.cast("string"))
-    # mail: a word and the layout of the digits after it; the domain has a word of its own, under a name kept for examples
+    made = {"email": mail, "ip": network, "phone": phone, "card": card, "key": secret}
+    hashed = lambda make: let(own, lambda h: make(value, h, key))
+    out = F.when(kind == "name", person(value, key, attempt))
+    for name, make in made.items():
+        out = out.when(kind == name, hashed(make))
+    return out
+
+
+def mail(value: Column, own: Column, key: str) -> Column:
+    """A word and the layout of the digits after it; the domain has a word of its own, under a name kept for examples."""
     local, domain = F.substring_index(value, "@", 1), F.lower(F.substring_index(value, "@", -1))
     tail = F.regexp_extract(local, r"([._-]?\d*)$", 1)
-    mail_word = letters(own, 8)
     shout = (F.upper(local) == local) & (F.lower(local) != local)
-    mail_word = F.when(shout, F.upper(mail_word)).otherwise(mail_word)
-    mail = F.concat(mail_word, digits(tail, own), F.lit("@"), letters(digest(key, F.lit("domain"), domain), 6), F.lit(".example."), F.substring_index(domain, ".", -1))
-    octets = F.concat_ws(".", *[(F.pmod(byte(own, F.lit(i)), F.lit(223 if i == 0 else 254)) + 1).cast("string") for i in range(4)])
-    # numbers: the country code and the issuer's digit stay, and a number that passes its check gives one that does
+    word = let(letters(own, 8), lambda w: F.when(shout, F.upper(w)).otherwise(w))
+    host = let(digest(key, F.lit("domain"), domain), lambda h: letters(h, 6))
+    return F.concat(word, digits(tail, own), F.lit("@"), host, F.lit(".example."), F.substring_index(domain, ".", -1))
+
+
+def network(value: Column, own: Column, key: str) -> Column:
+    return F.concat_ws(".", *[(F.pmod(byte(own, F.lit(i)), F.lit(223 if i == 0 else 254)) + 1).cast("string") for i in range(4)])
+
+
+def phone(value: Column, own: Column, key: str) -> Column:
+    """The country code stays."""
     code = F.regexp_extract(value, r"^(\+\d{1,3}[^\w\s]{0,3})", 1)
-    phone = F.concat(code, digits(F.substr(value, F.length(code) + 1, F.length(value)), own))
-    head = F.substring(value, 1, 1)
-    drawn = F.concat(head, digits(F.substr(value, F.lit(2), F.length(value)), own))
-    body = F.substr(drawn, F.lit(1), F.length(drawn) - 1)
-    checked = F.concat(body, F.pmod(F.lit(10) - F.pmod(luhn(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string"))
-    card = F.when(luhn(value) % 10 == 0, checked).otherwise(drawn)
-    bare_hex = value.rlike("^[0-9a-fA-F]+$")
-
-    def key_sign(c: Column, i: Column) -> Column:
+    return F.concat(code, digits(F.substr(value, F.length(code) + 1, F.length(value)), own))
+
+
+def card(value: Column, own: Column, key: str) -> Column:
+    """The issuer's digit stays, and a number that passes its check gives one that does."""
+    drawn = F.concat(F.substring(value, 1, 1), digits(F.substr(value, F.lit(2), F.length(value)), own))
+    ended = lambda body: F.concat(body, F.pmod(F.lit(10) - F.pmod(luhn(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string"))
+    checked = lambda d: let(F.substr(d, F.lit(1), F.length(d) - 1), ended)
+    return let(drawn, lambda d: F.when(luhn(value) % 10 == 0, checked(d)).otherwise(d))
+
+
+def secret(value: Column, own: Column, key: str) -> Column:
+    """Hexadecimal keys stay so; other signs keep their class and case."""
+    bare_hex, shout = value.rlike("^[0-9a-fA-F]+$"), F.upper(value) == value
+
+    def sign(c: Column, i: Column) -> Column:
         n = byte(own, i)
-        low = F.when(bare_hex, pick(list("0123456789abcdef"), n)).otherwise(pick(list("abcdefghijklmnopqrstuvwxyz"), n + byte(own, i + 29)))
-        return F.when(bare_hex & c.rlike("[0-9a-fA-F]"), F.when(F.upper(value) == value, F.upper(low)).otherwise(low)).when(c.between("0", "9"), F.pmod(n, F.lit(10)).cast("string")).when(c.between("a", "z"), low).when(c.between("A", "Z"), F.upper(low)).otherwise(c)
+        nibble = F.substr(F.lit("0123456789abcdef"), F.pmod(n, F.lit(16)) + 1, F.lit(1))
+        letter = F.substr(F.lit("abcdefghijklmnopqrstuvwxyz"), F.pmod(n + byte(own, i + 29), F.lit(26)) + 1, F.lit(1))
+        plain_sign = F.when(c.between("0", "9"), F.pmod(n, F.lit(10)).cast("string")).when(c.between("a", "z"), letter).when(c.between("A", "Z"), F.upper(letter)).otherwise(c)
+        return F.when(bare_hex, F.when(shout, F.upper(nibble)).otherwise(nibble)).otherwise(plain_sign)
 
-    return F.when(kind == "email", mail).when(kind == "ip", octets).when(kind == "phone", phone).when(kind == "card", card).when(kind == "name", person(value, key, attempt)).otherwise(each_sign(value, key_sign))
+    return each_sign(value, sign)
 
 
 def person(value: Column, key: str, attempt: Column) -> Column:
@@ -152,16 +174,19 @@ def person(value: Column, key: str, attempt: Column) -> Column:
     bare = F.regexp_replace(title, r"\.", "")
 
     def made(name: Column, role: str, genders: tuple[str, ...]) -> Column:
-        h = digest(key, F.lit(role), F.lower(name), attempt.cast("string"))
         script = F.when(name.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(name.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
         gender = F.lit("family") if role == "family" else F.when(bare.isin(MALE), "male").when(bare.isin(FEMALE), "female").otherwise("either")
-        choice = reduce(
-            lambda rest, case: F.when((script == case[0]) & (gender == case[1]), F.concat(pick(ONSETS[case[0]], byte(h, F.lit(0))), pick(ONSETS[case[0]], byte(h, F.lit(1))), pick(ONSETS[case[0]], byte(h, F.lit(3))), pick(ENDINGS[case], byte(h, F.lit(2))))).otherwise(rest),
-            [c for c in ENDINGS if c[1] in genders],
-            F.lit(""),
-        )
+
+        def spelt(h: Column) -> Column:
+            out = F.lit("")
+            for case in (c for c in ENDINGS if c[1] in genders):
+                word = F.concat(*[pick(ONSETS[case[0]], byte(h, F.lit(i))) for i in (0, 1, 3)], pick(ENDINGS[case], byte(h, F.lit(2))))
+                out = F.when((script == case[0]) & (gender == case[1]), word).otherwise(out)
+            return out
+
         shout = (F.upper(name) == name) & (F.length(name) > 1)
-        return F.when(shout, F.upper(choice)).otherwise(F.concat(F.upper(F.substring(choice, 1, 1)), F.substr(choice, F.lit(2), F.length(choice))))
+        word = let(digest(key, F.lit(role), F.lower(name), attempt.cast("string")), spelt)
+        return let(word, lambda w: F.when(shout, F.upper(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2), F.length(w)))))
 
     given, family = made(F.get(names, 0), "given", ("male", "female", "either")), made(F.element_at(names, -1), "family", ("family",))
     return F.concat(title, F.lit(" "), F.when(F.size(names) > 1, F.concat(given, F.lit(" "), family)).otherwise(family))
@@ -226,7 +251,7 @@ def surrogates(docs: DataFrame, key: str = KEY, most_listed: int = 500) -> DataF
         rows = rows.withColumn("_fl_key", F.xxhash64("doc_id", "text")).join(own, "_fl_key", "left")
         attempt_of = lambda kind, said: F.coalesce(F.element_at("_fl_again", F.concat_ws("|", kind, said)), F.lit(0))
     typed = rows.withColumn("_fl_kinds", F.transform("_fl_found", kind_of))
-    drawn = F.zip_with("_fl_found", "_fl_kinds", lambda v, k: surrogate(v, k, key, attempt_of(k, plain(v, k))))
+    drawn = F.zip_with("_fl_found", "_fl_kinds", lambda v, k: let(attempt_of(k, plain(v, k)), lambda a: surrogate(v, k, key, a)))
     typed = typed.withColumn("_fl_drawn", F.when(F.size("_fl_found") > 0, drawn).otherwise(F.array().cast("array<string>")))
     joined = F.array_join(F.flatten(F.zip_with("_fl_parts", "_fl_drawn", lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))), "")
     text = F.when(F.size("_fl_found") > 0, joined).otherwise(F.col("text"))
