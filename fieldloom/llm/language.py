@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import cut, let, text_or_empty
 
 BUCKETS = 1 << 16
 SAMPLE_ROWS = 4_000
@@ -160,8 +160,9 @@ def identify(rows: DataFrame, model: TextModel, markup_reliability: float = MARK
         return base.select("row_key", F.lit(NONE).alias("language"), F.lit(0.0).alias("confidence"), F.lit(False).alias("accepted"))
 
     def normalised(scores: Column) -> Column:
-        powers = F.transform(scores, lambda x: F.exp(x - F.array_max(scores)))
-        return F.transform(powers, lambda p: p / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
+        total = lambda ps: F.aggregate(ps, F.lit(0.0), lambda a, b: a + b)
+        shared = lambda ps: let(total(ps), lambda t: F.transform(ps, lambda p: p / t))
+        return let(scores, lambda s: let(F.array_max(s), lambda m: let(F.transform(s, lambda x: F.exp(x - m)), shared)))
 
     own = base.withColumn("p", F.when(F.col("n") > 0, normalised(F.col("ll"))).otherwise(F.array(*[F.lit(0.0)] * (k + 1))))
     sums = [F.sum(F.col("p")[i]).alias(f"s{i}") for i in range(k)]
@@ -191,8 +192,9 @@ def identify(rows: DataFrame, model: TextModel, markup_reliability: float = MARK
 
     scores = F.transform("hp", lambda p, i: F.log(p * 0.98) + F.get("ll", i) + declared("markup", markup_reliability, i) + declared("address", address_reliability, i))
     none = F.lit(math.log(0.02)) + F.get("ll", F.lit(k))
-    posterior = fused.withColumn("post", normalised(F.concat(scores, F.array(none))))
-    best = F.array_max("post")
-    which = F.get(F.array(*[F.lit(x) for x in names]), F.array_position("post", best).cast("int") - 1)
-    language = F.when((F.col("n") > 0) & (best >= accept), which).otherwise(F.lit(NONE))
-    return posterior.select("row_key", language.alias("language"), F.round(F.when(F.col("n") > 0, best).otherwise(0.0), 6).alias("confidence"), (language != NONE).alias("accepted"))
+    spoken = F.array(*[F.lit(x) for x in names])
+    judged = lambda post: let(F.array_max(post), lambda best: F.struct(best.alias("p"), F.get(spoken, F.array_position(post, best).cast("int") - 1).alias("name")))
+    # kept here, so that what a reader filters on isn't worked out again for each use
+    found = cut(fused.select("row_key", "n", let(normalised(F.concat(scores, F.array(none))), judged).alias("best")))
+    language = F.when((F.col("n") > 0) & (F.col("best.p") >= accept), F.col("best.name")).otherwise(F.lit(NONE))
+    return found.select("row_key", language.alias("language"), F.round(F.when(F.col("n") > 0, F.col("best.p")).otherwise(0.0), 6).alias("confidence"), (language != NONE).alias("accepted"))
