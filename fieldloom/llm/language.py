@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let, text_or_empty
+from .common import cut, let, small_batches, text_or_empty
 
 BUCKETS = 1 << 16
 SAMPLE_ROWS = 4_000
@@ -146,6 +146,7 @@ def identify(rows: DataFrame, model: TextModel, markup_reliability: float = MARK
     before the exchange; the join with a host's prior is a plain equi-join, which
     adaptive execution splits where a host holds many rows.
     """
+    small_batches(rows.sparkSession)
     names = model.languages
     k = len(names) - 1
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty, written
+from .common import cut, small_batches, text_or_empty, written
 
 K = 64
 SHORT_LIST = 24
@@ -148,8 +148,13 @@ def sketch_batches(batches: Iterator[pa.RecordBatch], n: int, k: int) -> Iterato
     from hashlib import blake2b
 
     for batch in batches:
-        sets = [shingle_set(t.as_py(), n).astype("<u8") for t in batch.column("text")]
-        columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([s[:k].tobytes() for s in sets], pa.binary())]
+        sizes, digests, sketches = [], [], []
+        for text in batch.column("text"):  # one full set at a time
+            full = shingle_set(text.as_py(), n).astype("<u8")
+            sizes.append(len(full))
+            digests.append(blake2b(full.tobytes(), digest_size=16).digest())
+            sketches.append(full[:k].tobytes())
+        columns = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())]
         yield pa.RecordBatch.from_arrays([batch.column("row_key"), *columns], ["row_key", "n", "digest", "sketch"])
 
 
@@ -358,6 +363,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, num: int = 4, den:
     and are linked with nothing; a text of fewer words than a shingle has one
     shingle, all of it. An empty table gives no rows. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     members, classes = classes_of(docs, shingle_words, k)
     pairs, lists = pairs_of(index_of(classes, num, den, k), num, den, short_list)
     pairs = cut(passing(with_both(pairs, classes, "sketch"), lambda x, y: may_link(x, y, num, den, k)))
