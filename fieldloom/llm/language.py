@@ -192,7 +192,9 @@ def identify(rows: DataFrame, model: TextModel, markup_reliability: float = MARK
         return F.when(says, F.when(F.get(tongue, i) == F.col(column), math.log(reliability)).otherwise(other)).otherwise(0.0)
 
     scores = F.transform("hp", lambda p, i: F.log(p * 0.98) + F.get("ll", i) + declared("markup", markup_reliability, i) + declared("address", address_reliability, i))
-    none = F.lit(math.log(0.02)) + F.get("ll", F.lit(k))
+    # a text in no language may declare any of them alike
+    unsaid = [F.when(F.array_contains(tongue, F.col(c)), -math.log(k)).otherwise(0.0) for c in ("markup", "address")]
+    none = F.lit(math.log(0.02)) + F.get("ll", F.lit(k)) + sum((F.coalesce(u, F.lit(0.0)) for u in unsaid), F.lit(0.0))
     spoken = F.array(*[F.lit(x) for x in names])
     judged = lambda post: let(F.array_max(post), lambda best: F.struct(best.alias("p"), F.get(spoken, F.array_position(post, best).cast("int") - 1).alias("name")))
     # kept here, so that what a reader filters on isn't worked out again for each use
