@@ -53,3 +53,16 @@ def test_odd_tables(spark, odd_docs, no_docs, model):
     assert not any(r["accepted"] for r in L.identify(shape(odd_docs), nothing).collect())
     silent = rows_of(spark, [(1, "123 !!", "h", None, None), (2, "", "h", "en", None), (3, None, None, None, None), (4, "кириллица и ещё слова " * 5, "h", None, None)])
     assert {r["language"] for r in L.identify(silent, model).collect()} == {L.NONE}
+
+
+def test_query_tells_documents_from_pages(spark, tmp_path):
+    from fieldloom.llm.queries import op5_language
+
+    docs = [(k, say("de" if k < 20 else "en", k), "de" if k < 20 else "en", "books") for k in range(40)]
+    docs += [(50, say("de", 50), "de", "books"), (50, say("en", 51), "en", "books"), (None, say("de", 52), "de", "books"), (None, say("en", 53), "en", "books")]
+    pages = [(k, f"http://h{k}.example/", f"<p>{say('en' if k < 20 else 'de', k + 100)}</p>") for k in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted((str(r["doc_id"]), str(r["page_id"]), r["language"]) for r in op5_language(spark, str(tmp_path)).collect())
+    want = [(str(r[0]), "None", r[2]) for r in docs] + [("None", str(r[0]), "en" if r[0] < 20 else "de") for r in pages]
+    assert got == sorted(want)
