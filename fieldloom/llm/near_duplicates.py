@@ -111,12 +111,19 @@ def rarest_count(n: int, num: int, den: int, k: int) -> int:
     A set within the sketch's size is known whole, and shares a certain part. Of
     a larger one, the union's k smallest values are a sample of the union, and
     the sketches share as many of them as are in both sets: a sum whose mean is
-    the similarity, taken six standard deviations low.
+    the similarity, taken six standard deviations low. A set within the size may
+    be linked to a larger one, whose sketch leaves values out that they share: of
+    the k that it holds, those that the smaller set lacks at most aren't shared.
     """
-    if n <= k:
-        return n - needed(n, num, den) + 1
     p = num / den
-    return k - int(k * p - 6 * (k * p * (1 - p)) ** 0.5) + 1
+    sampled = int(k * p - 6 * (k * p * (1 - p)) ** 0.5)
+    if n > k:
+        return k - sampled + 1
+    shared = needed(n, num, den)
+    largest = n * den // num  # of the sets that may be linked; what it has beside the shared part is the most
+    if largest > k:
+        shared = min(shared, max(sampled, k - (largest - -(-num * (largest + n) // (num + den)))))
+    return n - shared + 1
 
 
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -199,11 +206,10 @@ def index_of(classes: DataFrame, num: int, den: int, k: int) -> DataFrame:
     counted = values.join(frequencies, "value")  # a value of one class meets no other
     packed = counted.groupBy("cls").agg(F.sum("df").alias("hub"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values")).join(classes.select("cls", "n"), "cls")
     # values that no other class holds are the rarest of all, and use up their share of the places
-    whole = F.least("n", F.lit(k))
-    p = num / den
-    sampled = k - int(k * p - 6 * (k * p * (1 - p)) ** 0.5) + 1
-    places = F.when(F.col("n") <= k, F.col("n") - F.ceil(F.col("n") * num / F.lit(float(den)) - 1e-9) + 1).otherwise(sampled).cast("int")
-    left = places - (whole - F.size("values")).cast("int")
+    whole = F.least("n", F.lit(k)).cast("int")
+    places = F.element_at(F.array(*[F.lit(rarest_count(n, num, den, k)) for n in range(1, k + 1)]), whole)
+    places = F.when(F.col("n") <= k, places).otherwise(rarest_count(k + 1, num, den, k))
+    left = places - (whole - F.size("values"))
     return packed.where(left > 0).select("cls", "n", "hub", F.explode(F.slice("values", F.lit(1), left)).alias("v")).select(F.col("v.value").alias("value"), "cls", "n", F.col("v.df").alias("df"), "hub")
 
 

@@ -64,6 +64,32 @@ def test_same_as_all_pairs(spark, seed, n, lists):
     assert got == plain_classes(rows, n, 80, 100)
 
 
+def test_sets_within_the_sketch_meet_larger_ones(spark):
+    """Sizes on both sides of the sketch's, by brute force; no other document holds a value of the pair."""
+    texts = []
+    for small in range(60, 65):
+        for large in range(75, small * 5 // 4 + 2):
+            for again in range(3):
+                words = [f"s{small}l{large}a{again}w{i}" for i in range(large)]
+                texts += [" ".join(words[:small]), " ".join(words)]
+    texts += [" ".join(f"p{i}" for i in range(x, x + n)) for x, n in ((0, 65), (6, 65))]
+    rows = list(enumerate(texts))
+    got = {r["row_key"]: (r["n_shingles"], r["component"]) for r in N.near_duplicates(spark.createDataFrame(rows, "row_key long, text string"), 1).collect()}
+    assert got == plain_classes(rows, 1, 4, 5)
+
+
+def test_places_suffice_for_the_worst_partner():
+    for k in (8, 32, 64):
+        for num, den in ((4, 5), (9, 10), (19, 20)):
+            p = num / den
+            sampled = int(k * p - 6 * (k * p * (1 - p)) ** 0.5)
+            for n in range(1, k + 1):
+                for m in range(n, n * den // num + 1):
+                    shared = -(-num * (m + n) // (num + den))
+                    met = shared if m <= k else max(k - (m - shared), sampled)  # of the values that both sketches hold
+                    assert N.rarest_count(n, num, den, k) > n - met and N.rarest_count(m, num, den, k) > min(m, k) - met
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["A", "b", "é", " ", "\n", "\x0b", " ", "longer"]), max_size=40), st.integers(1, 4))
 def test_sets_have_the_sizes_of_plain_sets(parts, n):
