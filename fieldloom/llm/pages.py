@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import text_or_empty
 
 # Names of HTML elements, by the part that they play in a page.
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 NEVER = frozenset("head script style noscript template iframe object svg math canvas audio video select textarea button option title".split())
@@ -48,6 +49,7 @@ class Lines(HTMLParser):
         self.parents: list[int] = [-1]  # of each element; 0 is the page
         self.semantic: list[int] = []  # numbers of article and main elements
         self.held: list[str] = []
+        self.head = 0  # where the last head stood
         self.tags = self.link_chars = self.links = 0
         self.blocks: list[tuple[str, int, int, int, bool]] = []  # text, tags, link characters, element, left out
 
@@ -69,7 +71,17 @@ class Lines(HTMLParser):
                 self.end_block()
             self.open.pop()
 
+    def end_head(self, tag: str) -> None:
+        """Ends an open head, whose end tag may be left out, before what can't stand in it; ``tag`` is empty for text."""
+        depth = self.head
+        if depth >= len(self.open) or self.open[depth][0] != "head" or tag in HEAD or tag in ("html", "head"):
+            return
+        within = {e[0] for e in self.open[depth + 1 :]}  # what a noscript or template holds is no body
+        if tag == "body" or not within or tag and within == {"title"}:
+            self.close_to(depth)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.end_head(tag)
         self.tags += 1
         if tag in VOID or tag in CELLS:
             self.held.append(" ")
@@ -93,6 +105,8 @@ class Lines(HTMLParser):
         if article and not out and not own:
             self.semantic.append(element)
         self.links += tag == "a"
+        if tag == "head":
+            self.head = len(self.open)
         self.open.append((tag, element, out or own, inside or article))
 
     @staticmethod
@@ -123,6 +137,8 @@ class Lines(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self.end_head("")
         self.held.append(data)
         if self.links:
             self.link_chars += len(data)

@@ -26,6 +26,13 @@ def test_cut_off_and_malformed():
     assert main_text("") == main_text("<nav>only a menu</nav>") == ""
 
 
+def test_head_without_its_end_tag():
+    for page in (PAGE.replace("</head>", ""), PAGE.replace("</head><body>", ""), PAGE.replace("</head><body>", "<noscript><div>No script</div></noscript>")):
+        assert main_text(page.replace("{0}", f"<article>{BODY}</article>")) == WANT
+    assert main_text("<head><meta charset=x><title>T</title>Text at once.<p>More.") == "Text at once.\nMore."
+    assert main_text("<head><title>T</title><link rel=a></head><body><p>Text.</p></body>") == "Text."
+
+
 def test_long_pages_are_read_whole():
     text = "".join(f"<p>Paragraph {i} &amp; its words.</p>" for i in range(20_000))
     got = main_text(PAGE.replace("{0}", f"<article>{text}</article>"))
