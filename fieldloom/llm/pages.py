@@ -3,8 +3,10 @@
 The standard library's parser streams events over a page. Each block of text is
 a line of its own with its tag count; its text-to-tag ratio, smoothed over the
 neighbouring lines, is compared with a threshold, and runs of lines above it are
-the content regions. The element that holds these regions is the article, and
-all of its blocks are kept, but those in menus, asides, forms and the like.
+the content regions. Article elements are the article; without one it is the
+element that holds all of these regions, with what stands around it and isn't
+mostly links. All of its blocks are kept, but those in menus, asides, forms and
+the like, and lists of links at its edges.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import text_or_empty
 
 # Names of HTML elements, by the part that they play in a page.
+LINES = frozenset("p h1 h2 h3 h4 h5 h6".split())
 HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
@@ -47,6 +50,7 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int, bool, bool]] = []  # tag, element number, left out, in an article
         self.parents: list[int] = [-1]  # of each element; 0 is the page
+        self.names: list[str] = [""]
         self.semantic: list[int] = []  # numbers of article and main elements
         self.held: list[str] = []
         self.head = 0  # where the last head stood
@@ -102,6 +106,7 @@ class Lines(HTMLParser):
         article = tag in ("article", "main") or any(k == "role" and v == "main" for k, v in attrs)
         element = len(self.parents)
         self.parents.append(self.open[-1][1] if self.open else 0)
+        self.names.append(tag)
         if article and not out and not own:
             self.semantic.append(element)
         self.links += tag == "a"
@@ -182,27 +187,48 @@ def main_text(html: str, sigma: float = 1.0, share: float = 1.0) -> str:
 
     paths = [around(b[3]) for b in blocks]
     semantic = set(parser.semantic)
-    if semantic:  # the outermost article elements; the one with the most text in content regions
-        mass: dict[int, float] = {}
+    plain = links < 0.5
+    if semantic:  # the outermost article elements, but those of links alone
         roots = [next((e for e in reversed(p) if e in semantic), None) for p in paths]
-        for root, n, hit in zip(roots, chars, inside, strict=True):
-            if root is not None:
-                mass[root] = mass.get(root, 0) + n * (1 + hit)
-        if mass:
-            best = max(mass, key=lambda e: (mass[e], -e))
-            return "\n".join(b[0] for b, root in zip(blocks, roots, strict=True) if root == best)
-    weight = {}
-    total = 0.0
-    for p, n, hit, link in zip(paths, chars, inside, links, strict=True):
-        if hit and link < 0.5:
-            total += n
-            for e in p:
-                weight[e] = weight.get(e, 0) + n
-    if not total:
-        return "\n".join(b[0] for b, link in zip(blocks, links, strict=True) if link < 0.5)
-    depth = {e: len(p) - i for p in paths for i, e in enumerate(p)}
-    best = max((e for e, n in weight.items() if n >= 0.8 * total), key=lambda e: (depth[e], -e))
-    return "\n".join(b[0] for b, p, link in zip(blocks, paths, links, strict=True) if best in p and link < 0.5)
+        told = {root for root, own in zip(roots, plain, strict=True) if own} - {None} or set(roots) - {None}
+        if told:
+            return "\n".join(b[0] for b, root in zip(blocks, roots, strict=True) if root in told)
+    if not plain.any():
+        return ""
+    content = inside & plain if (inside & plain).any() else plain
+    held = article_element(parser, blocks, paths, content, plain)
+    within = np.array([held in p for p in paths])
+    own = np.flatnonzero(within & plain)
+    # links between kept blocks stay, and lines of links beside one
+    holders = [block_of(parser, p) for p in paths]
+    beside = {parser.parents[holders[i]] for i in own}
+    keep = [w and (own[0] <= i <= own[-1] or parser.names[h] in LINES and parser.parents[h] in beside) for i, (w, h) in enumerate(zip(within, holders, strict=True))]
+    return "\n".join(b[0] for b, k in zip(blocks, keep, strict=True) if k)
+
+
+def block_of(parser: Lines, path: list[int]) -> int:
+    """The innermost element of ``path`` that isn't inline."""
+    return next(e for e in path if parser.names[e] not in INLINE)
+
+
+def article_element(parser: Lines, blocks: list, paths: list[list[int]], content: np.ndarray, plain: np.ndarray) -> int:
+    """The deepest element with all ``content`` blocks and more than one block of text, and what is around it while that isn't mostly links."""
+    regions_in: dict[int, int] = {}
+    sums: dict[int, np.ndarray] = {}  # characters, link characters, blocks of text, main titles
+    for b, p, hit, own in zip(blocks, paths, content, plain, strict=True):
+        here = np.array([len(b[0]), b[2], own, own and parser.names[block_of(parser, p)] == "h1"], dtype=float)
+        for e in p:
+            sums[e] = sums[e] + here if e in sums else here
+            regions_in[e] = regions_in.get(e, 0) + bool(hit)
+    first = paths[int(np.flatnonzero(content)[0])]
+    held = next(e for e in first if regions_in[e] == content.sum())
+    while held:
+        around = parser.parents[held]
+        chars, linked, _, titles = sums[around] - sums[held]
+        if sums[held][2] > 1 and linked >= 0.5 * chars > 0 and not titles:
+            break
+        held = around
+    return held
 
 
 def extract_text(pages: DataFrame, sigma: float = 1.0, share: float = 1.0) -> DataFrame:

@@ -20,6 +20,34 @@ def test_without_article_elements():
         assert out not in got
 
 
+def test_one_long_paragraph_is_not_the_article():
+    parts = ["Short one. " * 9, "Long one. " * 100, "Last one. " * 10]
+    want = "\n".join(p.strip() for p in parts)
+    said = "".join(f"<p>{p}</p>" for p in parts)
+    assert main_text(f"<body>{said}</body>") == main_text(PAGE.replace("{0}", f"<div>{said}</div>")) == want
+
+
+def test_beside_an_inner_part():
+    inner = "".join(f"<p>{f'Sentence {i} of the middle. ' * 20}</p>" for i in range(6))
+    page = f"<div id=all><h1>Title</h1><p>The lead.</p><div>{inner}</div><div><h2>More</h2><p>The last section.</p></div></div>"
+    menu = "<div><ul>" + "".join(f"<li><a href=/{i}>Menu entry {i}</a></li>" for i in range(9)) + "</ul></div>"
+    for got in (main_text(f"<body>{page}</body>"), main_text(f"<body>{menu}{page}{menu}</body>")):
+        assert got.startswith("Title\nThe lead.\nSentence 0") and got.endswith("\nMore\nThe last section.") and got.count("\n") == 9
+
+
+def test_links_in_the_text_stay():
+    text = "".join(f"<p>{f'Sentence {i} of a text. ' * 9}</p>" + "<p><a href=x>See what else there is</a></p>" for i in range(4))
+    want = 4 * ["See what else there is"]
+    for page in (f"<body><div><a href=/>Home</a></div><div>{text}</div></body>", f"<body><div><a href=/>Home</a></div><article>{text}</article></body>"):
+        assert main_text(page).split("\n")[1::2] == want and "Home" not in main_text(page)
+
+
+def test_two_articles():
+    cards = "<article><a href=/x>Another page that is elsewhere</a></article>"
+    got = main_text(PAGE.replace("{0}", f"<article>{BODY}</article><div class=ad>Buy</div><article><p>{'Second. ' * 90}</p></article>{cards}"))
+    assert got == WANT + "\n" + ("Second. " * 90).strip()
+
+
 def test_cut_off_and_malformed():
     assert main_text("<body><article><p>Text &amp more</p></article><footer>&copy; a &am") == "Text & more"
     assert main_text("<p><b>a<br><p>b</b></i></p></div>c") == "a\nb\nc"
