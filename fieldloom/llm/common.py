@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,29 +15,40 @@ BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 1_000
 
 
+WRITTEN: list[str] = []  # tables that this driver wrote to the shared folder, for ``release``
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary
-    folder is set.
+    Where the session names none, a temporary folder is set on one machine
+    (tests); on a cluster, whose executors don't see it, that is an error.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="fieldloom-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named.rstrip("/")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Python tasks take at most BATCH_ROWS rows at a time from now on.
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Python tasks that run within take at most BATCH_ROWS rows at a time.
 
     Whole texts and sets can be long: buffers on both sides of the pipe grow with
     the rows of a batch, and the JVM keeps the largest that it has had.
     """
-    if not 0 < int(spark.conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+    before = spark.conf.get(BATCH_SETTING)
+    if not 0 < int(before) <= BATCH_ROWS:
         spark.conf.set(BATCH_SETTING, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -44,10 +57,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def new_table(spark: SparkSession) -> str:
+    """The path of a new table in the shared folder."""
+    WRITTEN.append(f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}")
+    return WRITTEN[-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the tables that operators wrote to the shared folder; results that still read them can't be used after it."""
+    while WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written as a Parquet table to the shared folder and read again."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    path = new_table(spark)
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
@@ -58,27 +84,30 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def let(value: Column, then) -> Column:
-    """``then(value)``, with ``value`` worked out once however often ``then`` names it."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
+def row_digest(*columns: str) -> Column:
+    """128 bits that tell a row by ``columns``; null differs from every value, and no two rows run into each other."""
+    told = [F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in columns]
+    return F.unhex(F.md5(F.concat(*told)))
+
 
+def sent_whole(df: DataFrame, most_rows: int) -> DataFrame:
+    """``df``, marked to be sent to every task where it has at most ``most_rows`` rows; it is counted first."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
-def starts(sizes: DataFrame, outer: str, inner: str, size: str) -> DataFrame:
-    """(outer, inner, start): the sum of ``size`` over all rows before, in the order (outer, inner).
 
-    ``outer`` is the number of a range partition, so the unpartitioned window
-    runs over one row per partition of the data, not over the data.
+def joined_evenly(rows: DataFrame, table: DataFrame, key: str, spread: str, counted: DataFrame, most: int = 256, most_heavy: int = 1_000_000) -> DataFrame:
+    """``rows`` joined with ``table`` on ``key``, a key of over ``most`` rows dealt out by ``spread`` to as many copies of its entry.
+
+    Keys are counted in ``counted``, which has the rows' keys and is kept. Only the
+    heavy keys' counts are sent whole, under a bound.
     """
-    from pyspark.sql import Window as W
-
-    totals = sizes.groupBy(outer).agg(F.sum(size).alias("_total"))
-    before = totals.select(
-        F.col(outer).alias("_outer"),
-        (F.sum("_total").over(W.orderBy(outer).rowsBetween(W.unboundedPreceding, 0)) - F.col("_total")).alias("_before"),
-    )
-    within = F.sum(size).over(W.partitionBy(outer).orderBy(inner).rowsBetween(W.unboundedPreceding, 0)) - F.col(size)
-    return (
-        sizes.withColumn("_within", within)
-        .join(before, F.col(outer) == F.col("_outer"))
-        .select(outer, inner, (F.col("_before") + F.col("_within")).cast("long").alias("start"))
-    )
+    heavy = counted.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+    heavy = sent_whole(cut(heavy.select(key, F.ceil(F.col("_n") / most).cast("int").alias("_parts"))), most_heavy)
+    dealt = rows.join(heavy, key, "left").withColumn("_part", F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(spread), F.col("_parts")).cast("int")).otherwise(0)).drop("_parts")
+    copies = table.join(heavy, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copies, [key, "_part"]).drop("_part")
+
+
+def let(value: Column, then) -> Column:
+    """``then(value)``, with ``value`` worked out once however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
