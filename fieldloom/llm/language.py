@@ -134,20 +134,25 @@ def domain_of(host: Column) -> Column:
 
 
 def identify(rows: DataFrame, model: TextModel, markup_reliability: float = MARKUP_RELIABILITY, address_reliability: float = ADDRESS_RELIABILITY, accept: float = ACCEPT) -> DataFrame:
-    """(row_key, language, confidence, accepted), one for each different row of ``rows`` (row_key, text, host, markup, address).
+    """(key columns, language, confidence, accepted), one for each row of ``rows`` (text, host, markup, address and any key columns).
 
     Text is read whole; without a letter, in a script that no label has, or
     without a language above ``accept``, the language is NONE and the row isn't
     accepted. Null text is empty; null markup or address is no evidence; a null
-    host is a host of its own. Rows with equal keys are taken to be equal, and give
-    one. An empty table gives no rows.
+    host is a host of its own. Keys are passed on and not looked at, so they may
+    be null or repeat; ones named as a column of the result give way to it. An empty table gives no rows.
 
     Only the evidence, not the text, is exchanged. Sums by host are combined
     before the exchange; the join with a host's prior is a plain equi-join, which
     adaptive execution splits where a host holds many rows.
     """
-    small_batches(rows.sparkSession)
+    with small_batches(rows.sparkSession):
+        return fused_evidence(rows, model, markup_reliability, address_reliability, accept)
+
+
+def fused_evidence(rows: DataFrame, model: TextModel, markup_reliability: float, address_reliability: float, accept: float) -> DataFrame:
     names = model.languages
+    keys = [c for c in rows.columns if c not in ("text", "host", "markup", "address", "language", "confidence", "accepted")]
     k = len(names) - 1
 
     @F.pandas_udf("struct<ll: array<double>, n: int>")
@@ -155,10 +160,10 @@ def identify(rows: DataFrame, model: TextModel, markup_reliability: float = MARK
         got = [model.evidence(t) for t in texts]
         return pd.DataFrame({"ll": [g[0] for g in got], "n": [g[1] for g in got]})
 
-    base = rows.select("row_key", F.coalesce("host", F.lit("")).alias("host"), "markup", "address", evidence(text_or_empty()).alias("e"))
-    base = cut(base.groupBy("row_key").agg(*[F.first(c).alias(c) for c in ("host", "markup", "address", "e")]).select("row_key", "host", "markup", "address", F.col("e.ll").alias("ll"), F.col("e.n").alias("n")))
+    base = rows.select(F.struct(*keys).alias("_fl_keys"), F.coalesce("host", F.lit("")).alias("host"), "markup", "address", evidence(text_or_empty()).alias("e"))
+    base = cut(base.select("_fl_keys", "host", "markup", "address", F.col("e.ll").alias("ll"), F.col("e.n").alias("n")))
     if not k:
-        return base.select("row_key", F.lit(NONE).alias("language"), F.lit(0.0).alias("confidence"), F.lit(False).alias("accepted"))
+        return base.select("_fl_keys.*", F.lit(NONE).alias("language"), F.lit(0.0).alias("confidence"), F.lit(False).alias("accepted"))
 
     def normalised(scores: Column) -> Column:
         total = lambda ps: F.aggregate(ps, F.lit(0.0), lambda a, b: a + b)
@@ -198,6 +203,6 @@ def identify(rows: DataFrame, model: TextModel, markup_reliability: float = MARK
     spoken = F.array(*[F.lit(x) for x in names])
     judged = lambda post: let(F.array_max(post), lambda best: F.struct(best.alias("p"), F.get(spoken, F.array_position(post, best).cast("int") - 1).alias("name")))
     # kept here, so that what a reader filters on isn't worked out again for each use
-    found = cut(fused.select("row_key", "n", let(normalised(F.concat(scores, F.array(none))), judged).alias("best")))
+    found = cut(fused.select("_fl_keys", "n", let(normalised(F.concat(scores, F.array(none))), judged).alias("best")))
     language = F.when((F.col("n") > 0) & (F.col("best.p") >= accept), F.col("best.name")).otherwise(F.lit(NONE))
-    return found.select("row_key", language.alias("language"), F.round(F.when(F.col("n") > 0, F.col("best.p")).otherwise(0.0), 6).alias("confidence"), (language != NONE).alias("accepted"))
+    return found.select("_fl_keys.*", language.alias("language"), F.round(F.when(F.col("n") > 0, F.col("best.p")).otherwise(0.0), 6).alias("confidence"), (language != NONE).alias("accepted"))

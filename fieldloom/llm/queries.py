@@ -53,24 +53,18 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents (their source is the host) and pages, whose rows have a null ``doc_id``, under one set of host priors.
 
-    Rows are keyed by their kind and all that is read of them: a document and a
-    page with one id are two rows, and so are rows that share an id or have none.
+    Ids are passed through with their rows: a document and a page with one id are
+    two rows, and so are rows that share an id or have none.
     """
     from pyspark.sql import functions as F
 
     from . import language as L
 
     docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
-    none = F.lit(None).cast("string")
-    no_id = F.lit(None).cast("long")
-    # a hash passes over nulls, so each column has a flag of its own
-    key = lambda kind, *read: F.xxhash64(F.lit(kind), *[x for c in read for x in (F.col(c).isNull(), F.col(c))]).alias("row_key")
-    doc_key, page_key = key("document", "doc_id", "source", "text"), key("page", "page_id", "url", "html")
-    of_docs = docs.select(doc_key, F.col("source").alias("host"), none.alias("markup"), none.alias("address"), "text")
-    of_pages = pages.select(page_key, L.host_of(F.col("url")).alias("host"), L.declared_by(F.col("html")).alias("markup"), L.address_language(F.col("url")).alias("address"), L.visible(F.col("html")).alias("text"))
-    rows = of_docs.unionAll(of_pages)
-    ids = docs.select("doc_id", no_id.alias("page_id"), doc_key).unionAll(pages.select(no_id.alias("doc_id"), "page_id", page_key))
-    return ids.join(L.identify(rows, L.fit(docs)), "row_key").drop("row_key")
+    none, no_id = F.lit(None).cast("string"), F.lit(None).cast("long")
+    of_docs = docs.select("doc_id", no_id.alias("page_id"), F.col("source").alias("host"), none.alias("markup"), none.alias("address"), "text")
+    of_pages = pages.select(no_id.alias("doc_id"), "page_id", L.host_of(F.col("url")).alias("host"), L.declared_by(F.col("html")).alias("markup"), L.address_language(F.col("url")).alias("address"), L.visible(F.col("html")).alias("text"))
+    return L.identify(of_docs.unionAll(of_pages), L.fit(docs))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
