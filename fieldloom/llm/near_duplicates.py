@@ -16,18 +16,18 @@ the links give each document its class.
 
 from __future__ import annotations
 
-import re
-from collections import defaultdict
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, partial
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, small_batches, text_or_empty, written
+from .common import cut, joined_evenly, sent_whole, small_batches, text_or_empty, written
 
 K = 64
 SHORT_LIST = 24
@@ -148,49 +148,60 @@ def as_set(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, dtype="<u8")
 
 
-SKETCHES = "row_key long, n long, digest binary, sketch binary"
+def digest_of(full: np.ndarray) -> bytes:
+    """128 bits that tell a set."""
+    return blake2b(full.tobytes(), digest_size=16).digest()
 
 
 def sketch_batches(batches: Iterator[pa.RecordBatch], n: int, k: int) -> Iterator[pa.RecordBatch]:
-    from hashlib import blake2b
-
     for batch in batches:
         sizes, digests, sketches = [], [], []
         for text in batch.column("text"):  # one full set at a time
             full = shingle_set(text.as_py(), n).astype("<u8")
             sizes.append(len(full))
-            digests.append(blake2b(full.tobytes(), digest_size=16).digest())
+            digests.append(digest_of(full))
             sketches.append(full[:k].tobytes())
         columns = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())]
         yield pa.RecordBatch.from_arrays([batch.column("row_key"), *columns], ["row_key", "n", "digest", "sketch"])
 
 
+def typed(docs: DataFrame, *columns: str) -> T.StructType:
+    """The row key's own type, and columns told by "name type"."""
+    rest = [T.StructField(c.split()[0], T.LongType() if c.endswith("long") else T.BinaryType()) for c in columns]
+    return T.StructType([T.StructField("row_key", docs.schema["row_key"].dataType), *rest])
+
+
 def classes_of(docs: DataFrame, shingle_words: int, k: int) -> tuple[DataFrame, DataFrame]:
-    """Members (row_key, n, digest) and classes (digest, cls, n, sketch): one class for each different set that isn't empty.
+    """Members (row_key, n, digest) and classes (digest, cls, first, n, sketch): one class for each different set that isn't empty.
 
-    The number of a class is its smallest row key. Copies are combined before the
+    ``first`` is the class's smallest row key, and ``cls`` a number that is the
+    class's own, whatever its rows' keys are. Copies are combined before the
     exchange, and the sets themselves, larger than the texts, aren't kept.
     """
     rows = docs.select("row_key", text_or_empty().alias("text"))
-    sketches = written(rows.mapInArrow(lambda b: sketch_batches(b, shingle_words, k), SKETCHES))
-    classes = sketches.where("n > 0").groupBy("digest").agg(F.min("row_key").alias("cls"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    return sketches.select("row_key", "n", "digest"), written(classes)
+    sketches = written(rows.mapInArrow(partial(sketch_batches, n=shingle_words, k=k), typed(docs, "n long", "digest binary", "sketch binary")))
+    classes = sketches.where("n > 0").groupBy("digest").agg(F.min("row_key").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    # the numbers are those of the written rows, and don't change when the table is read again
+    return sketches.select("row_key", "n", "digest"), written(classes.withColumn("cls", F.monotonically_increasing_id()))
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, shingle_words: int) -> DataFrame:
-    """(cls, shingles): the full sets of the documents in ``ids`` (cls), made from their texts again.
+def sets_of(docs: DataFrame, classes: DataFrame, ids: DataFrame, shingle_words: int) -> DataFrame:
+    """(cls, shingles): the full sets of the classes in ``ids`` (cls), made again from the texts of their first rows.
 
     Where the ids are few enough to send to every task, no text is exchanged.
+    Rows that share a key with another text are told apart by their sets' digests.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array([shingle_set(t.as_py(), shingle_words).astype("<u8").tobytes() for t in batch.column("text")], pa.binary())], ["cls", "shingles"])
+            sets = [shingle_set(t.as_py(), shingle_words).astype("<u8") for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array([digest_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "shingles"])
 
-    ids = cut(ids.distinct())
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    rows = docs.select(F.col("row_key").alias("cls"), text_or_empty().alias("text")).join(wanted, "cls", "left_semi")
-    return written(rows.mapInArrow(task, "cls long, shingles binary").dropDuplicates(["cls"]))
+    chosen = cut(classes.join(ids.distinct(), "cls", "left_semi").select("digest", "cls", "first"))
+    firsts = sent_whole(chosen.select(F.col("first").alias("_first")).distinct(), BROADCAST_IDS)
+    rows = docs.select("row_key", text_or_empty().alias("text")).join(firsts, F.col("row_key").eqNullSafe(F.col("_first")), "left_semi").select("text")
+    made = rows.mapInArrow(task, "digest binary, shingles binary").dropDuplicates(["digest"])
+    return written(made.join(chosen.select("digest", "cls"), "digest").select("cls", "shingles"))
 
 
 def index_of(classes: DataFrame, num: int, den: int, k: int) -> DataFrame:
@@ -227,9 +238,10 @@ def pairs_of(index: DataFrame, num: int, den: int, short_list: int) -> tuple[Dat
 
 
 def with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
-    """(a, b, x, y): ``pairs`` with the column of both classes."""
+    """(a, b, x, y): ``pairs`` with the column of both classes; a class in many pairs, as a pivot is, is spread over tasks."""
     of = table.select("cls", column)
-    return pairs.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    with_a = joined_evenly(pairs, of.toDF("a", "x"), "a", "b", counted=pairs)
+    return joined_evenly(with_a, of.toDF("b", "y"), "b", "a", counted=pairs).select("a", "b", "x", "y")
 
 
 def passing(rows: DataFrame, test) -> DataFrame:
@@ -336,16 +348,16 @@ def remaining(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: D
     return filled.groupBy("pivot", "size", "u", "other", "x").applyInPandas(task, "a long, b long")
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(cls, component): the smallest class that each class of ``links`` (a, b) reaches.
 
     Each round points every class at the smallest neighbour of its neighbours
-    (large stars, then small stars), until nothing changes; the table of links
-    never grows.
+    (large stars, then small stars), until nothing changes, in about as many rounds
+    as the logarithm of the longest chain; the table of links never grows.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -364,23 +376,31 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, num: int = 4, den:
 
     ``component`` is the smallest row key that the row reaches over links of a
     similarity of num/den and more, itself included; ``kept``: it is the row's own.
-    Row keys are numbers that order the rows; rows that share one are one row
-    here. Whole texts are read. Null, empty and blank texts have an empty set
-    and are linked with nothing; a text of fewer words than a shingle has one
-    shingle, all of it. An empty table gives no rows. Other columns are not read.
+    Row keys are of any type that has an order; rows may share one, and are then
+    told apart by their texts. A null key comes after all others, and what reaches
+    no other key has a null ``component`` and is kept. Whole texts are read. Null,
+    empty and blank texts have an empty set and are linked with nothing; a text of
+    fewer words than a shingle has one shingle, all of it. An empty table gives no
+    rows. Other columns are not read.
     """
-    small_batches(docs.sparkSession)
+    with small_batches(docs.sparkSession):
+        return linked_rows(docs, shingle_words, num, den, k, short_list, block)
+
+
+def linked_rows(docs: DataFrame, shingle_words: int, num: int, den: int, k: int, short_list: int, block: int) -> DataFrame:
     members, classes = classes_of(docs, shingle_words, k)
     pairs, lists = pairs_of(index_of(classes, num, den, k), num, den, short_list)
-    pairs = cut(passing(with_both(pairs, classes, "sketch"), lambda x, y: may_link(x, y, num, den, k)))
+    pairs = cut(passing(with_both(cut(pairs), classes, "sketch"), lambda x, y: may_link(x, y, num, den, k)))
     ids = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select("b")).unionAll(lists.select("cls"))
-    sets = sets_of(docs, ids, shingle_words)
+    sets = sets_of(docs, classes, ids, shingle_words)
     links = cut(passing(with_both(pairs, sets, "shingles"), lambda x, y: linked(x, y, num, den)))
     labels = cut(components(links))
     rest = cut(remaining(lists, labels, classes, sets, num, den, k, block))
     if not rest.isEmpty():
         labels = cut(components(labels.select(F.col("cls").alias("a"), F.col("component").alias("b")).unionAll(rest)))
-    # a class's number is its smallest row key, and a component's its smallest class
-    classed = classes.select("digest", "cls").join(labels, "cls", "left").select("digest", F.coalesce("component", "cls").alias("found"))
-    out = members.join(classed, "digest", "left").select("row_key", F.col("n").alias("n_shingles"), F.coalesce("found", "row_key").alias("component"))
-    return out.withColumn("kept", F.col("row_key") == F.col("component"))
+    # a component's name is the smallest row key of its classes
+    named = classes.select("digest", "cls", "first").join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    names = named.groupBy("component").agg(F.min("first").alias("name"))
+    classed = named.join(names, "component").select("digest", "name")
+    out = members.join(classed, "digest", "left").select("row_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("row_key")).alias("component"))
+    return out.withColumn("kept", F.col("row_key").eqNullSafe(F.col("component")))
