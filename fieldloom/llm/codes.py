@@ -8,8 +8,8 @@ any token is read without decoding those before it.
 
 A segment is one binary value: a fixed header, the document ids and their
 offsets, then for each level its chunks, bitmap and directory. Segments hold
-whole documents in ascending ``doc_id`` order and are rows of a Parquet table, so
-that Spark's own writer places them in whatever store the cluster shares.
+whole documents in ascending ``doc_id`` order, know how many tokens of their part
+come before them, and are rows of a Parquet table, so that Spark's own writer places them in whatever store the cluster shares.
 """
 
 from __future__ import annotations
@@ -22,16 +22,19 @@ from functools import cache, partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import shared_dir, starts, text_or_empty
+from .common import cut, new_table, sent_whole, text_or_empty
 
 MAGIC = b"DACSEG01"
 HEADER = struct.Struct("<8sQQII")  # magic, documents, tokens, levels, reserved
 RANK_EVERY = 512
+SPACES = {"Regex": r"\s+"}
 END_ID = 2
 SEGMENT_TOKENS = 1 << 18
-SEGMENT_SCHEMA = "part int, segment int, n_docs long, n_tokens long, first_doc long, last_doc long, blob binary"
+SEGMENT_SCHEMA = "part int, segment int, before long, n_docs long, n_tokens long, first_doc long, last_doc long, blob binary"
+BROADCAST_PARTS = 1_000_000
 POPCOUNT = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
 
@@ -130,31 +133,29 @@ class PieceEncoder:
     def __init__(self, path: str, keep: int = 500_000):
         import json
 
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
         self.special = [t["content"] for t in spec.get("added_tokens") or []] + list(self.ODD)
-        self.find = None
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
         steps = pre.get("pretokenizers", [pre])
-        plain = [n.get("type") for n in norm.get("normalizers", [norm])] == ["NFC", "Replace", "Lowercase"]
-        if plain and len(steps) == 2 and steps[0].get("type") == "Split" and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and steps[1].get("type") == "ByteLevel":
-            self.find = regex.compile(steps[0]["pattern"]["Regex"]).findall
+        forms = norm.get("normalizers", [norm])
+        plain = [n.get("type") for n in forms] == ["NFC", "Replace", "Lowercase"] and forms[1].get("pattern") == SPACES and forms[1].get("content") == " "
+        self.by_word = bool(plain and len(steps) == 2 and steps[0].get("type") == "Split" and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and steps[1].get("type") == "ByteLevel")
         self.keep = keep
         self.known: dict[str, int] = {}
         self.table = np.zeros(1 << 20, dtype=np.uint32)
         self.ends = np.zeros(1 << 18, dtype=np.int64)  # where the ids of word i + 1 end; word 0 has none
 
     def learn(self, words: list[str]) -> None:
-        """Encodes words in runs joined by a space, and cuts the ids by the piece that each came from."""
+        """Encodes words in runs joined by a space, and cuts the ids by the place that each came from."""
         for at in range(0, len(words), self.JOINED):
             run = words[at : at + self.JOINED]
             encoded = self.tokenizer.encode(" ".join(run), add_special_tokens=False)
-            pieces = np.array([len(self.find(w)) for w in run], dtype=np.int64)
-            per_piece = np.bincount(np.array(encoded.word_ids, dtype=np.int64), minlength=int(pieces.sum())) if encoded.ids else np.zeros(0, np.int64)
-            counts = np.diff(np.concatenate([[0], np.cumsum(per_piece)])[np.concatenate([[0], np.cumsum(pieces)])])
+            begins = np.cumsum([0, *[len(w) + 1 for w in run[:-1]]])
+            whose = np.searchsorted(begins, np.array([o[0] for o in encoded.offsets], dtype=np.int64), side="right") - 1
+            counts = np.bincount(whose, minlength=len(run))
             n, first = len(self.known), int(self.ends[len(self.known)])
             while first + len(encoded.ids) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
@@ -168,7 +169,7 @@ class PieceEncoder:
         import unicodedata
         from itertools import repeat
 
-        if self.find is None or any(s in text for s in self.special):
+        if not self.by_word or any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
@@ -203,12 +204,12 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, se
     from pyspark import TaskContext
 
     encode, part = piece_encoder(path), TaskContext.get().partitionId()
-    docs, parts, held, segment = [], [], 0, 0
+    docs, parts, held, segment, before = [], [], 0, 0, 0
 
     def close() -> pa.RecordBatch:
         blob = pack(np.array(docs, dtype=np.int64), np.array([len(p) for p in parts], dtype=np.int64), np.concatenate(parts))
-        row = (part, segment, len(docs), held, docs[0], docs[-1], blob)
-        types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        row = (part, segment, before, len(docs), held, docs[0], docs[-1], blob)
+        types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         names = [c.split()[0] for c in SEGMENT_SCHEMA.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
 
@@ -221,7 +222,7 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, se
             held += len(ids)
             if held >= segment_tokens:
                 yield close()
-                docs, parts, held, segment = [], [], 0, segment + 1
+                docs, parts, held, segment, before = [], [], 0, segment + 1, before + held
     if docs:
         yield close()
 
@@ -231,12 +232,12 @@ def write_codes(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = E
 
     Null texts are empty, and an empty text is its end id alone. Rows with a
     null ``doc_id`` come first, under the id -2^63. Rows that repeat an id are
-    kept, next to each other. An empty table writes a table without rows. Other
+    kept, next to each other in the order of their texts. An empty table writes a table without rows. Other
     columns are not read. A segment closes once it holds ``segment_tokens``
     tokens, so a task holds one segment and one document at a time.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), text_or_empty().alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     task = partial(encode_batches, path=tokenizer_path, end_id=end_id, segment_tokens=segment_tokens)
     ordered.mapInArrow(task, SEGMENT_SCHEMA).write.parquet(path)
 
@@ -257,16 +258,25 @@ def decode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             )
 
 
+def placed(table: DataFrame) -> DataFrame:
+    """The segments of ``table`` with ``start``, the count of all tokens before them.
+
+    A segment knows the tokens before it in its part, so only the parts' totals, a
+    row for each task that wrote, are summed up and sent to the segments.
+    """
+    totals = table.groupBy("part").agg(F.sum("n_tokens").alias("total"))
+    first = (F.sum("total").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("total")).alias("first")
+    return table.join(sent_whole(cut(totals.select("part", first)), BROADCAST_PARTS), "part").withColumn("start", F.col("first") + F.col("before")).drop("first")
+
+
 def read_codes(spark, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the segments at ``path``.
 
-    ``start`` counts the ids of all documents before it: a prefix sum over the
-    segments' counts, read without their blobs.
+    ``start`` counts the ids of all documents before it. Segments are decoded where
+    they are read; nothing is exchanged but the parts' totals.
     """
-    table = spark.read.schema(SEGMENT_SCHEMA).parquet(path)
-    at = starts(table.select("part", "segment", "n_tokens"), "part", "segment", "n_tokens")
-    placed = table.select("part", "segment", "blob").join(at, ["part", "segment"])
-    return placed.select("start", "blob").mapInArrow(decode_batches, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    table = placed(spark.read.schema(SEGMENT_SCHEMA).parquet(path))
+    return table.select("start", "blob").mapInArrow(decode_batches, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokens_at(spark, path: str, wanted: DataFrame) -> DataFrame:
@@ -276,14 +286,12 @@ def tokens_at(spark, path: str, wanted: DataFrame) -> DataFrame:
     fixed-width blocks of positions, and only that token is read. Positions
     outside the corpus, and null ones, return no row.
     """
-    table = spark.read.schema(SEGMENT_SCHEMA).parquet(path)
-    at = starts(table.select("part", "segment", "n_tokens"), "part", "segment", "n_tokens")
     width = SEGMENT_TOKENS
-    placed = table.select("part", "segment", "n_tokens", "blob").join(at, ["part", "segment"])
-    placed = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("start") + F.col("n_tokens") - 1) / width))))
+    table = placed(spark.read.schema(SEGMENT_SCHEMA).parquet(path))
+    table = table.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("start") + F.col("n_tokens") - 1) / width))))
     asked = wanted.select(F.col("position").cast("long").alias("position")).where("position >= 0").withColumn("block", F.floor(F.col("position") / width))
     inside = (F.col("position") >= F.col("start")) & (F.col("position") < F.col("start") + F.col("n_tokens"))
-    found = asked.join(placed, "block").where(inside).select("position", "start", "blob")
+    found = asked.join(table, "block").where(inside).select("position", "start", "blob")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,9 +304,7 @@ def tokens_at(spark, path: str, wanted: DataFrame) -> DataFrame:
 
 def token_codes(docs: DataFrame, tokenizer_path: str, path: str | None = None, **options) -> DataFrame:
     """Write ``docs`` as codes to ``path`` (a new table in the shared folder by default) and read them back."""
-    import uuid
-
     spark = docs.sparkSession
-    path = path or f"{shared_dir(spark)}/codes/{uuid.uuid4().hex}"
+    path = path or new_table(spark)
     write_codes(docs, path, tokenizer_path, **options)
     return read_codes(spark, path)
