@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import cut, row_digest, sent_whole, text_or_empty
 
 TARGET = 0.97  # of the largest entropy that so many sources can have
 MAX_REPEATS = 3.0
@@ -25,7 +25,9 @@ BLOCK_TOKENS = 1 << 16
 BUCKET_TOKENS = 1 << 14
 HALVINGS = 5  # in one pass over the sources
 PASSES = 6
+BROADCAST_SOURCES = 1_000_000
 NO_SOURCE = "\x00"
+UNIT = ("doc_id", "source", "text")  # what tells a row
 
 
 @dataclass(frozen=True)
@@ -64,10 +66,6 @@ def solve(sources: DataFrame, target: float, max_repeats: float, budget_tokens:
     def budget(exponent: float, z: float) -> float:
         return float(budget_tokens) if budget_tokens else row["most"] / (largest**exponent / z)
 
-    def fits(exponent: float, z: float, entropy: float) -> bool:
-        """Whether shares need not be flattened further, or may not be."""
-        return entropy >= goal
-
     def repeats(exponent: float, z: float) -> float:
         return budget(exponent, z) * smallest**exponent / z / row["least"]
 
@@ -115,11 +113,12 @@ def mix(docs: DataFrame, target: float = TARGET, max_repeats: float = MAX_REPEAT
 
     Running sums over a source are taken in two steps, over buckets of the
     permutation and within each, so the work of a source that holds most of the
-    rows is spread over as many buckets as its tokens ask for.
+    rows is spread over as many buckets as its tokens ask for. The table of sources
+    is sent to every task under a bound, and readings are dealt out by bucket.
     """
     text = text_or_empty()
     words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
-    rows = docs.select(row_key().alias("row_key"), F.col("doc_id"), F.coalesce("source", F.lit(NO_SOURCE)).alias("source"), words.cast("long").alias("words"))
+    rows = docs.select(row_digest(*UNIT).alias("row_key"), F.col("doc_id"), F.coalesce("source", F.lit(NO_SOURCE)).alias("source"), words.cast("long").alias("words"))
     units = cut(rows.groupBy("row_key", "source").agg(F.min("doc_id").alias("doc_id"), F.sum("words").alias("tokens")))
     sources = units.groupBy("source").agg(F.sum("tokens").alias("source_tokens"))
     # a source without a token weighs as one with a single token
@@ -130,9 +129,11 @@ def mix(docs: DataFrame, target: float = TARGET, max_repeats: float = MAX_REPEAT
     weight = F.pow(F.col("source_tokens") / mixture.total, F.lit(mixture.exponent)) / mixture.normaliser
     plan = sources.withColumn("granted", F.round(F.lit(mixture.budget) * weight, 3)).withColumn("passes", F.greatest(F.lit(1), F.ceil(F.round(F.col("granted") / F.col("source_tokens"), 6))).cast("int"))
     plan = plan.withColumn("buckets", F.ceil(F.col("source_tokens") / BUCKET_TOKENS))
-    readings = units.join(plan, "source").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
+    readings = units.join(sent_whole(cut(plan), BROADCAST_SOURCES), "source").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
     place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "source", "pass", "row_key"), 11) / F.lit(float(1 << 53))
     readings = readings.withColumn("place", place).withColumn("bucket", F.floor(F.col("place") * F.col("buckets")))
+    # each bucket by itself: a source's readings never come to one task
+    readings = readings.repartition("source", "pass", "bucket")
     totals = readings.groupBy("source", "pass", "bucket").agg(F.sum("tokens").alias("bucket_tokens"))
     before = totals.withColumn("bucket_start", F.sum("bucket_tokens").over(W.partitionBy("source", "pass").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("bucket_tokens")).drop("bucket_tokens")
     inside = W.partitionBy("source", "pass", "bucket").orderBy("place", "row_key").rowsBetween(W.unboundedPreceding, 0)
@@ -149,13 +150,8 @@ def named(source: str):
     return F.when(F.col(source) != NO_SOURCE, F.col(source)).alias(source)
 
 
-def row_key():
-    """A row's id, source and text as one number."""
-    return F.xxhash64("doc_id", "source", "text")
-
-
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with each row as often as the mixture reads it, all columns kept."""
     readings = mix(docs, **options).select("row_key")
-    keyed = docs.withColumn("_fl_row_key", row_key())
+    keyed = docs.withColumn("_fl_row_key", row_digest(*UNIT))
     return keyed.join(readings, keyed["_fl_row_key"] == readings["row_key"]).select(*[keyed[c] for c in docs.columns])
