@@ -15,32 +15,33 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm import decontaminate, language, mixture, near_duplicates
 from fieldloom.llm.codes import token_codes
-from fieldloom.llm.common import written
+from fieldloom.llm.common import row_digest, written
 from fieldloom.llm.queries import tokenizer_path
 
 MAX_REPEATS = 1.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labels know; the others go. A document's source is its host."""
-    none = F.lit(None).cast("string")
-    key = F.xxhash64("doc_id", "source", "text")
-    rows = docs.select(key.alias("row_key"), F.col("source").alias("host"), none.alias("markup"), none.alias("address"), "text")
-    found = language.identify(rows, language.fit(docs))
-    refused = found.where(~F.col("accepted")).select(F.col("row_key").alias("_fl_refused"))
+    """Documents in a language that the labels know; the others go. A document's source is its host.
+
+    A verdict rests on source and text, so rows that share both share it.
+    """
+    none, key = F.lit(None).cast("string"), row_digest("source", "text")
+    rows = docs.select(key.alias("_fl_refused"), F.col("source").alias("host"), none.alias("markup"), none.alias("address"), "text")
+    refused = language.identify(rows, language.fit(docs)).where(~F.col("accepted")).select("_fl_refused").distinct()
     return docs.join(refused, key == F.col("_fl_refused"), "left_anti")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that with the smallest id; of rows that are the same, one.
 
-    A row without an id is told by its text.
+    Rows without an id come after all others. Rows are told by id and text.
     """
-    key = F.coalesce(F.col("doc_id"), F.bitwise_not(F.shiftrightunsigned(F.xxhash64("text"), 1)))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), row_digest("text").alias("text"))
     found = near_duplicates.near_duplicates(docs.select(key.alias("row_key"), "text"))
     kept = found.where("kept").select(F.col("row_key").alias("_fl_kept")).distinct()
-    rows = docs.withColumn("_fl_key", key).withColumn("_fl_text", F.xxhash64("text"))
-    return rows.join(kept, F.col("_fl_key") == F.col("_fl_kept"), "left_semi").dropDuplicates(["_fl_key", "_fl_text"]).select(*docs.columns)
+    rows = docs.withColumn("_fl_key", key)
+    return rows.join(kept, F.col("_fl_key") == F.col("_fl_kept"), "left_semi").dropDuplicates(["_fl_key"]).select(*docs.columns)
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
