@@ -1,7 +1,9 @@
+import re
+
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from fieldloom.llm import decontaminate as D
 
@@ -32,9 +34,23 @@ def test_tiles_do_not_overlap_and_cover_what_greed_covers(item, doc):
     places = [k for i, n in got for k in range(i, i + n)]
     assert len(places) == len(set(places))
     assert all(n >= 2 for _, n in got)
-    longest = max((n for _, n in got), default=0)
-    want = plain_tiling(item, doc, 2)
-    assert (want > 0) == (longest > 0)
+    assert sum(n for _, n in got) == plain_tiling(item, doc, 2)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=3, max_size=16), st.lists(st.integers(0, 4), max_size=60))
+def test_stretches_with_seeds_give_the_tiles_of_the_whole_document(item, doc):
+    item, doc = np.array(item, dtype=np.uint64), np.array(doc, dtype=np.uint64)
+    hit = np.flatnonzero(np.isin(D.window_hashes(doc, 3), D.window_hashes(np.concatenate([item, [2, 1, 0, 1, 2]]).astype(np.uint64), 3)))
+    got = D.coverage(item, [doc[a:b] for a, b in D.stretches(hit, 3)], 3)
+    assert sum(n for _, n in got) == plain_tiling(item.tolist(), doc.tolist(), 3)
+
+
+@pytest.mark.parametrize("times", [4, 63, 64, 65, 500])
+def test_a_passage_said_over_and_over_covers_alike(times):
+    item = np.array([*range(9), 100, *range(9), 101, *range(9), 102, *range(9)], dtype=np.uint64)
+    parts = [np.arange(9, dtype=np.uint64)] * times
+    assert sum(n for _, n in D.coverage(item, parts, 5)) == 36
 
 
 def words(a, b):
@@ -48,9 +64,15 @@ def test_passages_in_order_or_not(spark, odd_docs):
     )
     got = {(r["doc_id"], r["item_id"]): r["covered_words"] for r in D.contaminations(docs, bench).collect()}
     assert got == {(10, 1): 40, (11, 1): 27, (13, 2): 30, (None, 1): 40, (15, 1): 40, (15, 2): 30}
-    again = {(r["doc_id"], r["item_id"]): r["covered_words"] for r in D.contaminations(docs, bench, block_words=10).collect()}
-    assert again == got
-    assert sorted(r["doc_id"] for r in docs.where(D.is_clean(F.col("text"), bench)).collect()) == [12, 14]
+    assert sorted(r["doc_id"] for r in D.clean_documents(docs, bench).collect()) == [12, 14]
+
+
+def test_a_crowded_filter_changes_nothing(spark, monkeypatch):
+    monkeypatch.setattr(D, "FILTER_BITS", 6)  # every window goes to the join
+    bench = spark.createDataFrame([(k, words(40 * k, 40 * k + 40)) for k in range(60)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, words(20 * k, 20 * k + 30)) for k in range(120)], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in D.contaminations(docs, bench).collect()}
+    assert got == {(d, i) for d in range(120) for i in range(60) if min(20 * d + 30, 40 * i + 40) - max(20 * d, 40 * i) >= 20}
 
 
 def test_odd_tables(spark, odd_docs, no_docs):
@@ -58,4 +80,29 @@ def test_odd_tables(spark, odd_docs, no_docs):
     assert D.contaminations(odd_docs, bench).count() == 0
     assert D.contaminations(no_docs, bench).count() == 0
     assert D.contaminations(odd_docs, bench.where("false")).count() == 0
-    assert odd_docs.where(D.is_clean(F.col("text"), bench)).count() == odd_docs.count()
+    clean = D.clean_documents(odd_docs, bench)
+    assert clean.columns == odd_docs.columns and clean.count() == odd_docs.count()
+
+
+def plain_held(doc, items, least=5, threshold=0.5):
+    """Items that a text holds, each compared with all of the text by the definition of greedy tiling."""
+    own, out = re.findall(r"\w+", doc.lower()), {}
+    windows = {tuple(own[k : k + least]) for k in range(len(own) - least + 1)}
+    for item_id, text in items:
+        w = re.findall(r"\w+", text.lower())
+        if any(tuple(w[k : k + least]) in windows for k in range(len(w) - least + 1)):
+            covered = plain_tiling(w, own, least)
+            if covered and covered >= threshold * len(w):
+                out[item_id] = covered
+    return out
+
+
+def test_query_is_the_definition(spark):
+    from fieldloom.llm.queries import op1_decontamination, table
+
+    sf = "/root/testdata/sf0.001"
+    items = [(r["item_id"], r["text"] or "") for r in table(spark, sf, "benchmark").collect()]
+    got = {(r["doc_id"], r["item_id"]): r["covered_words"] for r in op1_decontamination(spark, sf).collect()}
+    want = {(r["doc_id"], i): n for r in table(spark, sf, "documents").collect() if len(r["text"] or "") < 20_000 for i, n in plain_held(r["text"] or "", items).items()}
+    long_ones = {r["doc_id"] for r in table(spark, sf, "documents").collect() if len(r["text"] or "") >= 20_000}
+    assert {k: n for k, n in got.items() if k[0] not in long_ones} == want and want
