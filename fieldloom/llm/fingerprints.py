@@ -4,8 +4,11 @@ A text is cut into paragraph pieces, and each different piece has a 64-bit diges
 A sketch deals every digest to one cell in each of three tables; a cell holds a
 count, the XOR of its digests and the XOR of their check values. The sketch of
 one version less that of another holds the digests that differ; a cell with one
-of them shows it, and taking it out of its other cells shows further ones. When
-digests are left over, the pair is sketched again with more cells.
+of them shows it, and taking it out of its other cells shows further ones. Every
+fingerprint holds a small sketch of one size, and two are compared by taking one
+from the other. When digests are left over, what the cells hold tells about how
+many differ, and the pair is sketched again with as many cells as those ask for,
+and twice as many each further time.
 """
 
 from __future__ import annotations
@@ -19,10 +22,8 @@ from .common import cut, text_or_empty
 
 TABLES = 3
 CELLS = 24  # of the stored fingerprint
-LEAST_CELLS = 15
-ROUNDS = 9
-ATTEMPTS = 12
-BROADCAST_PAIRS = 1_000_000
+ROUNDS = 12
+ATTEMPTS = 10
 SHORT_TEXT = 300
 TINY_TEXT = 60
 LONG_PIECE = 400
@@ -108,12 +109,17 @@ def peel(cells: DataFrame, by: list[str], rounds: int = ROUNDS) -> DataFrame:
     return cells
 
 
-def stored(rows: DataFrame, by: list[str]) -> DataFrame:
-    """(by…, cells): the sketch of the set ``a`` of each row as a string, CELLS cells at most, the empty ones left out."""
+def stored_cells(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Cells of the sketch of the set ``a`` of each row, all of one size."""
     sized = rows.select(*by, "a", F.array().cast("array<bigint>").alias("b"), F.lit(CELLS // TABLES).cast("long").alias("width"), F.lit(0).alias("seed"))
-    cells = difference_cells(sized, by).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("cell", *STATE))).alias("cells"))
-    shown = F.transform("cells", lambda c: F.concat_ws(".", *[F.hex(c[x]) for x in ("cell", *STATE)]))
-    return cells.select(*by, F.array_join(shown, ",").alias("cells"))
+    return difference_cells(sized, by)
+
+
+def shown(cells: DataFrame, by: list[str]) -> DataFrame:
+    """(by…, cells): stored cells as a string, the empty ones left out."""
+    packed = cells.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("cell", *STATE))).alias("cells"))
+    said = F.transform("cells", lambda c: F.concat_ws(".", *[F.hex(c[x]) for x in ("cell", *STATE)]))
+    return packed.select(*by, F.array_join(said, ",").alias("cells"))
 
 
 def fingerprint(text_hash: Column, pieces_found: Column, cells: Column) -> Column:
@@ -125,39 +131,59 @@ def fingerprint(text_hash: Column, pieces_found: Column, cells: Column) -> Colum
     return F.concat_ws(":", F.lit(f"iblt{CELLS}"), F.hex(text_hash), F.size(pieces_found).cast("string"), F.coalesce(cells, F.lit("")))
 
 
-def width_for(most: Column, attempt: int) -> Column:
-    """Cells of each table for differences of up to ``most`` digests; twice as many with each attempt."""
-    return F.greatest(F.lit(LEAST_CELLS // TABLES), F.ceil(most * (0.6 * 2**attempt) + 1)).cast("long")
+def subtracted(cells: DataFrame, home: str) -> DataFrame:
+    """(home, side, width, seed, cell, state): the stored cells of side 0 less those of each other side of a ``home``."""
+    others = F.array(*[F.struct(F.lit(s).alias("to"), F.lit(1).alias("sign")) for s in (1, 2)])
+    to = F.when(F.col("side") == 0, others).otherwise(F.array(F.struct(F.col("side").alias("to"), F.lit(-1).alias("sign"))))
+    rows = cells.select(home, "width", "seed", "cell", *STATE, F.explode(to).alias("t"))
+    return summed(rows.select(home, F.col("t.to").alias("side"), "width", "seed", "cell", (F.col("n") * F.col("t.sign")).alias("n"), "key", "chk"), [home, "side"])
+
+
+def width_for(about: Column, n_a: Column, n_b: Column, attempt: int) -> Column:
+    """Cells of each table for about as many differences, which the sets' sizes bound; twice as many with each attempt."""
+    within = F.least(F.greatest(about, F.abs(n_a - n_b)), n_a + n_b)
+    return F.ceil(within * (0.7 * 2 ** (attempt - 1)) + 3).cast("long")
 
 
-def compare(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """(by…, only_a, only_b): how many digests of ``a`` aren't in ``b``, and the reverse, for rows of ``pairs`` (by…, a, b).
+def compare(pairs: DataFrame, cells: DataFrame, home: str) -> DataFrame:
+    """(home, side, only_a, only_b): how many digests of ``a`` aren't in ``b``, and the reverse, for rows of ``pairs`` (home, side, a, b).
 
-    The differences are peeled from sketches; pairs whose sketch holds more than
-    peeling recovers are sketched again, larger and with other hashes. Null arrays
-    are empty. ``by`` is the pair's key and is unique.
+    ``cells`` are the differences of their stored sketches. Pairs whose sketch holds
+    more than peeling recovers are sketched again, larger and with other hashes; for
+    one that is still not peeled after ATTEMPTS, the sets themselves are compared.
+    Null arrays are empty. A home's side is unique. Pairs without a difference leave
+    no cell, and have no row. Only counts are exchanged.
     """
-    empty = F.array().cast("array<bigint>")
+    by, empty = [home, "side"], F.array().cast("array<bigint>")
     rest = pairs.select(*by, F.coalesce("a", empty).alias("a"), F.coalesce("b", empty).alias("b"))
     done = None
     for attempt in range(ATTEMPTS):
-        sized = rest.withColumn("width", width_for(F.size("a") + F.size("b"), attempt)).withColumn("seed", F.lit(attempt + 1))
-        peeled = peel(difference_cells(sized, by), by, ROUNDS + TABLES * min(attempt, 2))
+        peeled = peel(cells, by, ROUNDS + TABLES * min(attempt, 4))
+        inside, n = F.col("cell") >= 0, F.col("n").cast("double")
         counts = peeled.groupBy(*by).agg(
             F.sum(F.when(F.col("cell") == ONLY_A, F.col("n")).otherwise(0)).alias("only_a"),
             F.sum(F.when(F.col("cell") == ONLY_B, F.col("n")).otherwise(0)).alias("only_b"),
-            F.sum(F.when(F.col("cell") >= 0, 1).otherwise(0)).alias("left"),
+            F.sum(F.when(inside, 1).otherwise(0)).alias("left"),
+            # digests of both signs fall on cells at random: the squares of the counts tell how many there are
+            F.sum(F.when(inside, n * n).otherwise(0.0)).alias("squares"),
+            F.sum(F.when(inside, n).otherwise(0.0)).alias("sum"),
+            F.max("width").alias("width"),
         )
         counts = cut(counts)
-        good = counts.where("left = 0").drop("left")
+        good = counts.where("left = 0").select(*by, "only_a", "only_b")
         done = good if done is None else done.unionAll(good)
-        failed = counts.where("left > 0").select(*by)
-        n = failed.count()
-        if not n:
-            break
-        rest = rest.join(F.broadcast(failed) if n <= BROADCAST_PAIRS else failed, by, "left_semi")
-    # pairs without a difference leave no cell
-    return done
+        failed = counts.where("left > 0")
+        if failed.isEmpty():
+            return done
+        surplus = F.col("sum") / TABLES
+        about = F.col("only_a") + F.col("only_b") + F.greatest(F.lit(1.0), (F.col("squares") / TABLES - surplus * surplus / F.col("width")) / (1 - 1 / F.col("width")))
+        failed = failed.groupBy(home).agg(F.map_from_entries(F.collect_list(F.struct("side", about.alias("about")))).alias("_about"))
+        again = rest.join(failed, home).withColumn("about", F.col("_about")[F.col("side")]).where("about is not null")
+        n_a, n_b = F.size("a"), F.size("b")
+        if attempt < ATTEMPTS - 1:
+            cells = difference_cells(again.withColumn("width", width_for(F.col("about"), n_a, n_b, attempt + 1)).withColumn("seed", F.lit(attempt + 1)), by)
+    exact = again.select(*by, F.size(F.array_except("a", "b")).cast("long").alias("only_a"), F.size(F.array_except("b", "a")).cast("long").alias("only_b"))
+    return done.unionAll(exact)
 
 
 def likeness(n_a: Column, n_b: Column, only_a: Column, only_b: Column) -> Column:
@@ -192,7 +218,9 @@ def version_fingerprints(docs: DataFrame) -> DataFrame:
     no rows. Other columns are not read.
 
     Texts are exchanged once by id, and of each the part that the document before
-    needs once more.
+    needs once more. The digests stay where the exchange has put them, on disk: to
+    read them from a checkpoint would exchange them, and all cells, again. Lost
+    ones are made again from the texts.
     """
     rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", text_or_empty().alias("text"))
     unique = rows.groupBy("doc_id").agg(F.min(F.struct(F.length("text"), "text")).alias("least")).select("doc_id", F.col("least.text").alias("text"))
@@ -203,13 +231,14 @@ def version_fingerprints(docs: DataFrame) -> DataFrame:
     edited = F.concat(F.substr("text", F.lit(1), F.length("text") - F.col("half")), F.col("instead"))
     both = both.withColumn("edited", edited).select("doc_id", F.length("text").cast("long").alias("n_chars"), "text", "edited", digests(F.col("text")).alias("own_set"), digests(F.col("edited")).alias("edited_set"), "next_set")
     marks = both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("text").alias("own_hash"), F.xxhash64("edited").alias("edited_hash"), "own_set", "edited_set", "next_set").persist(StorageLevel.DISK_ONLY)
-    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("edited_set").alias("b")), F.struct(F.lit(1).alias("side"), F.col("next_set").alias("b")))
-    pairs = marks.select("doc_id", F.col("own_set").alias("a"), F.explode(sides).alias("s")).select("doc_id", "s.side", "a", "s.b")
-    counts = compare(pairs, ["doc_id", "side"])
+    sets = F.array(*[F.struct(F.lit(k).alias("side"), F.col(c).alias("a")) for k, c in enumerate(("own_set", "edited_set", "next_set"))])
+    cells = stored_cells(marks.select("doc_id", F.explode(sets).alias("s")).select("doc_id", "s.side", "s.a"), ["doc_id", "side"])
+    others = F.array(F.struct(F.lit(1).alias("side"), F.col("edited_set").alias("b")), F.struct(F.lit(2).alias("side"), F.col("next_set").alias("b")))
+    pairs = marks.select("doc_id", F.col("own_set").alias("a"), F.explode(others).alias("s")).select("doc_id", "s.side", "a", "s.b")
+    counts = compare(pairs, subtracted(cells, "doc_id"), "doc_id")
     gone = lambda side, name: F.sum(F.when(F.col("side") == side, F.col(name)).otherwise(0))
-    wide = counts.groupBy("doc_id").agg(*[gone(s, n).alias(f"{n}_{s}") for s in (0, 1) for n in ("only_a", "only_b")])
-    texts = F.array(F.struct(F.lit(0).alias("side"), F.col("own_set").alias("a")), F.struct(F.lit(1).alias("side"), F.col("edited_set").alias("a")))
-    cells = stored(marks.select("doc_id", F.explode(texts).alias("s")).select("doc_id", "s.side", "s.a"), ["doc_id", "side"])
+    wide = counts.groupBy("doc_id").agg(*[gone(s, n).alias(f"{n}_{s}") for s in (1, 2) for n in ("only_a", "only_b")])
+    cells = shown(cells.where("side < 2"), ["doc_id", "side"])
     cells = cells.groupBy("doc_id").agg(*[F.max(F.when(F.col("side") == s, F.col("cells"))).alias(f"cells_{s}") for s in (0, 1)])
     out = marks.join(wide, "doc_id", "left").join(cells, "doc_id", "left")
     n, zero = lambda c: F.size(c).cast("long"), lambda c: F.coalesce(F.col(c), F.lit(0))
@@ -219,6 +248,6 @@ def version_fingerprints(docs: DataFrame) -> DataFrame:
         "edited_sha256",
         fingerprint(F.col("own_hash"), F.col("own_set"), F.col("cells_0")).alias("fingerprint"),
         fingerprint(F.col("edited_hash"), F.col("edited_set"), F.col("cells_1")).alias("edited_fingerprint"),
-        likeness(n("own_set"), n("edited_set"), zero("only_a_0"), zero("only_b_0")).alias("near_edited"),
-        likeness(n("own_set"), n("next_set"), zero("only_a_1"), zero("only_b_1")).alias("near_next"),
+        likeness(n("own_set"), n("edited_set"), zero("only_a_1"), zero("only_b_1")).alias("near_edited"),
+        likeness(n("own_set"), n("next_set"), zero("only_a_2"), zero("only_b_2")).alias("near_next"),
     )
