@@ -1,13 +1,16 @@
 """Personal data replaced by surrogates, with DataFrame functions alone.
 
 Mail addresses, phone and card numbers, network addresses, keys and titled names
-are found by one pattern. Each gets a surrogate drawn from a keyed hash of its
-kind and its value in a plain spelling, so the same entity has the same surrogate
-in every document. A surrogate keeps the kind's form: separators, country code,
-issuer digit and check digit of numbers, hexadecimal digits and case of keys, and
-for names the title, the gender that it tells, and the script. Two entities, or
-an entity and a surrogate, that would read the same are told apart: all but the
-first draw again.
+are found by one pattern; a number is a card's only if its check digit holds. A
+mention is drawn from one entity or, for a name, from two: the given and the
+family name are entities of their own, so that short and full mentions agree. An
+entity's surrogate comes from a keyed hash of its kind and its value in a plain
+spelling, so it is the same in every document. A surrogate keeps the kind's form:
+separators, country code, issuer digit and check digit of numbers, hexadecimal
+digits and case of keys, and for names the title, the gender that titles tell, and
+the script. Two entities, or an entity and a surrogate, that would read the same
+are told apart: all but the first draw again, from more surrogates each time,
+until none is left.
 """
 
 from __future__ import annotations
@@ -15,17 +18,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let, text_or_empty
+from .common import cut, joined_evenly, let, row_digest, sent_whole, text_or_empty, written
 
 # Titles by the gender that they tell, in Latin, Cyrillic and Greek script.
 MALE = "Mr Herr Herrn Monsieur Señor Sr Signor Господин Κύριος".split()
 FEMALE = "Mrs Ms Miss Frau Madame Mme Mademoiselle Señora Señorita Sra Signora Госпожа Κυρία".split()
 EITHER = "Dr Prof Professor Доктор".split()
-# Beginnings and endings of made-up names by script.
-ONSETS = {
-    "latin": "al bar cor dal el fen gar hol in jor kel lan mar nor ol per quin ral sel tal ul ven wil yar zan bel dor fal hel mir".split(),
-    "cyrillic": "ал бор вер гор дан ел жар зар ил кор лан мар нор ол пер рад сел тал ул фил хар чер шар эл юр яр бел дор вол мир".split(),
-    "greek": "αλ βαρ γερ δαν ελ ζαρ ηλ θαλ ιων κορ λαν μαρ νορ ολ περ ραλ σελ ταλ φιλ χαρ ψαλ ωρ βελ δορ μιρ".split(),
+# Consonants, vowels and closings of made-up syllables, and endings of made-up names, by script.
+SYLLABLES = {
+    "latin": ("b d f g h j k l m n p r s t v w z".split(), "a e i o u".split(), ["", "l", "n", "r", "s", "m"]),
+    "cyrillic": ("б в г д ж з к л м н п р с т ф х ш".split(), "а е и о у".split(), ["", "л", "н", "р", "с", "м"]),
+    "greek": ("β γ δ ζ θ κ λ μ ν π ρ σ τ φ χ ψ".split(), "α ε ι ο ω".split(), ["", "λ", "ν", "ρ", "σ", "μ"]),
 }
 ENDINGS = {
     ("latin", "male"): "an en or us ard win to mund".split(),
@@ -52,17 +55,18 @@ CARD = r"(?<![\p{L}\p{N}])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\p{L}\p{N}])"
 NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{TITLES})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?"
 PATTERN = "|".join((EMAIL, IPV4, HEX, SECRET, PHONE, CARD, NAME))
 KINDS = ("email", "ip", "phone", "card", "name", "key")
-ENTITY = "value string, kind string, plain string"
 KEY = "surrogates-1"
-ROUNDS = 12
+FIXED_FORM = 8  # draws within the form of an entity; further ones are longer
+BROADCAST_TEXTS = 100_000
+MARK, HELD, MARK_SAID, HELD_SAID = "\x01", "\x02", "\x02\x03", "\x02\x04"  # what stands around a mention, and what stands for these signs in texts
 
 
 def kind_of(value: Column) -> Column:
-    """What an entity is, by its own form."""
+    """What a mention is, by its own form; null for a number that only looks like a card's."""
     return (
         F.when(value.contains("@") & value.rlike(rf"^(?:{EMAIL})$"), "email")
         .when(value.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), "ip")
-        .when(value.rlike(rf"^(?:{CARD})$"), "card")
+        .when(value.rlike(rf"^(?:{CARD})$"), F.when(luhn(value) % 10 == 0, "card"))
         .when(value.rlike(rf"^(?:{PHONE})$"), "phone")
         .when(value.rlike(rf"^(?:{NAME})$"), "name")
         .otherwise("key")
@@ -71,7 +75,22 @@ def kind_of(value: Column) -> Column:
 
 def plain(value: Column, kind: Column) -> Column:
     """The spelling under which one entity's mentions are the same."""
-    return F.when(kind.isin("phone", "card"), F.regexp_replace(value, r"\D", "")).when(kind == "name", F.regexp_replace(value, r"\.? +", " ")).otherwise(F.lower(value))
+    return F.when(kind.isin("phone", "card"), F.regexp_replace(value, r"\D", "")).otherwise(F.lower(value))
+
+
+def title_of(name: Column) -> Column:
+    return F.regexp_extract(name, rf"^((?:{TITLES})\.?)", 1)
+
+
+def names_of(name: Column) -> Column:
+    """The names after the title: a family name, or a given and a family name."""
+    return F.split(F.trim(F.substr(name, F.length(title_of(name)) + 1, F.length(name))), " +")
+
+
+def gender_of(name: Column) -> Column:
+    """The gender that a name's title tells."""
+    bare = F.regexp_replace(title_of(name), r"\.", "")
+    return F.when(bare.isin(MALE), "male").when(bare.isin(FEMALE), "female").otherwise("either")
 
 
 def digest(key: str, *parts: Column) -> Column:
@@ -89,9 +108,10 @@ def pick(choices: list[str], number: Column) -> Column:
     return F.get(F.array(*[F.lit(c) for c in choices]), F.pmod(number, F.lit(len(choices))).cast("int"))
 
 
-def letters(hexes: Column, n: int) -> Column:
+def letters(hexes: Column, n: Column) -> Column:
     """A word of ``n`` letters, consonant and vowel in turn."""
-    return F.concat(*[pick(list("bcdfghjklmnprstvz") if i % 2 == 0 else list("aeiou"), byte(hexes, F.lit(i)) + (byte(hexes, F.lit(i + 32)) * 7)) for i in range(n)])
+    either = lambda i: F.when(i % 2 == 0, pick(list("bcdfghjklmnprstvz"), byte(hexes, i) + byte(hexes, i + 32) * 7)).otherwise(pick(list("aeiou"), byte(hexes, i) + byte(hexes, i + 32) * 7))
+    return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), either), "")
 
 
 def each_sign(value: Column, change) -> Column:
@@ -100,7 +120,16 @@ def each_sign(value: Column, change) -> Column:
 
 
 def digits(value: Column, hexes: Column) -> Column:
-    return each_sign(value, lambda c, i: F.when(c.between("0", "9"), F.pmod(byte(hexes, i) * 7 + byte(hexes, i + 31), F.lit(10)).cast("string")).otherwise(c))
+    """``value`` with its digits drawn anew, each by how many digits come before it, whatever stands between them."""
+    before = lambda i: F.length(F.regexp_replace(F.substr(value, F.lit(1), i), r"\D", ""))
+    drawn = lambda i: F.pmod(byte(hexes, i) * 7 + byte(hexes, i + 31), F.lit(10)).cast("string")
+    return each_sign(value, lambda c, i: F.when(c.between("0", "9"), drawn(before(i))).otherwise(c))
+
+
+def longer(made: Column, own: Column, attempt: Column) -> Column:
+    """``made`` with digits after it where the draws within the form are used up."""
+    more = F.array_join(F.transform(F.sequence(F.lit(1), attempt - FIXED_FORM), lambda i: F.pmod(byte(own, i + 40), F.lit(10)).cast("string")), "")
+    return F.when(attempt > FIXED_FORM, F.concat(made, more)).otherwise(made)
 
 
 def luhn(number: Column) -> Column:
@@ -110,46 +139,54 @@ def luhn(number: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda a, x: a + x)
 
 
-def surrogate(value: Column, kind: Column, key: str, attempt: Column) -> Column:
-    """The replacement of one mention; mentions with the same plain spelling differ in layout and case only."""
+def surrogate(value: Column, kind: Column, key: str, attempt: Column, gender: Column) -> Column:
+    """The replacement of one entity; values with the same plain spelling give ones that differ in layout and case only."""
     own = digest(key, kind, plain(value, kind), attempt.cast("string"))
-    made = {"email": mail, "ip": network, "phone": phone, "card": card, "key": secret}
-    hashed = lambda make: let(own, lambda h: make(value, h, key))
-    out = F.when(kind == "name", person(value, key, attempt))
-    for name, make in made.items():
-        out = out.when(kind == name, hashed(make))
+    made = {
+        "email": lambda h: mail(value, h, key, attempt),
+        "ip": lambda h: network(h, attempt),
+        "phone": lambda h: longer(phone(value, h), h, attempt),
+        "card": lambda h: longer(card(value, h), h, attempt),
+        "given": lambda h: name(value, h, gender, attempt),
+        "family": lambda h: name(value, h, F.lit("family"), attempt),
+        "key": lambda h: longer(secret(value, h), h, attempt),
+    }
+    out = F.lit(None).cast("string")
+    for said, make in made.items():
+        out = F.when(kind == said, let(own, make)).otherwise(out)
     return out
 
 
-def mail(value: Column, own: Column, key: str) -> Column:
+def mail(value: Column, own: Column, key: str, attempt: Column) -> Column:
     """A word and the layout of the digits after it; the domain has a word of its own, under a name kept for examples."""
     local, domain = F.substring_index(value, "@", 1), F.lower(F.substring_index(value, "@", -1))
     tail = F.regexp_extract(local, r"([._-]?\d*)$", 1)
     shout = (F.upper(local) == local) & (F.lower(local) != local)
-    word = let(letters(own, 8), lambda w: F.when(shout, F.upper(w)).otherwise(w))
-    host = let(digest(key, F.lit("domain"), domain), lambda h: letters(h, 6))
+    word = let(letters(own, attempt + 8), lambda w: F.when(shout, F.upper(w)).otherwise(w))
+    host = let(digest(key, F.lit("domain"), domain), lambda h: letters(h, F.lit(6)))
     return F.concat(word, digits(tail, own), F.lit("@"), host, F.lit(".example."), F.substring_index(domain, ".", -1))
 
 
-def network(value: Column, own: Column, key: str) -> Column:
-    return F.concat_ws(".", *[(F.pmod(byte(own, F.lit(i)), F.lit(223 if i == 0 else 254)) + 1).cast("string") for i in range(4)])
+def network(own: Column, attempt: Column) -> Column:
+    """An address of the same form, or one of the longer form that is kept for examples once the draws are used up."""
+    short = F.concat_ws(".", *[(F.pmod(byte(own, F.lit(i)), F.lit(223 if i == 0 else 254)) + 1).cast("string") for i in range(4)])
+    return F.when(attempt > FIXED_FORM, F.concat(F.lit("2001:db8:"), F.regexp_replace(F.substring(own, 1, 24), "(....)(?=.)", "$1:"))).otherwise(short)
 
 
-def phone(value: Column, own: Column, key: str) -> Column:
+def phone(value: Column, own: Column) -> Column:
     """The country code stays."""
     code = F.regexp_extract(value, r"^(\+\d{1,3}[^\w\s]{0,3})", 1)
     return F.concat(code, digits(F.substr(value, F.length(code) + 1, F.length(value)), own))
 
 
-def card(value: Column, own: Column, key: str) -> Column:
-    """The issuer's digit stays, and a number that passes its check gives one that does."""
+def card(value: Column, own: Column) -> Column:
+    """The issuer's digit stays, and the last digit is the check over the others."""
     drawn = F.concat(F.substring(value, 1, 1), digits(F.substr(value, F.lit(2), F.length(value)), own))
     ended = lambda body: F.concat(body, F.pmod(F.lit(10) - F.pmod(luhn(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string"))
-    checked = lambda d: let(F.substr(d, F.lit(1), F.length(d) - 1), ended)
-    return let(drawn, lambda d: F.when(luhn(value) % 10 == 0, checked(d)).otherwise(d))
+    return let(F.substr(drawn, F.lit(1), F.length(drawn) - 1), ended)
 
 
-def secret(value: Column, own: Column, key: str) -> Column:
+def secret(value: Column, own: Column) -> Column:
     """Hexadecimal keys stay so; other signs keep their class and case."""
     bare_hex, shout = value.rlike("^[0-9a-fA-F]+$"), F.upper(value) == value
 
@@ -163,98 +200,107 @@ def secret(value: Column, own: Column, key: str) -> Column:
     return each_sign(value, sign)
 
 
-def person(value: Column, key: str, attempt: Column) -> Column:
-    """A titled name with the title kept, the given name by gender and script, the family name by script.
+def name(value: Column, own: Column, gender: Column, attempt: Column) -> Column:
+    """A name of ``value``'s script and case: made-up syllables, one more with each attempt, and an ending of its gender or of families."""
+    script = F.when(value.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(value.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
 
-    A family name's surrogate depends on it alone, so that a short and a full
-    mention agree.
-    """
-    title = F.regexp_extract(value, rf"^((?:{TITLES})\.?)", 1)
-    names = F.split(F.trim(F.substr(value, F.length(title) + 1, F.length(value))), " +")
-    bare = F.regexp_replace(title, r"\.", "")
+    def spelt(said: str) -> Column:
+        consonants, vowels, closings = SYLLABLES[said]
+        syllable = lambda i: F.concat(pick(consonants, byte(own, i * 3)), pick(vowels, byte(own, i * 3 + 1)), pick(closings, byte(own, i * 3 + 2)))
+        end = F.lit("")
+        for (of, kind), endings in ENDINGS.items():
+            if of == said:
+                end = F.when(gender == kind, pick(endings, byte(own, F.lit(63)))).otherwise(end)
+        return F.concat(F.array_join(F.transform(F.sequence(F.lit(0), attempt + 2), syllable), ""), end)
+
+    word = F.lit("")
+    for said in SYLLABLES:
+        word = F.when(script == said, spelt(said)).otherwise(word)
+    shout = (F.upper(value) == value) & (F.length(value) > 1)
+    return let(word, lambda w: F.when(shout, F.upper(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2), F.length(w)))))
+
+
+def parted(text: Column) -> Column:
+    """A text in parts: what stands between mentions, and at each odd place a mention."""
+    held = F.replace(F.replace(text, F.lit(HELD), F.lit(HELD_SAID)), F.lit(MARK), F.lit(MARK_SAID))
+    return F.split(F.regexp_replace(held, f"(?:{PATTERN})", f"{MARK}$0{MARK}"), MARK, -1)
 
-    def made(name: Column, role: str, genders: tuple[str, ...]) -> Column:
-        script = F.when(name.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(name.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
-        gender = F.lit("family") if role == "family" else F.when(bare.isin(MALE), "male").when(bare.isin(FEMALE), "female").otherwise("either")
 
-        def spelt(h: Column) -> Column:
-            out = F.lit("")
-            for case in (c for c in ENDINGS if c[1] in genders):
-                word = F.concat(*[pick(ONSETS[case[0]], byte(h, F.lit(i))) for i in (0, 1, 3)], pick(ENDINGS[case], byte(h, F.lit(2))))
-                out = F.when((script == case[0]) & (gender == case[1]), word).otherwise(out)
-            return out
+def whole(text: Column) -> Column:
+    """The text whose parts, joined, are ``text``."""
+    return F.replace(F.replace(text, F.lit(MARK_SAID), F.lit(MARK)), F.lit(HELD_SAID), F.lit(HELD))
 
-        shout = (F.upper(name) == name) & (F.length(name) > 1)
-        word = let(digest(key, F.lit(role), F.lower(name), attempt.cast("string")), spelt)
-        return let(word, lambda w: F.when(shout, F.upper(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2), F.length(w)))))
 
-    given, family = made(F.get(names, 0), "given", ("male", "female", "either")), made(F.element_at(names, -1), "family", ("family",))
-    return F.concat(title, F.lit(" "), F.when(F.size(names) > 1, F.concat(given, F.lit(" "), family)).otherwise(family))
+def entities_of(value: Column) -> Column:
+    """The entities that a mention is drawn from, as an array of (kind, plain, value, gender)."""
 
+    def one(kind: Column, said: Column, gender: Column) -> Column:
+        return F.struct(kind.alias("kind"), plain(said, kind).alias("plain"), said.alias("value"), gender.alias("gender"))
 
-def mentions(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+    either = F.lit("either")
+    of_name = let(names_of(value), lambda n: F.when(F.size(n) > 1, F.array(one(F.lit("given"), F.get(n, F.lit(0)), gender_of(value)), one(F.lit("family"), F.element_at(n, -1), either))).otherwise(F.array(one(F.lit("family"), F.element_at(n, -1), either))))
+    return let(kind_of(value), lambda k: F.when(k == "name", of_name).when(k.isNotNull(), F.array(one(k, value, either))))
 
 
-def attempts(docs: DataFrame, key: str) -> DataFrame:
-    """(kind, plain, attempt) of the entities of ``docs`` (text) that may not keep their first draw.
+def exceptions(found: DataFrame, key: str) -> DataFrame:
+    """(kind, plain, attempt, gender) of the entities in ``found`` (kind, plain, value, gender) that may not keep the first draw of all their mentions.
 
     Entities are made distinct before they are compared, so a value that most
     documents hold is one row. An entity draws again while its surrogate reads as
-    that of an entity before it (by spelling), or as any entity of the corpus.
+    that of an entity before it (by spelling), or as any entity of the corpus. A
+    given name's gender is the one that all of its titles tell, or either.
     """
-    found = docs.select(F.explode(mentions(F.col("text"))).alias("value")).groupBy("value").agg(F.count("*").alias("n"))
-    kinds = found.withColumn("kind", kind_of(F.col("value"))).withColumn("plain", plain(F.col("value"), F.col("kind")))
-    entities = cut(kinds.groupBy("kind", "plain").agg(F.min("value").alias("value")))
-    settled, open_ = None, entities.withColumn("attempt", F.lit(0))
-    again = None
-    for attempt in range(ROUNDS):
-        drawn = open_.withColumn("drawn", surrogate(F.col("value"), F.col("kind"), key, F.col("attempt")))
-        drawn = drawn.withColumn("reads", plain(F.col("drawn"), F.col("kind")))
-        taken = entities.select("kind", F.col("plain").alias("reads")).withColumn("real", F.lit(1))
-        if settled is not None:
-            taken = taken.unionAll(settled.select("kind", "reads").withColumn("real", F.lit(1)))
-        held = taken.groupBy("kind", "reads").agg(F.max("real").alias("real"))
+    told = F.collect_set(F.when(F.col("gender") != "either", F.col("gender")))
+    grouped = found.groupBy("kind", "plain").agg(F.min("value").alias("value"), told.alias("told"), F.count_distinct("gender").alias("genders"))
+    gender = F.when(F.size("told") == 1, F.get("told", F.lit(0))).otherwise("either")
+    entities = cut(grouped.select("kind", "plain", "value", gender.alias("gender"), (F.col("genders") > 1).alias("mixed")))
+    real = entities.select("kind", F.col("plain").alias("reads"))
+    settled, open_, attempt = None, entities, 0
+    while True:
+        drawn = open_.withColumn("reads", plain(surrogate(F.col("value"), F.col("kind"), key, F.lit(attempt), F.col("gender")), F.col("kind")))
+        taken = real if settled is None else real.unionAll(settled.select("kind", "reads"))
+        held = taken.distinct().withColumn("held", F.lit(True))
         firsts = drawn.groupBy("kind", "reads").agg(F.min("plain").alias("first"))
-        judged = cut(drawn.join(firsts, ["kind", "reads"]).join(held, ["kind", "reads"], "left").withColumn("fine", F.col("real").isNull() & (F.col("plain") == F.col("first"))))
-        good = judged.where("fine").select("kind", "plain", "reads", "attempt")
+        judged = cut(drawn.join(firsts, ["kind", "reads"]).join(held, ["kind", "reads"], "left").withColumn("fine", F.col("held").isNull() & (F.col("plain") == F.col("first"))))
+        good = judged.where("fine").select("kind", "plain", "reads", "gender", "mixed", F.lit(attempt).alias("attempt"))
         settled = good if settled is None else settled.unionAll(good)
-        bad = judged.where(~F.col("fine")).select("kind", "plain", "value", F.lit(attempt + 1).alias("attempt"))
-        if bad.isEmpty():
-            break
-        open_ = bad
-    again = settled.where("attempt > 0").select("kind", "plain", "attempt")
-    return again
+        open_ = judged.where(~F.col("fine")).select("kind", "plain", "value", "gender", "mixed")
+        if open_.isEmpty():
+            return settled.where("attempt > 0 or mixed").select("kind", "plain", "attempt", "gender")
+        attempt += 1
 
 
-def surrogates(docs: DataFrame, key: str = KEY, most_listed: int = 500) -> DataFrame:
-    """(row columns, text, n_entities, n_<kind>…): ``docs`` with each entity in ``text`` replaced.
+def surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
+    """(row columns, text, n_entities, n_<kind>…): ``docs`` with each mention in ``text`` replaced, and the counts of mentions.
 
     All rows and all columns but ``text`` stay as they are; counts that clash with
-    a column's name take its place (names that begin with ``_fl_`` are reserved). A null text stays null and an empty one empty,
-    with no entities. An entity is replaced in each row that repeats it, in whole
-    texts of any length. ``docs`` needs a ``doc_id`` column only where more than
-    ``most_listed`` entities draw twice; their draws are then joined by entity.
+    a column's name take its place (names that begin with ``_fl_`` are reserved). A
+    null text stays null and an empty one empty, with no mentions. A mention is
+    replaced in each row that repeats it, in whole texts of any length. An empty
+    table gives no rows.
+
+    The pattern runs twice over each text: to gather the entities, and to replace
+    the mentions. Draws other than the first are few; they come to the texts that
+    need them, told by 128-bit digests, and are sent whole under a bound.
     """
-    again = cut(attempts(docs.select(text_or_empty().alias("text")), key))
-    rows = docs.withColumn("_fl_found", mentions(text_or_empty())).withColumn("_fl_parts", F.split(text_or_empty(), PATTERN, -1))
-    n = again.limit(most_listed + 1).count()
-    if n == 0:
-        attempt_of = lambda kind, said: F.lit(0)
-    elif n <= most_listed:
-        table = F.create_map(*[x for r in again.collect() for x in (F.lit(f"{r['kind']}|{r['plain']}"), F.lit(r["attempt"]))])
-        attempt_of = lambda kind, said: F.coalesce(F.element_at(table, F.concat_ws("|", kind, said)), F.lit(0))
-    else:
-        said = docs.select(F.xxhash64("doc_id", "text").alias("_fl_key"), F.explode(F.array_distinct(mentions(text_or_empty()))).alias("value"))
-        said = said.withColumn("kind", kind_of(F.col("value"))).withColumn("plain", plain(F.col("value"), F.col("kind"))).select("_fl_key", "kind", "plain").distinct()
-        own = said.join(again, ["kind", "plain"]).groupBy("_fl_key").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "plain"), "attempt"))).alias("_fl_again"))
-        rows = rows.withColumn("_fl_key", F.xxhash64("doc_id", "text")).join(own, "_fl_key", "left")
-        attempt_of = lambda kind, said: F.coalesce(F.element_at("_fl_again", F.concat_ws("|", kind, said)), F.lit(0))
-    typed = rows.withColumn("_fl_kinds", F.transform("_fl_found", kind_of))
-    drawn = F.zip_with("_fl_found", "_fl_kinds", lambda v, k: let(attempt_of(k, plain(v, k)), lambda a: surrogate(v, k, key, a)))
-    typed = typed.withColumn("_fl_drawn", F.when(F.size("_fl_found") > 0, drawn).otherwise(F.array().cast("array<string>")))
-    joined = F.array_join(F.flatten(F.zip_with("_fl_parts", "_fl_drawn", lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))), "")
-    text = F.when(F.size("_fl_found") > 0, joined).otherwise(F.col("text"))
-    counts = [F.size(F.array_remove(F.array_distinct(F.transform("_fl_kinds", lambda k, i: F.when(k == F.lit(name), i).otherwise(-1))), -1)).cast("long").alias(f"n_{name}") for name in KINDS]
+    said = docs.select(row_digest("text").alias("_fl_key"), F.explode(F.filter(parted(text_or_empty()), lambda p, i: i % 2 == 1)).alias("value"))
+    found = written(said.select("_fl_key", F.explode(entities_of(F.col("value"))).alias("e")).select("_fl_key", "e.*"))
+    other = cut(exceptions(found, key))
+    rows = docs.withColumn("_fl_parts", parted(text_or_empty()))
+    draw = lambda kind, said, gender: F.struct(F.lit(0).alias("attempt"), gender.alias("gender"))
+    if not other.isEmpty():
+        named = F.concat_ws("|", "kind", "plain").alias("entity")
+        asked = cut(found.select("_fl_key", named).distinct())
+        table = other.select(named, F.struct("attempt", "gender").alias("draw"))
+        own = joined_evenly(asked, table, "entity", "_fl_key", counted=asked).groupBy("_fl_key").agg(F.map_from_entries(F.collect_list(F.struct("entity", "draw"))).alias("_fl_draws"))
+        rows = rows.withColumn("_fl_key", row_digest("text")).join(sent_whole(cut(own), BROADCAST_TEXTS), "_fl_key", "left")
+        draw = lambda kind, said, gender: F.coalesce(F.element_at("_fl_draws", F.concat_ws("|", kind, said)), F.struct(F.lit(0).alias("attempt"), gender.alias("gender")))
+    one = lambda e: let(draw(e["kind"], e["plain"], e["gender"]), lambda d: surrogate(e["value"], e["kind"], key, d["attempt"], d["gender"]))
+    titled = lambda v, drawn: F.when(kind_of(v) == "name", F.concat(title_of(v), F.lit(" "), drawn)).otherwise(drawn)
+    replaced = lambda v: F.coalesce(titled(v, F.array_join(F.transform(entities_of(v), one), " ")), v)
+    out = F.transform("_fl_parts", lambda p, i: F.when(i % 2 == 1, replaced(p)).otherwise(p))
+    text = F.when(F.size("_fl_parts") > 1, whole(F.array_join(out, ""))).otherwise(F.col("text"))
+    kinds = F.filter(F.transform("_fl_parts", lambda p, i: F.when(i % 2 == 1, kind_of(p))), lambda k: k.isNotNull())
+    counted = lambda said: F.size(F.filter("_fl_kinds", lambda k: k == F.lit(said))).cast("long").alias(f"n_{said}")
     names = {"n_entities", *(f"n_{k}" for k in KINDS)}
-    return typed.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in names], F.size("_fl_found").cast("long").alias("n_entities"), *counts)
+    return rows.withColumn("_fl_kinds", kinds).select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in names], F.size("_fl_kinds").cast("long").alias("n_entities"), *[counted(k) for k in KINDS])
