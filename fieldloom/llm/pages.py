@@ -3,10 +3,11 @@
 The standard library's parser streams events over a page. Each block of text is
 a line of its own with its tag count; its text-to-tag ratio, smoothed over the
 neighbouring lines, is compared with a threshold, and runs of lines above it are
-the content regions. Article elements are the article; without one it is the
-element that holds all of these regions, with what stands around it and isn't
-mostly links. All of its blocks are kept, but those in menus, asides, forms and
-the like, and lists of links at its edges.
+the content regions. Where most of their text lies in article elements, these are
+the article; otherwise, as where articles are only cards beside the text, it is the
+element that holds all of the regions, with what stands around it and isn't mostly
+links. Elements widen the regions to the whole article, so that its short lines
+stay, and veto menus, asides, forms and the like, and lists of links at its edges.
 """
 
 from __future__ import annotations
@@ -188,14 +189,14 @@ def main_text(html: str, sigma: float = 1.0, share: float = 1.0) -> str:
     paths = [around(b[3]) for b in blocks]
     semantic = set(parser.semantic)
     plain = links < 0.5
-    if semantic:  # the outermost article elements, but those of links alone
-        roots = [next((e for e in reversed(p) if e in semantic), None) for p in paths]
-        told = {root for root, own in zip(roots, plain, strict=True) if own} - {None} or set(roots) - {None}
-        if told:
-            return "\n".join(b[0] for b, root in zip(blocks, roots, strict=True) if root in told)
+    content = inside & plain if (inside & plain).any() else plain
+    roots = [next((e for e in reversed(p) if e in semantic), None) for p in paths]  # the outermost article elements
+    told = {root for root, own in zip(roots, plain, strict=True) if own} - {None} or set(roots) - {None}  # but those of links alone
+    in_article = np.array([root in told for root in roots])
+    if told and chars[content & in_article].sum() >= 0.5 * chars[content].sum():
+        return "\n".join(b[0] for b, own in zip(blocks, in_article, strict=True) if own)
     if not plain.any():
         return ""
-    content = inside & plain if (inside & plain).any() else plain
     held = article_element(parser, blocks, paths, content, plain)
     within = np.array([held in p for p in paths])
     own = np.flatnonzero(within & plain)

@@ -48,6 +48,16 @@ def test_two_articles():
     assert got == WANT + "\n" + ("Second. " * 90).strip()
 
 
+def test_regions_decide_between_article_elements_and_the_text_beside_them():
+    """Gold pages by hand: cards in article elements beside the text, and an article beside short lines."""
+    text = "".join(f"<p>{f'Sentence {i} of the story. ' * 12}</p>" for i in range(5))
+    cards = "".join(f"<article><h3>Card {i}</h3><p>A word on another page.</p></article>" for i in range(4))
+    got = main_text(f"<body><div id=story><h1>Title</h1>{text}</div><div>{cards}</div></body>")
+    assert got.startswith("Title\nSentence 0") and "Sentence 4" in got
+    got = main_text(f"<body><div><p>Short line.</p></div><article><h1>Title</h1>{text}<p>End.</p></article><div><p>Another.</p></div></body>")
+    assert got.startswith("Title\nSentence 0") and got.endswith("\nEnd.") and got.count("\n") == 6
+
+
 def test_cut_off_and_malformed():
     assert main_text("<body><article><p>Text &amp more</p></article><footer>&copy; a &am") == "Text & more"
     assert main_text("<p><b>a<br><p>b</b></i></p></div>c") == "a\nb\nc"
