@@ -8,6 +8,9 @@ unit of parallel work; ``chunked`` cuts long ones.
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,21 +37,15 @@ def quantized_cdf(pmf: list[float], precision: int = PRECISION) -> list[int]:
     if total == 0:
         raise ValueError("masses must not sum to 0")
     widths = widths * top // total
-    bounds = np.concatenate([[0], np.cumsum(widths)])
-    bounds[-1] = top
-    for i in range(len(widths)):
-        if bounds[i] != bounds[i + 1]:
-            continue
-        width = np.diff(bounds)
-        wide = np.where(width > 1, width, top + 1)
+    widths[-1] += top - int(widths.sum())
+    for i in np.flatnonzero(widths == 0):
+        wide = np.where(widths > 1, widths, top + 1)
         donor = int(np.argmin(wide))
         if wide[donor] > top:
             raise ValueError("more masses than the total can hold")
-        if donor < i:
-            bounds[donor + 1 : i + 1] -= 1
-        else:
-            bounds[i + 1 : donor + 1] += 1
-    return bounds.tolist()
+        widths[donor] -= 1
+        widths[i] += 1
+    return [0, *np.cumsum(widths).tolist()]
 
 
 def encode(symbols: list[int], bounds: list[int], offset: int, precision: int = PRECISION) -> bytes:
@@ -81,38 +78,7 @@ def encode(symbols: list[int], bounds: list[int], offset: int, precision: int =
 
 def decode(stream: bytes, n: int, bounds: list[int], offset: int, precision: int = PRECISION) -> list[int]:
     """The inverse of ``encode`` for ``n`` symbols."""
-    words = np.frombuffer(stream, dtype="<u4").tolist()
-    state, at = words[0] | words[1] << 32, 2
-    table, escape = np.asarray(bounds), len(bounds) - 2
-
-    def advance(start: int, width: int, bits: int) -> None:
-        nonlocal state, at
-        state = width * (state >> bits) + (state & ((1 << bits) - 1)) - start
-        if state < LOW:
-            state = (state << 32) | words[at]
-            at += 1
-
-    def nibble() -> int:
-        value = state & 15
-        advance(value, 1, 4)
-        return value
-
-    out = []
-    for _ in range(n):
-        cf = state & ((1 << precision) - 1)
-        v = int(np.searchsorted(table, cf, side="right")) - 1
-        advance(bounds[v], bounds[v + 1] - bounds[v], precision)
-        if v == escape:
-            groups = part = nibble()
-            while part == 15:
-                part = nibble()
-                groups += part
-            raw = 0
-            for g in range(groups):
-                raw |= nibble() << (4 * g)
-            v = -(raw + 1) // 2 if raw & 1 else raw // 2 + escape
-        out.append(v + offset)
-    return out
+    return Decoder(stream).take(n, bounds, offset, precision)
 
 
 def bounds_of(symbols: np.ndarray, precision: int = PRECISION) -> tuple[list[int], int]:
@@ -122,37 +88,117 @@ def bounds_of(symbols: np.ndarray, precision: int = PRECISION) -> tuple[list[int
     return quantized_cdf([*(counts / (counts.sum() + 1)), 1 / (counts.sum() + 1)], precision), low
 
 
-ENCODED = "chunk long, n long, bounds array<int>, low long, stream binary"
+ENCODED = "chunk long, n long, bounds array<int>, low long, crc long, stream binary"
+
+
+def chunked(symbols: DataFrame, order: str, most: int = 4096) -> DataFrame:
+    """``symbols`` with ``chunk``: stretches of ``most`` of the number ``order``, so that no whole stream is ever sorted."""
+    return symbols.withColumn("chunk", F.floor(F.col(order) / most).cast("long"))
 
 
-def chunked(symbols: DataFrame, by: str, most: int = 4096) -> DataFrame:
-    """``symbols`` (by, pos, sym) with ``chunk``: stretches of ``most`` positions."""
-    return symbols.withColumn("chunk", F.floor(F.col("pos") / most).cast("long"))
+def crc_of(values: np.ndarray) -> int:
+    return zlib.crc32(np.asarray(values, dtype="<i8").tobytes())
 
 
-def encode_streams(symbols: DataFrame, by: str) -> DataFrame:
-    """(by, chunk, n, bounds, low, stream): each chunk of each stream under its own CDF."""
+def encode_streams(symbols: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """(by, chunk, n, bounds, low, crc, stream) of ``symbols`` (by, chunk, order…, sym): each chunk, in its order, under its own CDF; ``crc`` is that of its symbols."""
     kind = dict(symbols.dtypes)[by]
 
     def task(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        values = frame.sort_values("pos")["sym"].to_numpy(np.int64)
+        values = frame.sort_values(order)["sym"].to_numpy(np.int64)
         bounds, low = bounds_of(values)
-        return pd.DataFrame([(key[0], key[1], len(values), bounds, low, encode(values.tolist(), bounds, low))], columns=[by, "chunk", "n", "bounds", "low", "stream"])
+        return pd.DataFrame([(key[0], key[1], len(values), bounds, low, crc_of(values), encode(values.tolist(), bounds, low))], columns=[by, "chunk", "n", "bounds", "low", "crc", "stream"])
 
     return symbols.groupBy(by, "chunk").applyInPandas(task, f"{by} {kind}, {ENCODED}")
 
 
-def decode_streams(encoded: DataFrame, by: str, most: int = 4096) -> DataFrame:
-    """(by, pos, sym): the inverse of ``encode_streams``; each chunk stands alone."""
-    kind = dict(encoded.dtypes)[by]
+def decoded_chunks(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    for frame in frames:
+        for row in frame.itertuples(index=False):
+            yield row, decode(row.stream, int(row.n), [int(b) for b in row.bounds], int(row.low))
+
+
+def decode_streams(encoded: DataFrame, by: str) -> DataFrame:
+    """(by, chunk, pos, sym): the inverse of ``encode_streams``; ``pos`` counts within a chunk, and each chunk stands alone."""
+
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for row, values in decoded_chunks(frames):
+            yield pd.DataFrame({by: getattr(row, by), "chunk": row.chunk, "pos": np.arange(len(values)), "sym": values})
+
+    return encoded.mapInPandas(task, f"{by} {dict(encoded.dtypes)[by]}, chunk long, pos long, sym long")
+
+
+def checked_streams(encoded: DataFrame, by: str) -> DataFrame:
+    """(by, chunk, n, size, same): whether each chunk decodes to symbols of its ``crc``; no symbol leaves its task."""
 
-    def task(frames):
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                values = decode(row.stream, int(row.n), [int(b) for b in row.bounds], int(row.low))
-                yield pd.DataFrame({by: getattr(row, by), "pos": row.chunk * most + np.arange(len(values)), "sym": values})
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for row, values in decoded_chunks(frames):
+            yield pd.DataFrame({by: [getattr(row, by)], "chunk": row.chunk, "n": len(values), "size": len(row.stream), "same": crc_of(values) == row.crc})
+
+    return encoded.mapInPandas(task, f"{by} {dict(encoded.dtypes)[by]}, chunk long, n long, size long, same boolean")
+
+
+def bounds_table(masses: DataFrame, by: str, precision: int = PRECISION) -> DataFrame:
+    """(by, bounds) of ``masses`` (by, k, p): one quantised CDF for each key, its masses in the order of ``k``."""
+
+    def task(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({by: [key[0]], "bounds": [quantized_cdf(frame.sort_values("k")["p"].tolist(), precision)]})
+
+    return masses.groupBy(by).applyInPandas(task, f"{by} {dict(masses.dtypes)[by]}, bounds array<int>")
+
+
+def normal_tables(scales: list[float], tail_mass: float = 1e-9, precision: int = PRECISION) -> pd.DataFrame:
+    """(k, scale, offset, length, bounds) of centred normal laws: every symbol up to the tails, and one range for both tails."""
+    from math import ceil, erfc
+
+    from .entropy import normal_quantile
+
+    far = -normal_quantile(tail_mass / 2)
+    below = lambda x: 0.5 * erfc(-x / 2**0.5)
+    out = []
+    for k, scale in enumerate(scales):
+        reach = ceil(scale * far)
+        mass = [below((0.5 - abs(x)) / scale) - below((-0.5 - abs(x)) / scale) for x in range(-reach, reach + 1)]
+        tail = 2 * below((-0.5 - reach) / scale)
+        out.append((k, scale, -reach, 2 * reach + 3, quantized_cdf([*mass, tail], precision)))
+    return pd.DataFrame(out, columns=["k", "scale", "offset", "length", "bounds"])
+
+
+class Decoder:
+    """A decoder that is told one stream and gives symbols as they are asked for; its state is (state, place)."""
+
+    def __init__(self, stream: bytes, state: tuple[int, int] | None = None):
+        self.words = np.frombuffer(stream, dtype="<u4").tolist()
+        self.state, self.at = state or (self.words[0] | self.words[1] << 32, 2)
+
+    def take(self, n: int, bounds: list[int], offset: int, precision: int = PRECISION) -> list[int]:
+        """The next ``n`` symbols under one CDF."""
+        table, escape, out = np.asarray(bounds), len(bounds) - 2, []
+        for _ in range(n):
+            v = int(np.searchsorted(table, self.state & ((1 << precision) - 1), side="right")) - 1
+            self.advance(bounds[v], bounds[v + 1] - bounds[v], precision)
+            out.append((self.outside(escape) if v == escape else v) + offset)
+        return out
+
+    def advance(self, start: int, width: int, bits: int) -> None:
+        self.state = width * (self.state >> bits) + (self.state & ((1 << bits) - 1)) - start
+        if self.state < LOW:
+            self.state = (self.state << 32) | self.words[self.at]
+            self.at += 1
+
+    def nibble(self) -> int:
+        value = self.state & 15
+        self.advance(value, 1, 4)
+        return value
 
-    return encoded.mapInPandas(task, f"{by} {kind}, pos long, sym long")
+    def outside(self, escape: int) -> int:
+        """A symbol that the table lacks: its zigzag code in groups of four bits after their unary count."""
+        groups = part = self.nibble()
+        while part == 15:
+            part = self.nibble()
+            groups += part
+        raw = sum(self.nibble() << (4 * g) for g in range(groups))
+        return -(raw + 1) // 2 if raw & 1 else raw // 2 + escape
 
 
 def chunk_offsets(encoded: DataFrame, by: str) -> DataFrame:

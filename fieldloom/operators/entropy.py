@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import kept, sent_whole
+
+MOST_RANGES = 200_000
+
 
 def histogram(symbols: DataFrame, by: str) -> DataFrame:
     """(by, sym, cells, total, p): counts of each symbol within its stream."""
@@ -39,10 +43,22 @@ def smoothed_cdf(hist: DataFrame, by: str, precision: int = 16) -> DataFrame:
     return fixed.select(by, "sym", F.coalesce(F.lag("hi").over(W.partitionBy(by).orderBy("sym")), F.lit(0)).cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
 
 
-def prefix_sums(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
-    """``rows`` with ``before`` and ``through``: exclusive and inclusive running sums."""
-    through = F.sum(value).over(W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    return rows.withColumn("through", through).withColumn("before", F.col("through") - F.col(value))
+def prefix_sums(rows: DataFrame, by: str, order: str, value: str, width: int | None = None) -> DataFrame:
+    """``rows`` with ``before`` and ``through``: exclusive and inclusive running sums over each group.
+
+    With ``width``, where a group may hold a large part of all rows: ``order`` is a
+    number, its stretches of that width are summed up first, and only their sums
+    run over a whole group; the rows of a stretch are one task's.
+    """
+    if width is None:
+        through = F.sum(value).over(W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+        return rows.withColumn("through", through).withColumn("before", F.col("through") - F.col(value))
+    dealt = rows.withColumn("_stretch", F.floor(F.col(order) / width))
+    totals = dealt.groupBy(by, "_stretch").agg(F.sum(value).alias("_total"))
+    first = totals.withColumn("_first", F.sum("_total").over(W.partitionBy(by).orderBy("_stretch").rowsBetween(W.unboundedPreceding, 0)) - F.col("_total")).drop("_total")
+    inside = F.sum(value).over(W.partitionBy(by, "_stretch").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    out = dealt.withColumn("_inside", inside).join(first, [by, "_stretch"]).withColumn("through", F.col("_first") + F.col("_inside"))
+    return out.withColumn("before", F.col("through") - F.col(value)).drop("_stretch", "_inside", "_first")
 
 
 def differences(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
@@ -58,12 +74,45 @@ def spatial_context(cells: DataFrame, mode: str, threshold: int) -> DataFrame:
     return cells.withColumn("ctx", off(above) + off(left))
 
 
+def channel_context(cells: DataFrame, mode: str, threshold: int) -> DataFrame:
+    """``cells`` (n, c, h, w, sym and the column ``mode``) with ``ctx``: how many of the cells above, to the left and in the channel before lie off their mode."""
+    off = lambda c, m: F.coalesce((F.abs(c - m) > threshold).cast("int"), F.lit(0))
+    lag = lambda c, over: F.lag(c).over(over)
+    out = F.lit(0)
+    for over in (W.partitionBy("n", "c", "w").orderBy("h"), W.partitionBy("n", "c", "h").orderBy("w"), W.partitionBy("n", "h", "w").orderBy("c")):
+        out = out + off(lag("sym", over), lag(mode, over))
+    return cells.withColumn("ctx", out)
+
+
 def modes(symbols: DataFrame, by: str) -> DataFrame:
     """(by, mode): the most frequent symbol of each stream, the smallest of equals."""
     counts = symbols.groupBy(by, "sym").agg(F.count("*").alias("cells"))
     return counts.groupBy(by).agg(F.max_by("sym", F.struct("cells", -F.col("sym"))).alias("mode"))
 
 
+def normal_quantile(p: float) -> float:
+    """The value below which a standard normal law has the mass ``p``."""
+    from statistics import NormalDist
+
+    return NormalDist().inv_cdf(p)
+
+
+def lower_bounded(x: Column, bound: float) -> Column:
+    return F.greatest(x, F.lit(float(bound)))
+
+
+def non_negative(x: Column, least: float = 0.0, offset: float = 2.0**-18) -> Column:
+    """A stored parameter's value, at least ``least``: the stored root is bounded, squared, and a pedestal taken off."""
+    pedestal = offset * offset
+    return lower_bounded(x, (least + pedestal) ** 0.5) ** 2 - pedestal
+
+
+def stored_root(x: Column, offset: float = 2.0**-18) -> Column:
+    """What is stored for a value that isn't negative; the inverse of ``non_negative``."""
+    pedestal = offset * offset
+    return F.sqrt(F.greatest(x + pedestal, F.lit(pedestal)))
+
+
 def escape_bits(sym: Column, most: Column) -> Column:
     """Bits of a symbol outside 0..most: its zigzag code in groups of four bits, and the unary count of groups; 0 inside."""
     raw = F.when(sym < 0, -2 * sym - 1).when(sym >= most, 2 * (sym - most))
@@ -108,8 +157,11 @@ def range_lookup(points: DataFrame, ranges: DataFrame, by: str, precision: int =
     """``points`` (by, cf, …) with the symbol whose range [lo, hi) holds ``cf``.
 
     Ranges are filed under every stretch of ``width`` that they touch, so the
-    lookup is an equi-join on stream and stretch.
+    lookup is an equi-join on stream and stretch. Tables of ranges are small, and
+    are sent to every task up to a counted bound, so that a stream that holds most
+    of the points isn't one task.
     """
+    ranges = sent_whole(kept(ranges), MOST_RANGES)
     filed = ranges.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
     inside = (F.col("cf") >= F.col("lo")) & (F.col("cf") < F.col("hi"))
     return points.withColumn("stretch", F.floor(F.col("cf") / width)).join(filed, [by, "stretch"]).where(inside).drop("stretch")

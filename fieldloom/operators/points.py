@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import kept, sent_whole
+from .entropy import prefix_sums
+
 AXES = ("x", "y", "z")
+MOST_CLOUDS = 200_000
 
 
 def squared_distance(a: str = "", b: str = "b_") -> Column:
@@ -25,32 +26,51 @@ def others(points: DataFrame) -> DataFrame:
 def neighbours(queries: DataFrame, points: DataFrame, k: int, self_too: bool = True) -> DataFrame:
     """(cloud, p, b_p, d2, rank): the k nearest points of the same cloud, ties by point number.
 
-    Each cloud's points are compared in blocks of queries by numpy, and only k rows
-    a query leave a task: queries are dealt by (cloud, block), the cloud's points
-    go to each of its blocks.
+    Points are filed by grid cell, some k of them in a cell where they lie evenly,
+    and a query looks into the 27 cells around its own: an equi-join. It is done
+    once its k-th neighbour is nearer than the edge of these cells; the others look
+    again on a grid twice as wide, until a cell is as wide as the cloud. Of points
+    at one place only the k + 1 first can be neighbours, so a crowded place is no
+    crowded join. A query in a cloud of fewer points finds them all.
     """
-    block = 512
-    q = queries.withColumn("_block", F.floor(F.row_number().over(W.partitionBy("cloud", F.pmod(F.xxhash64("p"), F.lit(16))).orderBy("p")) / block) * 16 + F.pmod(F.xxhash64("p"), F.lit(16)))
-    blocks = q.select("cloud", "_block").distinct()
-    right = others(points).withColumnRenamed("cloud", "b_cloud").join(blocks.toDF("b_cloud", "b_block"), "b_cloud")
-
-    def nearest(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"cloud": [], "p": [], "b_p": [], "d2": [], "rank": []})
-        b = b.sort_values("b_p")
-        xs, ys, names = a[list(AXES)].to_numpy(float), b[[f"b_{c}" for c in AXES]].to_numpy(float), b["b_p"].to_numpy()
-        out = []
-        for p, x in zip(a["p"], xs, strict=True):
-            e = x - ys
-            d2 = e[:, 0] * e[:, 0] + e[:, 1] * e[:, 1] + e[:, 2] * e[:, 2]
-            if not self_too:
-                d2 = np.where(names == p, np.inf, d2)
-            order = np.argsort(d2, kind="stable")[:k]
-            out += [(key[0], p, int(names[j]), float(d2[j]), r + 1) for r, j in enumerate(order) if np.isfinite(d2[j])]
-        return pd.DataFrame(out, columns=["cloud", "p", "b_p", "d2", "rank"])
-
-    kind = dict(queries.dtypes)["cloud"]
-    return q.groupBy("cloud", "_block").cogroup(right.groupBy("b_cloud", "b_block")).applyInPandas(nearest, f"cloud {kind}, p long, b_p long, d2 double, rank int")
+    here = W.partitionBy("cloud", *AXES).orderBy("p")
+    apart = kept(points.select("cloud", "p", *AXES).withColumn("_here", F.row_number().over(here)).where(F.col("_here") <= k + 1).drop("_here"))
+    spans = [F.min(c).alias(f"_l{c}") for c in AXES]
+    extent = F.greatest(*[F.max(c) - F.min(c) for c in AXES])
+    boxes = apart.groupBy("cloud").agg(*spans, extent.alias("_extent"), F.count("*").alias("_n"))
+    width = F.when(F.col("_extent") > 0, F.col("_extent") * F.least(F.lit(1.0), F.pow(F.lit(float(k)) / F.col("_n"), F.lit(1 / 3)))).otherwise(1.0)
+    boxes = sent_whole(kept(boxes.withColumn("_w", width)), MOST_CLOUDS)
+    filed = others(apart).join(boxes.drop("_n"), "cloud")
+    open_ = queries.select("cloud", "p", *AXES).join(boxes.drop("_n"), "cloud")
+    done, grow = None, 1.0
+    while True:
+        at = lambda c, prefix: F.floor((F.col(f"{prefix}{c}") - F.col(f"_l{c}")) / (F.col("_w") * grow))  # noqa: E731, B023
+        grid = filed.withColumns({f"g{c}": at(c, "b_") for c in AXES}).drop("_w", "_extent", *[f"_l{c}" for c in AXES])
+        asked, edge = open_, F.lit(float("inf"))
+        for c in AXES:
+            own = at(c, "")
+            low, wide = F.col(f"_l{c}"), F.col("_w") * grow
+            edge = F.least(edge, F.col(c) - (low + (own - 1) * wide), low + (own + 2) * wide - F.col(c))
+        # a grid as wide as the cloud holds all points around a query that lies within it; one outside looks on until it does
+        everything = F.lit(True)
+        for c in AXES:
+            everything = everything & (at(c, "") - 1 <= 0) & (at(c, "") + 1 >= F.floor(F.col("_extent") / (F.col("_w") * grow)))
+        asked = asked.withColumn("_edge", F.when(everything, float("inf")).otherwise(edge))
+        for c in AXES:
+            asked = asked.withColumn(f"g{c}", F.explode(F.array(*[at(c, "") + i for i in (-1, 0, 1)])))
+        met = asked.join(grid, ["cloud", *[f"g{c}" for c in AXES]]).withColumn("d2", squared_distance())
+        met = met if self_too else met.where("p != b_p")
+        ranked = met.withColumn("rank", F.row_number().over(W.partitionBy("cloud", "p").orderBy("d2", "b_p"))).where(F.col("rank") <= k)
+        ranked = kept(ranked.select("cloud", "p", "b_p", "d2", "rank", "_edge"))
+        enough = ranked.groupBy("cloud", "p").agg(F.count("*").alias("_n"), F.max("d2").alias("_far"), F.max("_edge").alias("_edge"))
+        enough = enough.where((F.col("_edge") == float("inf")) | (F.col("_n") == k) & (F.sqrt("_far") < F.col("_edge"))).select("cloud", "p")
+        found = ranked.join(enough, ["cloud", "p"], "left_semi").drop("_edge")
+        done = found if done is None else done.unionAll(found)
+        # a query that everything is around is done, even where nothing is
+        open_ = kept(open_.join(enough, ["cloud", "p"], "left_anti").where(~everything))
+        if open_.isEmpty():
+            return done
+        grow *= 2
 
 
 def cell(c: str, radius: float) -> Column:
@@ -108,21 +128,22 @@ def unit_clouds(points: DataFrame) -> DataFrame:
 def farthest_points(points: DataFrame, m: int) -> DataFrame:
     """(cloud, pick, p): m points of each cloud, each the farthest from those before; the first is that with the smallest number.
 
-    The choice is sequential within a cloud, so each cloud is one group; the
-    distances of a step are one numpy expression.
+    One pick of every cloud at a time: distances are kept with the points, wherever
+    these lie, and only the farthest point of each task is exchanged. Of equally
+    far points the one with the smallest number is picked; a cloud of fewer points
+    gives them all.
     """
-
-    def pick(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("p")
-        xs, names = frame[list(AXES)].to_numpy(float), frame["p"].to_numpy()
-        least, at, out = np.full(len(xs), np.inf), 0, []
-        for _ in range(min(m, len(xs))):
-            out.append(at)
-            least = np.minimum(least, ((xs - xs[at]) ** 2).sum(axis=1))
-            at = int(np.argmax(least))
-        return pd.DataFrame({"cloud": key[0], "pick": range(len(out)), "p": names[out]})
-
-    return points.groupBy("cloud").applyInPandas(pick, f"cloud {dict(points.dtypes)['cloud']}, pick int, p long")
+    rows = kept(points.select("cloud", "p", *AXES).withColumn("_least", F.lit(float("inf"))))
+    out = None
+    first = F.max_by(F.struct("p", *AXES), F.struct("_least", -F.col("p")))
+    for pick in range(m):
+        chosen = kept(rows.where("_least > 0").groupBy("cloud").agg(first.alias("b")).select("cloud", F.lit(pick).alias("pick"), *[F.col(f"b.{c}").alias(f"b_{c}") for c in ("p", *AXES)]))
+        out = chosen if out is None else out.unionAll(chosen)
+        if pick < m - 1:
+            # the point itself is 0 from now on, and so is what lies at its place
+            near = rows.join(sent_whole(chosen.drop("pick"), MOST_CLOUDS), "cloud")
+            rows = kept(near.select("cloud", "p", *AXES, F.least("_least", squared_distance()).alias("_least")))
+    return out.select("cloud", "pick", F.col("b_p").alias("p"))
 
 
 def rotated(points: DataFrame, matrix: list[list[float]]) -> DataFrame:
@@ -138,18 +159,64 @@ def random_rotation(seed: int) -> list[list[float]]:
     return q.tolist()
 
 
-def sphere_batches(level: int) -> Iterator[np.ndarray]:
-    """Unit vectors of an icosahedron whose faces are cut in four ``level`` times."""
+def sphere_mesh(spark: SparkSession, level: int) -> DataFrame:
+    """(face, corner, x, y, z): an icosahedron on the unit sphere whose faces are cut in four ``level`` times.
+
+    Each cut is one row to four, so a fine mesh is made where its faces lie.
+    """
     g = (1 + 5**0.5) / 2
     v = np.array([(a, b * g, 0) for a in (-1, 1) for b in (-1, 1)] + [(0, a, b * g) for a in (-1, 1) for b in (-1, 1)] + [(a * g, 0, b) for a in (-1, 1) for b in (-1, 1)], dtype=float)
     v /= np.linalg.norm(v[0])
     edge = min(np.linalg.norm(v[0] - u) for u in v[1:])
     near = lambda i, j: abs(np.linalg.norm(v[i] - v[j]) - edge) < 1e-9
-    faces = [np.stack([v[i], v[j], v[k]]) for i in range(12) for j in range(i + 1, 12) for k in range(j + 1, 12) if near(i, j) and near(j, k) and near(i, k)]
+    corners = [(i, j, k) for i in range(12) for j in range(i + 1, 12) for k in range(j + 1, 12) if near(i, j) and near(j, k) and near(i, k)]
+    faces = spark.createDataFrame([(n, *[v[c].tolist() for c in f]) for n, f in enumerate(corners)], "face long, a array<double>, b array<double>, c array<double>")
+
+    def middle(p: str, q: str) -> Column:
+        added = F.zip_with(p, q, lambda x, y: x + y)
+        norm = F.sqrt(F.aggregate(added, F.lit(0.0), lambda t, x: t + x * x))
+        return F.transform(added, lambda x: x / norm)
+
     for _ in range(level):
-        cut = []
-        for a, b, c in faces:
-            ab, bc, ca = ((p + q) / np.linalg.norm(p + q) for p, q in ((a, b), (b, c), (c, a)))
-            cut += [np.stack(t) for t in ((a, ab, ca), (ab, b, bc), (ca, bc, c), (ab, bc, ca))]
-        faces = cut
-    yield np.unique(np.round(np.concatenate(faces), 12), axis=0)
+        faces = faces.withColumns({"ab": middle("a", "b"), "bc": middle("b", "c"), "ca": middle("c", "a")})
+        cut = F.array(*[F.struct(F.lit(i).alias("i"), *[F.col(s).alias(d) for s, d in zip(t, "abc", strict=True)]) for i, t in enumerate((("a", "ab", "ca"), ("ab", "b", "bc"), ("ca", "bc", "c"), ("ab", "bc", "ca")))])
+        faces = faces.select("face", F.explode(cut).alias("t")).select((F.col("face") * 4 + F.col("t.i")).alias("face"), "t.a", "t.b", "t.c")
+    return faces.select("face", F.posexplode(F.array("a", "b", "c")).alias("corner", "v")).select("face", "corner", *[F.col("v")[i].alias(c) for i, c in enumerate(AXES)])
+
+
+def surface_points(faces: DataFrame, m: int, seed: int = 1) -> DataFrame:
+    """(mesh, i, face, x, y, z): ``m`` points of each mesh, as many on a face as its area asks for, drawn by a keyed hash.
+
+    ``faces`` (mesh, face, a, b, c: arrays of three). Areas are summed up by mesh,
+    a draw falls on the face whose running sum it hits, and two further numbers,
+    folded into the triangle, place it there.
+    """
+    less = lambda p, q: F.zip_with(p, q, lambda x, y: x - y)
+    sized = faces.withColumn("_u", less("b", "a")).withColumn("_v", less("c", "a"))
+    cross = [F.col("_u")[i] * F.col("_v")[j] - F.col("_u")[j] * F.col("_v")[i] for i, j in ((1, 2), (2, 0), (0, 1))]
+    sized = sized.withColumn("_area", F.sqrt(cross[0] * cross[0] + cross[1] * cross[1] + cross[2] * cross[2]) / 2)
+    run = prefix_sums(sized, "mesh", "face", "_area", width=4096)
+    totals = kept(sized.groupBy("mesh").agg(F.sum("_area").alias("_total")))
+    unit = lambda what: (F.pmod(F.xxhash64(F.lit(seed), F.lit(what), "mesh", "i"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    draws = totals.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).withColumn("_at", unit("face") * F.col("_total"))
+    step = F.col("_total") / 64
+    filed = run.join(sent_whole(totals, MOST_CLOUDS), "mesh").withColumn("_part", F.explode(F.sequence(F.floor(F.col("before") / step), F.floor(F.col("through") / step))))
+    hit = draws.withColumn("_part", F.floor(F.col("_at") / step)).join(filed.drop("_total"), ["mesh", "_part"]).where("_at >= before and _at < through")
+    s, t = unit("s"), unit("t")
+    fold = s + t > 1
+    hit = hit.withColumn("_s", F.when(fold, 1 - s).otherwise(s)).withColumn("_t", F.when(fold, 1 - t).otherwise(t))
+    return hit.select("mesh", "i", "face", *[(F.col("a")[k] + F.col("_s") * F.col("_u")[k] + F.col("_t") * F.col("_v")[k]).alias(c) for k, c in enumerate(AXES)])
+
+
+def strongest(points: DataFrame, near: DataFrame, values: list[str]) -> DataFrame:
+    """(cloud, p, values…): of each query in ``near`` (cloud, p, b_p) the largest of each value over its neighbours."""
+    told = near.join(points.select("cloud", F.col("p").alias("b_p"), *values), ["cloud", "b_p"])
+    return told.groupBy("cloud", "p").agg(*[F.max(c).alias(c) for c in values])
+
+
+def cloud_losses(a: DataFrame, b: DataFrame, wanted: int) -> DataFrame:
+    """(cloud, density, count, normals, latent) of points (cloud, p, d, nx, ny, nz, y) against reference points of the same numbers: mean absolute difference of densities, how far the count is from ``wanted``, mean squared differences of normals and of latents."""
+    both = a.alias("a").join(b.alias("b"), ["cloud", "p"])
+    gap = lambda c: F.col(f"a.{c}") - F.col(f"b.{c}")
+    normals = sum((gap(c) * gap(c) for c in ("nx", "ny", "nz")), F.lit(0.0)) / 3
+    return both.groupBy("cloud").agg(F.avg(F.abs(gap("d"))).alias("density"), F.abs(F.count("*") - wanted).alias("count"), F.avg(normals).alias("normals"), F.avg(gap("y") * gap("y")).alias("latent"))

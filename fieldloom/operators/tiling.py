@@ -8,16 +8,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def group_by_three(field: DataFrame, h: int, w: int, slices: int, pad: float = 0.0) -> DataFrame:
-    """(g, c, h, w, v): slices in groups of three, the last group filled with ``pad``."""
-    real = field.select((F.floor(F.col("n") / 3)).cast("long").alias("g"), (F.col("n") % 3).cast("long").alias("c"), "h", "w", "v")
+def group_by_three(field: DataFrame, h: int, w: int, slices: int, pad: float = 0.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by…, g, c, h, w, v): slices in groups of three, the last group filled with ``pad``; ``by`` tells fields apart."""
+    real = field.select(*by, (F.floor(F.col("n") / 3)).cast("long").alias("g"), (F.col("n") % 3).cast("long").alias("c"), "h", "w", "v")
     missing = list(range(slices, 3 * math.ceil(slices / 3)))
     if not missing:
         return real
-    spark = field.sparkSession
-    fill = spark.createDataFrame([(n // 3, n % 3) for n in missing], "g long, c long")
+    kinds = dict(real.dtypes)
+    places = F.array(*[F.struct(F.lit(n // 3).cast("long").alias("g"), F.lit(n % 3).cast("long").alias("c")) for n in missing])
+    fill = field.select(*by).distinct() if by else field.sparkSession.range(1)
+    fill = fill.withColumn("_m", F.explode(places)).select(*by, "_m.g", "_m.c")
     cells = fill.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(h - 1)))).withColumn("w", F.explode(F.sequence(F.lit(0), F.lit(w - 1))))
-    return real.unionByName(cells.select("g", "c", F.col("h").cast(dict(real.dtypes)["h"]).alias("h"), F.col("w").cast(dict(real.dtypes)["w"]).alias("w"), F.lit(float(pad)).alias("v")))
+    return real.unionByName(cells.select(*by, "g", "c", F.col("h").cast(kinds["h"]).alias("h"), F.col("w").cast(kinds["w"]).alias("w"), F.lit(float(pad)).alias("v")))
+
+
+def real_slices(groups: DataFrame, slices: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by…, n, h, w, v): groups of three back to slices, the filled ones left out."""
+    n = F.col("g") * 3 + F.col("c")
+    return groups.where(n < slices).select(*by, n.alias("n"), "h", "w", "v")
 
 
 def tile_count(size: int, block: int, stride: int) -> int:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import coder, entropy, points, search
+from ..session import kept, new_path, sent_whole
 from ..sources import containers, video
 from ..streaming import windows
 from .science import rounded
@@ -92,7 +93,7 @@ def mixture_likelihood(spark: SparkSession, d: str) -> DataFrame:
 def cdf_lookup(spark: SparkSession, d: str) -> DataFrame:
     cdf = entropy.smoothed_cdf(entropy.histogram(symbols(spark, d), "stream"), "stream")
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("stream"), F.col("l_quantity").cast("long").alias("sym"))
-    return lines.join(cdf, ["stream", "sym"]).select("l_orderkey", "l_linenumber", "lo", "hi")
+    return lines.join(sent_whole(kept(cdf), entropy.MOST_RANGES), ["stream", "sym"]).select("l_orderkey", "l_linenumber", "lo", "hi")
 
 
 def symbol_range_join(spark: SparkSession, d: str) -> DataFrame:
@@ -103,7 +104,7 @@ def symbol_range_join(spark: SparkSession, d: str) -> DataFrame:
 
 def chunk_offsets(spark: SparkSession, d: str) -> DataFrame:
     sizes = table(spark, d, "documents").select("source", "doc_id", F.octet_length("text").cast("long").alias("size"))
-    return entropy.prefix_sums(sizes, "source", "doc_id", "size").select("source", "doc_id", "size", F.col("before").alias("offset"))
+    return entropy.prefix_sums(sizes, "source", "doc_id", "size", width=4096).select("source", "doc_id", "size", F.col("before").alias("offset"))
 
 
 # ------------------------------------------------------------------- lookups
@@ -119,7 +120,7 @@ def dict_remap(spark: SparkSession, d: str) -> DataFrame:
 
 def missing_results(spark: SparkSession, d: str) -> DataFrame:
     wanted = table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
-    return search.missing(wanted, table(spark, d, "orders").select(F.col("o_custkey").alias("k")), ["k"])
+    return search.missing(wanted, table(spark, d, "orders").select((F.col("o_custkey") + 20).alias("k")), ["k"])
 
 
 def sweep(spark: SparkSession, d: str) -> DataFrame:
@@ -284,15 +285,10 @@ def result_json(spark: SparkSession, d: str) -> DataFrame:
 
 # -------------------------------------------------------------------- coders
 def rans_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Streams coded, decoded and compared: one row per stream, with its sizes."""
+    """Streams coded, decoded and compared: one row per stream."""
     lines = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("supp"), "l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("sym"))
-    pos = F.row_number().over(W.partitionBy("supp").orderBy("l_orderkey", "l_linenumber")) - 1
-    coded = coder.chunked(lines.withColumn("pos", pos).select("supp", "pos", "sym"), "supp", 4096)
-    encoded = coder.encode_streams(coded, "supp")
-    decoded = coder.decode_streams(encoded, "supp", 4096)
-    same = coded.join(decoded.withColumnRenamed("sym", "back"), ["supp", "pos"], "full_outer").groupBy("supp").agg(F.count("*").alias("n"), F.min(F.coalesce(F.col("sym") == F.col("back"), F.lit(False))).alias("same"))
-    sizes = coder.chunk_offsets(encoded, "supp").groupBy("supp").agg(F.sum("size").alias("bytes"), F.count("*").alias("chunks"))
-    return same.join(sizes, "supp")
+    encoded = coder.encode_streams(coder.chunked(lines, "l_orderkey", 1 << 16), "supp", ["l_orderkey", "l_linenumber"])
+    return coder.checked_streams(encoded, "supp").groupBy("supp").agg(F.sum("n").alias("n"), F.min("same").alias("same"))
 
 
 # -------------------------------------------------------------------- events
@@ -314,10 +310,9 @@ def event_frames(spark: SparkSession, d: str) -> DataFrame:
     schema = table(spark, d, "events").schema
     # several types of one name share a folder, so the stream reads the one file by a pattern
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    name = "event_frames_run"
-    run = windows.running_frames(windows.timed(stream), "user_id").writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name).groupBy("user_id").agg(F.count("*").alias("frames"), F.sum(F.col("first").cast("long")).alias("key_frames"), F.round(F.sum("change"), 4).alias("last"))
+    frames = windows.running_frames(windows.timed(stream), "user_id")
+    run = windows.written_stream(frames, new_path(spark, "streams"), new_path(spark, "stream-state"))
+    return run.groupBy("user_id").agg(F.count("*").alias("frames"), F.sum(F.col("first").cast("long")).alias("key_frames"), F.round(F.sum("change"), 4).alias("last"))
 
 
 QUERIES = {f.__name__: f for f in (

@@ -64,7 +64,7 @@ ORACLES = {
     "chunk_offsets": "WITH s AS (SELECT source, doc_id, octet_length(encode(text))::BIGINT AS size FROM documents) SELECT source, doc_id, size, (sum(size) OVER (PARTITION BY source ORDER BY doc_id) - size)::BIGINT AS \"offset\" FROM s",
     "side_file_join": "SELECT lang, quality, toxic, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents JOIN labels USING (doc_id) GROUP BY ALL",
     "dict_remap": "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey",
-    "missing_results": "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "missing_results": "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey + 20 FROM orders)",
     "sweep_cross": f"WITH {SWEEP} SELECT label, q, round(rmse, 5) AS rmse, round(bits, 5) AS bits FROM sweep",
     "recon_join": f"WITH {FIELD} SELECT n, round(max(abs(v - round_even(v * 50, 0) / 50)), 6) AS maxe FROM field GROUP BY n",
     "prev_frame": "SELECT user_id, event_id, row_number() OVER w - 1 AS frame, row_number() OVER w = 1 AS key_frame, round(value - coalesce(lag(value) OVER w, 0), 6) AS change FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
@@ -77,6 +77,12 @@ ORACLES = {
     "mutual_nn_density": f"WITH {CLOUD}, m AS (SELECT cloud, p, b_p AS f, d2 FROM {nearest('p % 5 = 0', 'true', 8)}), o AS (SELECT cloud, p AS f, b_p AS p FROM {nearest('true', 'p % 5 = 0', 1)}) SELECT cloud, p, count(*) AS size, round(avg(sqrt(d2)), 6) AS distance FROM m JOIN o USING (cloud, p, f) GROUP BY cloud, p",
     "idw3": f"WITH {CLOUD}, k AS (SELECT * FROM {nearest('p % 2 = 0', 'p % 2 = 1', 3)}) SELECT k.cloud, k.p, round(sum(z / (d2 + 1e-8)) / sum(1 / (d2 + 1e-8)), 6) AS value FROM k JOIN cloud c ON c.p = k.b_p GROUP BY k.cloud, k.p",
     "unit_clouds": f"WITH {CLOUD}, m AS (SELECT cloud, p, x - avg(x) OVER w AS x, y - avg(y) OVER w AS y, z - avg(z) OVER w AS z FROM cloud WINDOW w AS (PARTITION BY cloud)), n AS (SELECT cloud, max(sqrt(x * x + y * y + z * z)) AS big FROM m GROUP BY cloud) SELECT cloud, p, round(x / big, 6) AS x, round(y / big, 6) AS y, round(z / big, 6) AS z FROM m JOIN n USING (cloud)",
+    "farthest_points": f"""WITH RECURSIVE {CLOUD}, g AS (SELECT cloud, list({{'p': p, 'x': x, 'y': y, 'z': z}} ORDER BY p) AS l FROM cloud GROUP BY cloud),
+      run AS (SELECT cloud, l, 0 AS pick, [l[1]] AS got FROM g UNION ALL SELECT cloud, l, pick + 1, list_append(got, l[list_position(d, list_max(d))]) FROM
+        (SELECT *, list_transform(l, lambda a: list_min(list_transform(got, lambda b: {D2}))) AS d FROM run WHERE pick < 7) WHERE list_max(d) > 0)
+      SELECT cloud, pick, got[pick + 1].p AS p FROM run""",
+    "hash_sample": "SELECT o_orderkey, o_totalprice FROM orders WHERE ('0x' || substr(md5('1:' || o_orderkey), 1, 8))::BIGINT < 429496729",
+    "rans_roundtrip": "SELECT l_suppkey AS supp, count(*) AS n, true AS same FROM lineitem GROUP BY l_suppkey",
     "union_sources": "SELECT source, k, count(*) AS n FROM (SELECT 'customer' AS source, c_nationkey AS k FROM customer UNION ALL SELECT 'supplier', s_nationkey FROM supplier) GROUP BY source, k",
     "distinct_dense_rank": "SELECT p_partkey, dense_rank() OVER (ORDER BY p_brand) AS rank FROM part",
     "param_disjoint": "WITH a AS (SELECT DISTINCT p_type FROM part WHERE p_size <= 25), b AS (SELECT DISTINCT p_type FROM part WHERE p_size > 25), x AS (SELECT p_type FROM part WHERE p_size <= 25 EXCEPT ALL SELECT p_type FROM part WHERE p_size > 25) SELECT 'shared' AS what, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'all', count(*) FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'more_in_a', count(DISTINCT p_type) FROM x",

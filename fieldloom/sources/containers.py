@@ -33,11 +33,68 @@ def packed_body(h: Column, w: Column, parts: list[Column]) -> Column:
     return F.concat(uint32(h), uint32(w), uint32(F.lit(len(parts))), *sized)
 
 
-def raw_field(spark: SparkSession, path: str, shape: tuple[int, int, int], dtype: str = "<f4") -> DataFrame:
-    """(path, n, h, w, v) of headerless binary fields: the first n*h*w values of each file, a slice at a time."""
+def number(raw: Column, at: Column, size: int) -> Column:
+    """The unsigned number in ``size`` bytes from place ``at`` (0 is the first), the highest byte first."""
+    return F.conv(F.hex(F.substring(raw, at + 1, F.lit(size))), 16, 10).cast("long")
+
+
+def body_fields(body: Column) -> list[Column]:
+    """h, w and parts (an array of bytes) of a packed body; one whose bytes end before its parts raises."""
+    state = F.struct(F.lit(12).cast("long").alias("at"), F.array().cast("array<binary>").alias("parts"))
+
+    def step(s: Column, _: Column) -> Column:
+        size = number(body, s["at"], 4)
+        part = F.when(s["at"] + 4 + size <= F.octet_length(body), F.substring(body, s["at"] + 5, size)).otherwise(F.raise_error(F.lit("a body that ends too soon")).cast("binary"))
+        return F.struct((s["at"] + 4 + size).alias("at"), F.concat(s["parts"], F.array(part)).alias("parts"))
+
+    n = number(body, F.lit(8), 4)
+    walked = F.aggregate(F.when(n > 0, F.sequence(F.lit(1).cast("long"), n)).otherwise(F.array().cast("array<bigint>")), state, step)
+    return [number(body, F.lit(0), 4).alias("h"), number(body, F.lit(4), 4).alias("w"), walked["parts"].alias("parts")]
+
+
+MAGIC = "534C"
+
+
+def packed_planes(width: Column, height: Column, depth: Column, channels: Column, symbols: Column, bits: Column, payload: Column) -> Column:
+    """A mark, three 16-bit sizes, channels and symbols in 16 bits each, the bits of activations in 8, then the payload."""
+    two = lambda x: F.lpad(F.hex(x.cast("long")), 4, "0")
+    head = F.concat(F.lit(MAGIC), *[two(x) for x in (width, height, depth, channels, symbols)], F.lpad(F.hex(bits.cast("long")), 2, "0"))
+    return F.concat(F.unhex(head), payload.cast("binary"))
+
+
+def plane_fields(raw: Column) -> list[Column]:
+    """width, height, depth, channels, symbols, bits and payload of ``packed_planes``; other bytes raise."""
+    known = F.when(F.hex(F.substring(raw, 1, 2)) == MAGIC, raw).otherwise(F.raise_error(F.lit("not a container of planes")).cast("binary"))
+    sizes = [number(known, F.lit(2 + 2 * i), 2).alias(c) for i, c in enumerate(("width", "height", "depth", "channels", "symbols"))]
+    return [*sizes, number(known, F.lit(12), 1).alias("bits"), F.substring(known, F.lit(14), F.octet_length(known)).alias("payload")]
+
+
+def laid_out(chunks: DataFrame, by: str) -> DataFrame:
+    """(by, offsets, payload) of ``chunks`` (by, chunk, bytes): the chunks end to end in order, and where each begins. A group is one container."""
+    ordered = F.sort_array(F.collect_list(F.struct("chunk", "bytes")))
+    packs = chunks.groupBy(by).agg(ordered.alias("c"))
+    sizes = F.transform("c", lambda x: F.octet_length(x["bytes"]).cast("long"))
+    offsets = F.transform(sizes, lambda _, i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0).cast("long"), lambda t, x: t + x))
+    return packs.select(by, offsets.alias("offsets"), F.unhex(F.array_join(F.transform("c", lambda x: F.hex(x["bytes"])), "")).alias("payload"))
+
+
+def chunk_of(payload: Column, offsets: Column, k: Column) -> Column:
+    """Chunk ``k`` of a payload, by its offset alone."""
+    end = F.coalesce(F.get(offsets, k + 1), F.octet_length(payload).cast("long"))
+    return F.substring(payload, F.get(offsets, k) + 1, end - F.get(offsets, k))
+
+
+def stream_sizes(packs: DataFrame, by: str, streams: str) -> DataFrame:
+    """(by, stream, size) of packs with a map of streams to lists of byte strings: each stream's bytes, each pack's (null stream) and all (null key)."""
+    each = packs.select(by, F.explode(streams).alias("stream", "parts"))
+    size = F.aggregate("parts", F.lit(0).cast("long"), lambda t, x: t + F.octet_length(x))
+    return each.withColumn("size", size).rollup(by, "stream").agg(F.sum("size").alias("size"))
+
+
+def decoded_field(files: DataFrame, shape: tuple[int, int, int], dtype: str = "<f4") -> DataFrame:
+    """(path, n, h, w, v) of headerless binary fields in ``files`` (path, content): the first n*h*w values of each, a slice at a time; fewer raise."""
     n, h, w = shape
     size = np.dtype(dtype).itemsize * h * w
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hh, ww = np.divmod(np.arange(h * w), w)
@@ -48,7 +105,12 @@ def raw_field(spark: SparkSession, path: str, shape: tuple[int, int, int], dtype
                 for k in range(n):
                     yield pd.DataFrame({"path": name, "n": k, "h": hh, "w": ww, "v": np.frombuffer(content, dtype, h * w, k * size).astype(float)})
 
-    return files.mapInPandas(task, "path string, n long, h long, w long, v double")
+    return files.select("path", "content").mapInPandas(task, f"path {dict(files.dtypes)['path']}, n long, h long, w long, v double")
+
+
+def raw_field(spark: SparkSession, path: str, shape: tuple[int, int, int], dtype: str = "<f4") -> DataFrame:
+    """``decoded_field`` of the files at ``path``, each read whole by Spark's binary source (2 GB at most)."""
+    return decoded_field(spark.read.format("binaryFile").load(path), shape, dtype)
 
 
 def result_rows(records: DataFrame) -> DataFrame:

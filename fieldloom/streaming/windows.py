@@ -46,3 +46,35 @@ def running_frames(events: DataFrame, by: str) -> DataFrame:
         yield pd.DataFrame(out, columns=[by, "frame", "first", "change"])
 
     return events.groupBy(by).applyInPandasWithState(step, f"{by} {kind}, frame long, first boolean, change double", "n long, last double", "append", GroupStateTimeout.NoTimeout)
+
+
+def written_stream(out: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """``out``, a streaming table, run over all that is there and written as Parquet to ``path``, then read back as a batch table."""
+    run = out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return out.sparkSession.read.schema(out.schema).parquet(path)
+
+
+def decoded_requests(requests: DataFrame) -> DataFrame:
+    """(stream_id, i, sym) of a streaming or batch table of ``requests`` (stream_id, seq, n, bounds, low, stream): symbols of coded streams, asked for bit by bit.
+
+    The first request of a stream brings its bytes; the state of a stream is those
+    bytes and the coder's place, so later requests go on where the last one ended.
+    """
+    from ..operators.coder import Decoder
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        stream, x, at, done = state.get if state.exists else (b"", "", 0, 0)
+        out = []
+        for row in pd.concat(list(frames)).sort_values("seq").itertuples(index=False):
+            stream = bytes(row.stream) if row.stream is not None and not len(stream) else stream
+            coder = Decoder(stream, (int(x), at) if x else None)
+            for sym in coder.take(int(row.n), [int(b) for b in row.bounds], int(row.low)):
+                out.append((key[0], done, sym))
+                done += 1
+            x, at = str(coder.state), coder.at
+        state.update((stream, x, at, done))
+        yield pd.DataFrame(out, columns=["stream_id", "i", "sym"])
+
+    kind = dict(requests.dtypes)["stream_id"]
+    return requests.groupBy("stream_id").applyInPandasWithState(step, f"stream_id {kind}, i long, sym long", "stream binary, x string, at long, done long", "append", GroupStateTimeout.NoTimeout)

@@ -8,8 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from fieldloom.operators import coder, entropy, fields, metrics, points, quantize, search, tiling
-from fieldloom.sources import containers, video
+from fieldloom.operators import coder, entropy, fields, images, metrics, points, quantize, search, tiling
+from fieldloom.sources import containers, scans, video
 
 
 def test_quantised_cdf_known_answer():
@@ -133,11 +133,13 @@ def test_neighbours_break_ties_by_number(spark):
     assert [r["b_p"] for r in got] == [0, 1, 2]
 
 
-def test_sphere_and_rotation():
-    v = next(points.sphere_batches(1))
-    assert len(v) == 42 and np.allclose(np.linalg.norm(v, axis=1), 1)
+def test_sphere_and_rotation(spark):
+    rows = points.sphere_mesh(spark, 1).collect()
+    v = np.array([[r["x"], r["y"], r["z"]] for r in rows])
+    assert len({r["face"] for r in rows}) == 80 and len(rows) == 240 and len(np.unique(np.round(v, 9), axis=0)) == 42
+    assert np.allclose(np.linalg.norm(v, axis=1), 1)
     r = np.array(points.random_rotation(3))
-    assert np.allclose(r @ r.T, np.eye(3)) and np.isclose(np.linalg.det(r), 1)
+    assert np.allclose(r @ r.T, np.eye(3)) and math.isclose(np.linalg.det(r), 1)
 
 
 def test_empty_tables(spark):
@@ -145,3 +147,137 @@ def test_empty_tables(spark):
     assert fields.normalize(f).count() == 0
     assert metrics.science_metrics(f.withColumn("r", F.col("v"))).first()["slices"] == 0
     assert tiling.overlapped_tiles(f, (2, 2), (2, 2), (1, 1)).count() == 0
+
+
+def cloud_of(spark, rows):
+    return spark.createDataFrame(rows, "cloud long, p long, x double, y double, z double")
+
+
+@pytest.mark.parametrize("self_too", [True, False])
+def test_neighbours_are_those_of_all_pairs(spark, self_too):
+    """Crowded places, far outliers, small clouds and queries outside, by brute force."""
+    rng = np.random.default_rng(4)
+    rows = [(0, i, *map(float, rng.normal(size=3))) for i in range(60)] + [(0, 100 + i, 0.5, 0.5, 0.5) for i in range(12)] + [(0, 200, 90.0, 0.0, 0.0)]
+    rows += [(1, 1, 0.0, 0.0, 0.0), (1, 2, 1.0, 0.0, 0.0), (2, 5, 3.0, 3.0, 3.0)] + [(3, i, float(i), 0.0, 0.0) for i in range(20)]
+    asked = [*rows, (0, 900, -40.0, 7.0, 3.0), (3, 901, 100.0, 1.0, 1.0)]
+    got = sorted(tuple(r) for r in points.neighbours(cloud_of(spark, asked), cloud_of(spark, rows), 4, self_too).select("cloud", "p", "rank", "b_p").collect())
+    want = []
+    for c, p, *x in asked:
+        near = sorted((sum((a - b) * (a - b) for a, b in zip(x, y, strict=True)), q) for d, q, *y in rows if d == c and (self_too or q != p))
+        want += [(c, p, k + 1, q) for k, (_, q) in enumerate(near[:4])]
+    assert got == sorted(want)
+
+
+def test_farthest_points_one_at_a_time(spark):
+    rng = np.random.default_rng(5)
+    rows = [(c, i, *map(float, rng.integers(0, 4, 3))) for c in range(3) for i in range(3 + 20 * c)]
+    got = sorted(tuple(r) for r in points.farthest_points(cloud_of(spark, rows), 6).collect())
+    want = []
+    for c in range(3):
+        own = [r for r in rows if r[0] == c]
+        least, at = [float("inf")] * len(own), 0
+        for pick in range(6):
+            want.append((c, pick, own[at][1]))
+            least = [min(d, sum((a - b) ** 2 for a, b in zip(r[2:], own[at][2:], strict=True))) for d, r in zip(least, own, strict=True)]
+            at = max(range(len(own)), key=lambda i: (least[i], -i))
+            if least[at] == 0:
+                break
+    assert got == sorted(want)
+
+
+def test_surface_points_follow_the_areas(spark):
+    faces = spark.createDataFrame([(1, k, *[[float(x) for x in p] for p in t]) for k, t in enumerate((((0, 0, 0), (1, 0, 0), (0, 1, 0)), ((0, 0, 1), (3, 0, 1), (0, 3, 1)), ((0, 0, 2),) * 3))], "mesh long, face long, a array<double>, b array<double>, c array<double>")
+    got = points.surface_points(faces, 2000).collect()
+    assert len(got) == 2000 and {r["face"] for r in got} == {0, 1}
+    assert abs(sum(r["face"] == 1 for r in got) / 2000 - 0.9) < 0.03
+    assert all(r["z"] == r["face"] and r["x"] >= 0 and r["y"] >= 0 and r["x"] + r["y"] <= (3 if r["face"] else 1) + 1e-9 for r in got)
+
+
+def test_greedy_order(spark):
+    costs = spark.createDataFrame([(0, None, 9.0), (1, None, 5.0), (2, None, 7.0), (0, 1, 1.0), (2, 0, 0.5), (2, 1, 6.0)], "part long, given long, bits double")
+    assert search.greedy_order(costs, [0, 1, 2, 3]) == [1, 0, 2, 3]
+
+
+def test_prefix_sums_by_stretches(spark):
+    rows = spark.createDataFrame([("a", i * 7 % 101, i) for i in range(101)] + [("b", 3, 5)], "g string, o long, v long")
+    plain, dealt = (sorted(map(tuple, entropy.prefix_sums(rows, "g", "o", "v", width=w).select("g", "o", "before", "through").collect())) for w in (None, 10))
+    assert plain == dealt
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(-30, 30), min_size=2, max_size=120), st.integers(1, 7))
+def test_a_decoder_goes_on_where_it_ended(told, step):
+    bounds, low = coder.bounds_of(np.array(told[: len(told) // 2]))
+    stream, got, state = coder.encode(told, bounds, low), [], None
+    while len(got) < len(told):
+        decoder = coder.Decoder(stream, state)
+        got += decoder.take(min(step, len(told) - len(got)), bounds, low)
+        state = (decoder.state, decoder.at)
+    assert got == told
+
+
+def test_body_that_ends_too_soon_and_other_containers_raise(spark):
+    rows = spark.createDataFrame([(bytearray.fromhex("0000000100000002000000010000000541"),)], "b binary")
+    for made in (containers.body_fields, containers.plane_fields):
+        with pytest.raises(Exception, match="too soon|not a container"):
+            rows.select(*made(F.col("b"))).collect()
+
+
+def picture(h, w):
+    """A PNG of one grey."""
+    import struct
+    import zlib
+
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    head = struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress((b"\0" + b"\x40" * 3 * w) * h)) + part(b"IEND", b"")
+
+
+def test_listings_and_pictures(spark, tmp_path):
+    (tmp_path / "train" / "deep").mkdir(parents=True)
+    (tmp_path / "train" / "b.png").write_bytes(picture(2, 3))
+    (tmp_path / "train" / "a.PNG").write_bytes(picture(4, 5))
+    (tmp_path / "train" / "deep" / "c.jpeg").write_bytes(b"x")
+    (tmp_path / "train" / "notes.txt").write_bytes(b"x")
+    names = lambda deep: sorted(r["path"].rsplit("/", 1)[1] for r in scans.listed(spark, str(tmp_path / "train"), deep=deep).collect())
+    assert names(True) == ["a.PNG", "b.png", "c.jpeg"] and names(False) == ["a.PNG", "b.png"]
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "x.png").write_bytes(picture(4, 5))
+    got = scans.pictures(spark, str(tmp_path), "one").first()
+    assert (got["height"], got["width"], got["channels"], set(got["data"])) == (4, 5, 3, {0x40})
+    with pytest.raises(Exception, match="(?i)not exist"):
+        scans.listed(spark, str(tmp_path / "none")).collect()
+
+
+def test_fixed_records_and_planes(spark):
+    files = spark.createDataFrame([("a", bytearray(range(25))), ("b", bytearray(b"")), ("c", None)], "path string, content binary")
+    assert [(r["path"], r["record"], r["values"]) for r in scans.fixed_records(files, "<u2", 6).collect()] == [("a", k, [float(2 * i + 256 * (2 * i + 1)) for i in range(6 * k, 6 * k + 6)]) for k in range(2)]
+    cells = scans.plane_cells(scans.video_planes(files, 3, 3, "420")).where("plane = 'v'").orderBy("h", "w").collect()
+    assert [(r["h"], r["w"], r["v"]) for r in cells] == [(0, 0, 13.0), (0, 1, 14.0), (1, 0, 15.0), (1, 1, 16.0)]
+    assert scans.plane_sizes(5, 5, "400") == [("y", 5, 5)] and scans.plane_sizes(5, 5, "422")[1] == ("u", 5, 3)
+
+
+def test_arrays_of_other_lengths_and_keyless_rows_raise(spark, tmp_path):
+    with pytest.raises(Exception, match="differ in length"):
+        scans.zipped(spark.createDataFrame([([1], [1, 2])], "a array<int>, b array<int>"), "a", "b").collect()
+    (tmp_path / "b.csv").write_text("dataset,quality,sweep,bpp,psnr\n,1,q,0.5,30\n")
+    with pytest.raises(Exception, match="without its key"):
+        scans.read_benchmark(spark, str(tmp_path)).collect()
+
+
+def test_a_sample_wraps_and_repeats_are_one(spark):
+    rows = spark.createDataFrame([("a", i) for i in (1, 1, 2, 3)] + [("b", i) for i in range(9)], "g string, k long")
+    got = search.random_sample(rows, "g", "k", 5).collect()
+    for g, n in (("a", 3), ("b", 9)):
+        own = [r["k"] for r in sorted(got, key=lambda r: r["draw"]) if r["g"] == g]
+        assert len(own) == 5 and len(set(own)) == min(5, n) and own[3:] == (own[:2] if n == 3 else own[3:])
+
+
+def test_chroma_modes_and_ramps_are_checked(spark):
+    plane = field_of(spark, 1, 2, 2, lambda k, i, j: i + j)
+    with pytest.raises(ValueError):
+        images.chroma_doubled(plane, ["n"], (2, 2), "cubic")
+    with pytest.raises(ValueError):
+        images.ramp(1, 2, 3, "square")
+    with pytest.raises(ValueError):
+        images.center_pad(plane, ["n"], (2, 2), (1, 4))

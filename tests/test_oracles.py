@@ -3,12 +3,14 @@
 import os
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
-from fieldloom.plans import relational, relational_sql, science
+from fieldloom.plans import files, numeric, relational, relational_sql, science
 
-QUERIES = {**science.QUERIES, **relational.QUERIES}
-ORACLES = {**science.ORACLES, **relational_sql.ORACLES}
+QUERIES = {**science.QUERIES, **relational.QUERIES, **files.QUERIES, **numeric.QUERIES}
+ORACLES = {**science.ORACLES, **relational_sql.ORACLES, **files.ORACLES, **numeric.ORACLES}
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +24,7 @@ def duck(sf_dir):
 def rows(frame, columns):
     out = []
     for row in frame[columns].itertuples(index=False):
-        out.append(tuple(None if x is None or x != x else float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x) for x in row))
+        out.append(tuple(None if not isinstance(x, (list, tuple, np.ndarray)) and pd.isna(x) else float(x) if isinstance(x, (int, float, np.integer, np.floating)) and not isinstance(x, bool) else str(x) for x in row))
     return sorted(out, key=repr)
 
 
