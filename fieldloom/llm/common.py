@@ -1,9 +1,7 @@
-"""What several of the operators share: the shared folder, lineage cuts, prefix sums by range."""
+"""What several of the operators share: tables in the shared folder, digests of rows, joins that spread heavy keys."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -11,30 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import kept as cut
+from ..session import new_path, sent_whole
+
+__all__ = ["cut", "joined_evenly", "let", "new_table", "release", "row_digest", "sent_whole", "small_batches", "text_or_empty", "written"]
 BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 1_000
-
-
 WRITTEN: list[str] = []  # tables that this driver wrote to the shared folder, for ``release``
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the session names none, a temporary folder is set on one machine
-    (tests); on a cluster, whose executors don't see it, that is an error.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        named = tempfile.mkdtemp(prefix="fieldloom-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """Python tasks that run within take at most BATCH_ROWS rows at a time.
@@ -51,15 +34,9 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(BATCH_SETTING, before)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder; survives a lost executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def new_table(spark: SparkSession) -> str:
     """The path of a new table in the shared folder."""
-    WRITTEN.append(f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}")
+    WRITTEN.append(new_path(spark, "tables"))
     return WRITTEN[-1]
 
 
@@ -90,22 +67,22 @@ def row_digest(*columns: str) -> Column:
     return F.unhex(F.md5(F.concat(*told)))
 
 
-def sent_whole(df: DataFrame, most_rows: int) -> DataFrame:
-    """``df``, marked to be sent to every task where it has at most ``most_rows`` rows; it is counted first."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
-
-
 def joined_evenly(rows: DataFrame, table: DataFrame, key: str, spread: str, counted: DataFrame, most: int = 256, most_heavy: int = 1_000_000) -> DataFrame:
     """``rows`` joined with ``table`` on ``key``, a key of over ``most`` rows dealt out by ``spread`` to as many copies of its entry.
 
-    Keys are counted in ``counted``, which has the rows' keys and is kept. Only the
-    heavy keys' counts are sent whole, under a bound.
+    Keys are counted in ``counted``, which has the rows' keys and is kept. Rows of
+    other keys are joined plainly. Only the heavy keys' counts are sent whole, under
+    a bound.
     """
     heavy = counted.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
-    heavy = sent_whole(cut(heavy.select(key, F.ceil(F.col("_n") / most).cast("int").alias("_parts"))), most_heavy)
-    dealt = rows.join(heavy, key, "left").withColumn("_part", F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(spread), F.col("_parts")).cast("int")).otherwise(0)).drop("_parts")
-    copies = table.join(heavy, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
-    return dealt.join(copies, [key, "_part"]).drop("_part")
+    heavy = cut(heavy.select(key, F.ceil(F.col("_n") / most).cast("int").alias("_parts")))
+    if heavy.isEmpty():
+        return rows.join(table, key)
+    heavy = sent_whole(heavy, most_heavy)
+    dealt = rows.join(heavy, key).withColumn("_part", F.pmod(F.xxhash64(spread), F.col("_parts")).cast("int")).drop("_parts")
+    copies = table.join(heavy, key).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    light = rows.join(heavy, key, "left_anti").join(table, key)
+    return light.unionByName(dealt.join(copies, [key, "_part"]).drop("_part"))
 
 
 def let(value: Column, then) -> Column:

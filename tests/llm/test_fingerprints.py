@@ -14,7 +14,7 @@ def compared(spark, sizes):
     sets = spark.createDataFrame(rows, "k long, a array<long>, b array<long>").repartition(4)
     sides = sets.select("k", F.lit(0).alias("side"), "a").unionAll(sets.select("k", F.lit(1).alias("side"), F.col("b").alias("a")))
     cells = X.subtracted(X.stored_cells(sides, ["k", "side"]), "k").where("side = 1")
-    got = {r["k"]: (r["only_a"], r["only_b"]) for r in X.compare(sets.select("k", F.lit(1).alias("side"), "a", "b"), cells, "k").collect()}
+    got = {r["k"]: (r["only_a"], r["only_b"]) for r in X.compare(sets.select("k", "a", F.col("b").alias("b1"), F.lit(None).cast("array<long>").alias("b2")), cells, "k").collect()}
     want = {k: (len(set(a) - set(b)), len(set(b) - set(a))) for k, a, b in rows}
     return got, {k: v for k, v in want.items() if v != (0, 0)}
 

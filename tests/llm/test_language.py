@@ -1,3 +1,6 @@
+import math
+from collections import defaultdict
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +69,54 @@ def test_query_tells_documents_from_pages(spark, tmp_path):
     got = sorted((str(r["doc_id"]), str(r["page_id"]), r["language"]) for r in op5_language(spark, str(tmp_path)).collect())
     want = [(str(r[0]), "None", r[2]) for r in docs] + [("None", str(r[0]), "en" if r[0] < 20 else "de") for r in pages]
     assert got == sorted(want)
+
+
+def plain_fusion(rows, model):
+    """Bayes' rule by hand over all rows (text, host, markup, address): each row's language and its confidence."""
+    names, k = model.languages, len(model.languages) - 1
+
+    def normal(scores):
+        top = max(scores)
+        powers = [math.exp(x - top) for x in scores]
+        return [p / sum(powers) for p in powers]
+
+    def host_parts(host):
+        return host, ".".join(host.split(".")[-2:])
+
+    evidence = [model.evidence(t or "") for t, *_ in rows]
+    own = [normal(ll)[:k] if n else [0.0] * k for ll, n in evidence]
+    hosts, domains = defaultdict(lambda: [0.0] * k), defaultdict(lambda: [0.0] * k)
+    for (_, host, *_), p in zip(rows, own, strict=True):
+        for table, key in zip((hosts, domains), host_parts(host or ""), strict=True):
+            table[key] = [a + b for a, b in zip(table[key], p, strict=True)]
+    everywhere = [sum(h[i] for h in hosts.values()) + 1 for i in range(k)]
+    root = [x / sum(everywhere) for x in everywhere]
+    out = []
+    for (_, host, markup, address), (ll, n), p in zip(rows, evidence, own, strict=True):
+        h, d = host_parts(host or "")
+        hs, ds = ([max(0.0, a - b) for a, b in zip(t, p, strict=True)] for t in (hosts[h], domains[d]))
+        prior = [(x + L.DOMAIN_WEIGHT * r) / (sum(ds) + L.DOMAIN_WEIGHT) for x, r in zip(ds, root, strict=True)]
+        prior = [(x + L.HOST_WEIGHT * r) / (sum(hs) + L.HOST_WEIGHT) for x, r in zip(hs, prior, strict=True)]
+        scores = [math.log(q * 0.98) + ll[i] for i, q in enumerate(prior)] + [math.log(0.02) + ll[k]]
+        for said, sure in ((markup, L.MARKUP_RELIABILITY), (address, L.ADDRESS_RELIABILITY)):
+            if said in names[:k]:
+                scores = [x + (math.log(sure) if names[i] == said else math.log((1 - sure) / max(1, k - 1))) for i, x in enumerate(scores[:k])] + [scores[k] - math.log(k)]
+        post = normal(scores)
+        best = max(range(k + 1), key=lambda i: (post[i], -i))
+        out.append((names[best] if n and post[best] >= L.ACCEPT else L.NONE, post[best] if n else 0.0))
+    return out
+
+
+def test_query_is_the_rule_by_hand(spark):
+    from fieldloom.llm.queries import op5_language, table
+
+    sf = "/root/testdata/sf0.001"
+    docs, pages = table(spark, sf, "documents"), table(spark, sf, "pages")
+    model = L.fit(docs)
+    of_pages = pages.select("page_id", L.visible(F.col("html")).alias("text"), L.host_of(F.col("url")).alias("host"), L.declared_by(F.col("html")).alias("markup"), L.address_language(F.col("url")).alias("address")).collect()
+    keys = [(r["doc_id"], None) for r in docs.collect()] + [(None, r["page_id"]) for r in of_pages]
+    rows = [(r["text"], r["source"], None, None) for r in docs.collect()] + [tuple(r)[1:] for r in of_pages]
+    want = dict(zip(keys, plain_fusion(rows, model), strict=True))
+    got = {(r["doc_id"], r["page_id"]): (r["language"], r["confidence"]) for r in op5_language(spark, sf).collect()}
+    assert set(got) == set(want)
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-5 for k in got)

@@ -62,6 +62,28 @@ def test_readings(docs):
     assert again == {(r["block"], r["slot"], r["doc_id"]) for r in got}
 
 
+def test_readings_by_hand(docs):
+    """The same plan without buckets or partitions: sources in passes laid end to end, blocks of even width, one order in each."""
+    got = {(r["block"], r["slot"]): (r["doc_id"], r["pass"]) for r in M.mix(docs, target=0.97, max_repeats=3.0, block_tokens=500).collect()}
+    t = totals(docs)
+    sources = docs.sparkSession.createDataFrame(list(t.items()), "source string, source_tokens long")
+    m = M.solve(sources, 0.97, 3.0, None)
+    key = M.row_digest(*M.UNIT).alias("row_key")
+    rows = docs.select(key, "doc_id", "source", F.size(F.split(F.trim("text"), " ")).alias("tokens"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("pass"))
+    rows = rows.withColumn("place", F.shiftrightunsigned(F.xxhash64(F.lit(17), "source", "pass", "row_key"), 11)).withColumn("order", F.xxhash64(F.lit(18), "pass", "row_key")).collect()
+    blocks = defaultdict(list)
+    n_blocks = max(1, math.ceil(m.budget / 500))
+    for source, tokens in t.items():
+        granted = round(m.budget * (tokens / m.total) ** m.exponent / m.normaliser, 3)
+        for k in range(max(1, math.ceil(round(granted / tokens, 6)))):
+            at = k * tokens
+            for r in sorted((r for r in rows if r["source"] == source and r["pass"] == k), key=lambda r: (r["place"], r["row_key"])):
+                if k == 0 or at < granted:
+                    blocks[min(n_blocks - 1, int(at / max(granted, tokens) * n_blocks))].append((r["order"], r["row_key"], k, r["doc_id"]))
+                at += r["tokens"]
+    assert got == {(b, i): (x[3], x[2]) for b, held in blocks.items() for i, x in enumerate(sorted(held))}
+
+
 def test_given_budget(docs):
     total = sum(totals(docs).values())
     got = M.mix(docs, budget_tokens=total / 2).agg(F.sum("tokens")).first()[0]
