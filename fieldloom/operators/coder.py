@@ -48,24 +48,20 @@ def quantized_cdf(pmf: list[float], precision: int = PRECISION) -> list[int]:
     return [0, *np.cumsum(widths).tolist()]
 
 
-def encode(symbols: list[int], bounds: list[int], offset: int, precision: int = PRECISION) -> bytes:
-    """``symbols`` under one CDF, whose last range marks an escape; the words come out in reading order."""
+def steps_of(v: int, bounds: list[int], precision: int) -> list[tuple[int, int, int]]:
+    """(start, width, bits) of what codes ``v``: its own range, or the last one, an escape, and then its zigzag code in groups of four bits after their unary count."""
     escape = len(bounds) - 2
-    steps: list[tuple[int, int, int]] = []
-    for s in symbols:
-        v = s - offset
-        if 0 <= v < escape:
-            steps.append((bounds[v], bounds[v + 1] - bounds[v], precision))
-            continue
-        steps.append((bounds[escape], bounds[escape + 1] - bounds[escape], precision))
-        raw = -2 * v - 1 if v < 0 else 2 * (v - escape)
-        groups = max(0, -(-raw.bit_length() // 4))
-        count = groups
-        while count >= 15:
-            steps.append((15, 1, 4))
-            count -= 15
-        steps.append((count, 1, 4))
-        steps += [((raw >> (4 * g)) & 15, 1, 4) for g in range(groups)]
+    if 0 <= v < escape:
+        return [(bounds[v], bounds[v + 1] - bounds[v], precision)]
+    raw = -2 * v - 1 if v < 0 else 2 * (v - escape)
+    groups = max(0, -(-raw.bit_length() // 4))
+    counts = [15] * (groups // 15) + [groups % 15]
+    nibbles = [(raw >> (4 * g)) & 15 for g in range(groups)]
+    return [(bounds[escape], bounds[escape + 1] - bounds[escape], precision), *[(x, 1, 4) for x in counts + nibbles]]
+
+
+def flushed(steps: list[tuple[int, int, int]]) -> bytes:
+    """The words of all steps, coded from the last to the first, in reading order."""
     state, words = LOW, []
     for start, width, bits in reversed(steps):
         if state >= ((LOW >> bits) << 32) * width:
@@ -76,6 +72,18 @@ def encode(symbols: list[int], bounds: list[int], offset: int, precision: int =
     return np.array(words[::-1], dtype="<u4").tobytes()
 
 
+def encode(symbols: list[int], bounds: list[int], offset: int, precision: int = PRECISION) -> bytes:
+    """``symbols`` under one CDF, whose last range marks an escape."""
+    return flushed([x for s in symbols for x in steps_of(s - offset, bounds, precision)])
+
+
+def encode_indexed(symbols: list[int], indexes: list[int], tables: list[list[int]], offsets: list[int], precision: int = PRECISION) -> bytes:
+    """``symbols``, each under the CDF that its index names, as a context or a scale does. An index without a table raises."""
+    if len(symbols) != len(indexes):
+        raise ValueError("as many indexes as symbols")
+    return flushed([x for s, i in zip(symbols, indexes, strict=True) for x in steps_of(s - offsets[i], tables[i], precision)])
+
+
 def decode(stream: bytes, n: int, bounds: list[int], offset: int, precision: int = PRECISION) -> list[int]:
     """The inverse of ``encode`` for ``n`` symbols."""
     return Decoder(stream).take(n, bounds, offset, precision)
@@ -180,6 +188,10 @@ class Decoder:
             out.append((self.outside(escape) if v == escape else v) + offset)
         return out
 
+    def take_indexed(self, indexes: list[int], tables: list[list[int]], offsets: list[int], precision: int = PRECISION) -> list[int]:
+        """The next symbols, each under the CDF that its index names."""
+        return [self.take(1, tables[i], offsets[i], precision)[0] for i in indexes]
+
     def advance(self, start: int, width: int, bits: int) -> None:
         self.state = width * (self.state >> bits) + (self.state & ((1 << bits) - 1)) - start
         if self.state < LOW:

@@ -127,6 +127,12 @@ def remapped(rows: DataFrame, key: str, table: DataFrame, to: str) -> DataFrame:
     return found.withColumn(to, F.when(F.col("_known"), F.col(to)).otherwise(F.raise_error(F.concat(F.lit("unknown key: "), F.col(key).cast("string"))))).drop("_known")
 
 
+def in_range(value: Column, low: float, high: float, what: str) -> Column:
+    """``value``, which must lie in [low, high]; null passes, other values raise."""
+    told = F.concat(F.lit(f"{what} must lie in [{low}, {high}]: "), value.cast("string"))
+    return F.when(value.isNull() | value.between(low, high), value).otherwise(F.raise_error(told))
+
+
 def missing(wanted: DataFrame, done: DataFrame, on: list[str]) -> DataFrame:
     """What is still to do."""
     return wanted.join(done.select(*on), on, "left_anti")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import fields, metrics, tiling
+from ..operators import fields, metrics, search, tiling
 from ..session import new_path
 from ..sources import containers, scans
 from .relational import sweep
@@ -176,6 +176,15 @@ def pack_sizes(spark: SparkSession, d: str) -> DataFrame:
     return containers.stream_sizes(packs, "p_brand", "streams")
 
 
+def file_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Bits a cell of whole files, header and lengths included, and of their payload alone; sizes out of range raise."""
+    h, w = search.in_range(F.col("p_size"), 1, 4096, "height"), search.in_range(F.col("p_size") * 2, 1, 4096, "width")
+    file = F.concat(containers.packed_header(F.col("p_partkey") % 256, F.lit(1), F.col("p_size") % 8 + 1), containers.packed_body(h, w, [F.col("p_name"), F.col("p_type")]))
+    cells = h * w
+    payload = F.octet_length("p_name") + F.octet_length("p_type")
+    return rounded(table(spark, d, "part").select("p_partkey", metrics.bits_per_cell(F.octet_length(file), cells).alias("bpp_file"), metrics.bits_per_cell(payload, cells).alias("bpp")), "bpp_file", "bpp")
+
+
 # ----------------------------------------------------------------- result files
 def result_files(spark: SparkSession, d: str) -> DataFrame:
     """Sweeps written as result files, half of them under a wrapper, and read back."""
@@ -203,7 +212,7 @@ def benchmark_csv(spark: SparkSession, d: str) -> DataFrame:
     return scans.read_benchmark(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (raw_field_metrics, fixed_images, raw_video, labelled_points, mesh_paths, mesh_corners, room_parts, part_labels, array_zip, cached_totals, body_roundtrip, plane_container, chunk_payload, pack_sizes, result_files, result_means, benchmark_csv)}
+QUERIES = {f.__name__: f for f in (raw_field_metrics, fixed_images, raw_video, labelled_points, mesh_paths, mesh_corners, room_parts, part_labels, array_zip, cached_totals, body_roundtrip, plane_container, chunk_payload, pack_sizes, file_rates, result_files, result_means, benchmark_csv)}
 
 BYTES = "bytes AS (SELECT doc_id, hex(encode(text)) AS x, octet_length(encode(text)) AS n FROM documents)"
 SUM_OF = "list_sum(list_transform(range({0}, {1}), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT))::BIGINT"
@@ -236,6 +245,7 @@ ORACLES = {
     "plane_container": "SELECT p_partkey, 13 + octet_length(encode(p_name))::BIGINT AS bytes, p_size::BIGINT * 100 AS width, p_size::BIGINT * 50 AS height, 3::BIGINT AS depth, p_size::BIGINT AS channels, 511::BIGINT AS symbols, 8::BIGINT AS bits, p_name AS payload FROM part",
     "chunk_payload": "SELECT p_brand || '|' || p_size AS pack, sum(octet_length(encode(p_name)))::BIGINT AS size, (sum(octet_length(encode(p_name))) - octet_length(encode(arg_max(p_name, p_partkey))))::BIGINT AS last_offset, arg_max(p_name, p_partkey) AS last, sha256(string_agg(p_name, '' ORDER BY p_partkey)) AS sha256 FROM part GROUP BY p_brand, p_size",
     "pack_sizes": "WITH s AS (SELECT p_brand, 'y' AS stream, octet_length(encode(p_name)) + octet_length(encode(p_type)) AS n FROM part UNION ALL SELECT p_brand, 'z', octet_length(encode(p_brand)) FROM part) SELECT p_brand, stream, sum(n)::BIGINT AS size FROM s GROUP BY ROLLUP (p_brand, stream)",
+    "file_rates": "SELECT p_partkey, round((octet_length(encode(p_name)) + octet_length(encode(p_type)) + 22) * 8.0::DOUBLE / (p_size * p_size * 2), 6) AS bpp_file, round((octet_length(encode(p_name)) + octet_length(encode(p_type))) * 8.0::DOUBLE / (p_size * p_size * 2), 6) AS bpp FROM part",
     "result_files": f"WITH {RESULTS} SELECT name, metric, i::BIGINT AS i, value FROM rows",
     "result_means": f"WITH {RESULTS} SELECT metric, i::BIGINT AS i, round(avg(value), 3) AS mean, count(*) AS runs FROM rows GROUP BY metric, i",
     "benchmark_csv": f"WITH {SWEEP} SELECT 'set, ' || label AS dataset, q::INTEGER AS quality, 'q' AS sweep, round(bits, 5) AS bpp, round(-20 * log10(rmse), 5) AS psnr FROM sweep",

@@ -257,6 +257,24 @@ def normal_tables(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --------------------------------------------------------------- coded streams
+def indexed_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Slices rounded around their mean and coded, each cell under the CDF of its row's scale, then decoded and compared."""
+    scales = entropy.scale_table(levels=24, high=32.0)
+    laws = coder.normal_tables(scales)
+    tables, offsets = laws["bounds"].tolist(), laws["offset"].tolist()
+    cells = fields.with_stats(field(spark, d)).select("n", "h", "w", quantize.symbol(F.col("v") * 40, F.col("vmean") * 40).alias("sym"))
+    rows = cells.groupBy("n", "h").agg(F.stddev_pop("sym").alias("scale")).withColumn("k", entropy.scale_index(F.col("scale"), scales))
+
+    def task(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["h", "w"])
+        told, which = frame["sym"].astype(int).tolist(), frame["k"].astype(int).tolist()
+        stream = coder.encode_indexed(told, which, tables, offsets)
+        back = coder.Decoder(stream).take_indexed(which, tables, offsets)
+        return pd.DataFrame({"n": [key[0]], "cells": [len(told)], "same": [back == told], "shorter": [len(stream) < 4 * len(told)]})
+
+    return cells.join(rows.select("n", "h", "k"), ["n", "h"]).groupBy("n").applyInPandas(task, "n long, cells long, same boolean, shorter boolean")
+
+
 def coded_requests(spark: SparkSession, d: str) -> DataFrame:
     """Coded streams asked for in parts by a streaming run that keeps each decoder's place: counts and sums of what comes back."""
     lines = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("supp"), "l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("sym"))
@@ -276,7 +294,7 @@ def coded_requests(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     chroma_nearest, chroma_bilinear, gaussian_blur, center_pad, parity_mask, ramps, minmax_global_bits, noise_quant, bounded_params, half_floats, codec_chain, registry_merge, renamed_keys, quota_rows, quota_repeated, random_sample, permuted,
-    bisect_root, find_close_bisect, channel_order, channel_contexts, rotated, neighbour_max, cloud_losses, sphere_mesh, surface_points, pmf_tables, mixture_tables, normal_tables, coded_requests,
+    bisect_root, find_close_bisect, channel_order, channel_contexts, rotated, neighbour_max, cloud_losses, sphere_mesh, surface_points, pmf_tables, mixture_tables, normal_tables, indexed_roundtrip, coded_requests,
 )}
 
 HALF = f"{FIELD}, half AS (SELECT n, h // 2 AS h, w // 2 AS w, avg(v) AS v FROM field GROUP BY n, h // 2, w // 2)"
@@ -330,5 +348,6 @@ ORACLES = {
     "pmf_tables": f"WITH {HIST}, mass AS (SELECT stream AS s, sym AS k, (cells + 1.0::DOUBLE) / (total + 100.0::DOUBLE) AS p FROM hist JOIN total USING (stream) UNION ALL SELECT stream, 1000, 0.01 FROM total), {BOUNDS} SELECT s AS stream, i, bound::BIGINT AS bound FROM bounds",
     "mixture_tables": f"WITH e AS (SELECT vec_id AS n, embedding[1]::DOUBLE AS m0, embedding[2]::DOUBLE AS m1, abs(embedding[3]::DOUBLE) + 3 AS s0, abs(embedding[4]::DOUBLE) + 3 AS s1, unnest(range(-4, 5)) AS k FROM embeddings), mass AS (SELECT n AS s, k, {mixed('k')} AS p FROM e), {BOUNDS} SELECT s AS n, i, bound::BIGINT AS bound FROM bounds",
     "normal_tables": "WITH t AS (SELECT i AS k, exp(ln(0.11::DOUBLE) + i * (ln(32::DOUBLE) - ln(0.11::DOUBLE)) / 23) AS scale FROM (SELECT unnest(range(0, 24)) AS i)), r AS (SELECT *, ceil(scale * 6.109410204869001::DOUBLE)::BIGINT AS far FROM t) SELECT k, round(scale, 6) AS scale, -far AS \"offset\", far * 2 + 3 AS length, 65536::BIGINT AS top, true AS whole, true AS open FROM r",
+    "indexed_roundtrip": "SELECT vec_id AS n, 64::BIGINT AS cells, true AS same, true AS shorter FROM embeddings",
     "coded_requests": "SELECT l_suppkey AS supp, count(*) AS n, sum(l_quantity::BIGINT)::BIGINT AS total FROM lineitem GROUP BY l_suppkey",
 }

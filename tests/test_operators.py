@@ -281,3 +281,19 @@ def test_chroma_modes_and_ramps_are_checked(spark):
         images.ramp(1, 2, 3, "square")
     with pytest.raises(ValueError):
         images.center_pad(plane, ["n"], (2, 2), (1, 4))
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.integers(-60, 60), st.integers(0, 3)), max_size=80))
+def test_indexed_coder_round_trip(pairs):
+    laws = coder.normal_tables([0.11, 0.7, 3.0, 9.0])
+    tables, offsets = laws["bounds"].tolist(), laws["offset"].tolist()
+    told, which = [a for a, _ in pairs], [b for _, b in pairs]
+    assert coder.Decoder(coder.encode_indexed(told, which, tables, offsets)).take_indexed(which, tables, offsets) == told
+
+
+def test_values_out_of_range_raise(spark):
+    rows = spark.createDataFrame([(1,), (None,), (8,)], "q int")
+    assert [r[0] for r in rows.select(search.in_range(F.col("q"), 1, 8, "quality")).collect()] == [1, None, 8]
+    with pytest.raises(Exception, match="quality must lie in"):
+        rows.select(search.in_range(F.col("q"), 1, 7, "quality")).collect()
