@@ -233,15 +233,15 @@ def pairs_of(index: DataFrame, num: int, den: int, short_list: int) -> tuple[Dat
     near = (F.col("a") < F.col("b")) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
     direct = a.join(b, (a["value"] == b["value"]) & near).select("a", "b")
     members = cut(filed.where(F.col("here") > short_list).select("cls", "pivot").distinct())
-    stars = members.where("cls != pivot").select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b"))
+    stars = members.where("cls != pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b"))  # only pivots are in many pairs
     return direct.unionAll(stars).distinct(), members
 
 
 def with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
-    """(a, b, x, y): ``pairs`` with the column of both classes; a class in many pairs, as a pivot is, is spread over tasks."""
+    """(a, b, x, y): ``pairs`` with the column of both classes; ``a`` in many pairs, as a pivot is, is spread over tasks."""
     of = table.select("cls", column)
     with_a = joined_evenly(pairs, of.toDF("a", "x"), "a", "b", counted=pairs)
-    return joined_evenly(with_a, of.toDF("b", "y"), "b", "a", counted=pairs).select("a", "b", "x", "y")
+    return with_a.join(of.toDF("b", "y"), "b").select("a", "b", "x", "y")
 
 
 def passing(rows: DataFrame, test) -> DataFrame:
@@ -399,8 +399,10 @@ def linked_rows(docs: DataFrame, shingle_words: int, num: int, den: int, k: int,
     if not rest.isEmpty():
         labels = cut(components(labels.select(F.col("cls").alias("a"), F.col("component").alias("b")).unionAll(rest)))
     # a component's name is the smallest row key of its classes
-    named = classes.select("digest", "cls", "first").join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    named = cut(labels.join(classes.select("digest", "cls", "first"), "cls").select("digest", "first", "component"))
     names = named.groupBy("component").agg(F.min("first").alias("name"))
-    classed = named.join(names, "component").select("digest", "name")
+    far = joined_evenly(named.select("digest", "component"), names, "component", "digest", counted=named).select("digest", "name")
+    alone = classes.join(labels, "cls", "left_anti").select("digest", F.col("first").alias("name"))
+    classed = far.unionAll(alone)
     out = members.join(classed, "digest", "left").select("row_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("row_key")).alias("component"))
     return out.withColumn("kept", F.col("row_key").eqNullSafe(F.col("component")))
