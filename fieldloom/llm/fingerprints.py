@@ -22,7 +22,7 @@ from .common import cut, text_or_empty
 
 TABLES = 3
 CELLS = 24  # of the stored fingerprint
-ROUNDS = 12
+ROUNDS = 9
 ATTEMPTS = 10
 SHORT_TEXT = 300
 TINY_TEXT = 60
@@ -145,17 +145,18 @@ def width_for(about: Column, n_a: Column, n_b: Column, attempt: int) -> Column:
     return F.ceil(within * (0.7 * 2 ** (attempt - 1)) + 3).cast("long")
 
 
-def compare(pairs: DataFrame, cells: DataFrame, home: str) -> DataFrame:
-    """(home, side, only_a, only_b): how many digests of ``a`` aren't in ``b``, and the reverse, for rows of ``pairs`` (home, side, a, b).
+def compare(sets: DataFrame, cells: DataFrame, home: str) -> DataFrame:
+    """(home, side, only_a, only_b): how many digests of ``a`` aren't in another set of the row, and the reverse.
 
-    ``cells`` are the differences of their stored sketches. Pairs whose sketch holds
-    more than peeling recovers are sketched again, larger and with other hashes; for
-    one that is still not peeled after ATTEMPTS, the sets themselves are compared.
-    Null arrays are empty. A home's side is unique. Pairs without a difference leave
-    no cell, and have no row. Only counts are exchanged.
+    ``sets`` (home, a, b1, b2) gives the pairs of sides 1 and 2, and ``cells`` the
+    differences of their stored sketches. Pairs whose sketch holds more than peeling
+    recovers are sketched again, larger and with other hashes; for one that is still
+    not peeled after ATTEMPTS, the sets themselves are compared. Null arrays are
+    empty. A home is unique. Pairs without a difference leave no cell, and have no
+    row. Only counts are exchanged.
     """
     by, empty = [home, "side"], F.array().cast("array<bigint>")
-    rest = pairs.select(*by, F.coalesce("a", empty).alias("a"), F.coalesce("b", empty).alias("b"))
+    rest = sets.select(home, *[F.coalesce(c, empty).alias(c) for c in ("a", "b1", "b2")])
     done = None
     for attempt in range(ATTEMPTS):
         peeled = peel(cells, by, ROUNDS + TABLES * min(attempt, 4))
@@ -177,8 +178,9 @@ def compare(pairs: DataFrame, cells: DataFrame, home: str) -> DataFrame:
             return done
         surplus = F.col("sum") / TABLES
         about = F.col("only_a") + F.col("only_b") + F.greatest(F.lit(1.0), (F.col("squares") / TABLES - surplus * surplus / F.col("width")) / (1 - 1 / F.col("width")))
-        failed = failed.groupBy(home).agg(F.map_from_entries(F.collect_list(F.struct("side", about.alias("about")))).alias("_about"))
-        again = rest.join(failed, home).withColumn("about", F.col("_about")[F.col("side")]).where("about is not null")
+        failed = failed.groupBy(home).agg(*[F.max(F.when(F.col("side") == s, about)).alias(f"_about{s}") for s in (1, 2)])
+        sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"_about{s}").alias("about"), F.col(f"b{s}").alias("b")) for s in (1, 2)])
+        again = rest.join(failed, home).select(home, "a", F.explode(F.filter(sides, lambda x: x["about"].isNotNull())).alias("s")).select(home, "a", "s.*")
         n_a, n_b = F.size("a"), F.size("b")
         if attempt < ATTEMPTS - 1:
             cells = difference_cells(again.withColumn("width", width_for(F.col("about"), n_a, n_b, attempt + 1)).withColumn("seed", F.lit(attempt + 1)), by)
@@ -223,19 +225,20 @@ def version_fingerprints(docs: DataFrame) -> DataFrame:
     ones are made again from the texts.
     """
     rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", text_or_empty().alias("text"))
-    unique = rows.groupBy("doc_id").agg(F.min(F.struct(F.length("text"), "text")).alias("least")).select("doc_id", F.col("least.text").alias("text"))
+    # twice as many parts as usual: the cells of a part's pairs are several times its texts
+    parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    unique = rows.repartition(parts, "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.length("text"), "text")).alias("least")).select("doc_id", F.col("least.text").alias("text"))
     edges = cut(followers(rows))
     told = unique.join(edges.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("to"), "half"), "doc_id")
-    told = told.select(F.col("to").alias("doc_id"), "half", F.substr("text", F.lit(1), F.col("half")).alias("instead"), digests(F.col("text")).alias("next_set"))
+    told = told.select(F.col("to").alias("doc_id"), "half", F.substr("text", F.lit(1), F.col("half")).alias("instead"), digests(F.col("text")).alias("next_set")).repartition(parts, "doc_id")
     both = unique.join(told, "doc_id")
     edited = F.concat(F.substr("text", F.lit(1), F.length("text") - F.col("half")), F.col("instead"))
     both = both.withColumn("edited", edited).select("doc_id", F.length("text").cast("long").alias("n_chars"), "text", "edited", digests(F.col("text")).alias("own_set"), digests(F.col("edited")).alias("edited_set"), "next_set")
     marks = both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("text").alias("own_hash"), F.xxhash64("edited").alias("edited_hash"), "own_set", "edited_set", "next_set").persist(StorageLevel.DISK_ONLY)
     sets = F.array(*[F.struct(F.lit(k).alias("side"), F.col(c).alias("a")) for k, c in enumerate(("own_set", "edited_set", "next_set"))])
     cells = stored_cells(marks.select("doc_id", F.explode(sets).alias("s")).select("doc_id", "s.side", "s.a"), ["doc_id", "side"])
-    others = F.array(F.struct(F.lit(1).alias("side"), F.col("edited_set").alias("b")), F.struct(F.lit(2).alias("side"), F.col("next_set").alias("b")))
-    pairs = marks.select("doc_id", F.col("own_set").alias("a"), F.explode(others).alias("s")).select("doc_id", "s.side", "a", "s.b")
-    counts = compare(pairs, subtracted(cells, "doc_id"), "doc_id")
+    sets = marks.select("doc_id", F.col("own_set").alias("a"), F.col("edited_set").alias("b1"), F.col("next_set").alias("b2"))
+    counts = compare(sets, subtracted(cells, "doc_id"), "doc_id")
     gone = lambda side, name: F.sum(F.when(F.col("side") == side, F.col(name)).otherwise(0))
     wide = counts.groupBy("doc_id").agg(*[gone(s, n).alias(f"{n}_{s}") for s in (1, 2) for n in ("only_a", "only_b")])
     cells = shown(cells.where("side < 2"), ["doc_id", "side"])
