@@ -170,15 +170,16 @@ def compare(sets: DataFrame, cells: DataFrame, home: str) -> DataFrame:
             F.sum(F.when(inside, n).otherwise(0.0)).alias("sum"),
             F.max("width").alias("width"),
         )
-        counts = cut(counts)
-        good = counts.where("left = 0").select(*by, "only_a", "only_b")
+        surplus = F.col("sum") / TABLES
+        about = F.col("only_a") + F.col("only_b") + F.greatest(F.lit(1.0), (F.col("squares") / TABLES - surplus * surplus / F.col("width")) / (1 - 1 / F.col("width")))
+        # what is kept is no wider than it must be: about how many differ, where peeling left cells
+        counts = cut(counts.select(*by, "only_a", "only_b", F.when(F.col("left") > 0, about).alias("about")))
+        good = counts.where("about is null").drop("about")
         done = good if done is None else done.unionAll(good)
-        failed = counts.where("left > 0")
+        failed = counts.where("about is not null")
         if failed.isEmpty():
             return done
-        surplus = F.col("sum") / TABLES
-        about = F.col("only_a") + F.col("only_b") + F.greatest(F.lit(1.0), (F.col("squares") / TABLES - surplus * surplus / F.col("width")) / (1 - 1 / F.col("width")))
-        failed = failed.groupBy(home).agg(*[F.max(F.when(F.col("side") == s, about)).alias(f"_about{s}") for s in (1, 2)])
+        failed = failed.groupBy(home).agg(*[F.max(F.when(F.col("side") == s, F.col("about"))).alias(f"_about{s}") for s in (1, 2)])
         sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"_about{s}").alias("about"), F.col(f"b{s}").alias("b")) for s in (1, 2)])
         again = rest.join(failed, home).select(home, "a", F.explode(F.filter(sides, lambda x: x["about"].isNotNull())).alias("s")).select(home, "a", "s.*")
         n_a, n_b = F.size("a"), F.size("b")
@@ -228,7 +229,7 @@ def version_fingerprints(docs: DataFrame) -> DataFrame:
     # twice as many parts as usual: the cells of a part's pairs are several times its texts
     parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     unique = rows.repartition(parts, "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.length("text"), "text")).alias("least")).select("doc_id", F.col("least.text").alias("text"))
-    edges = cut(followers(rows))
+    edges = followers(rows)
     told = unique.join(edges.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("to"), "half"), "doc_id")
     told = told.select(F.col("to").alias("doc_id"), "half", F.substr("text", F.lit(1), F.col("half")).alias("instead"), digests(F.col("text")).alias("next_set")).repartition(parts, "doc_id")
     both = unique.join(told, "doc_id")
