@@ -214,7 +214,7 @@ def candidates(rows: DataFrame, seeds: DataFrame, seed_words: int) -> DataFrame:
             columns = [batch.column("key").take(pa.array(keep, pa.int64())), pa.array(own, pa.list_(pa.int64())), pa.array(lengths, pa.list_(pa.int32())), pa.array(said, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["key", "seeds", "lengths", "words"])
 
-    schema = T.StructType([T.StructField("key", rows.schema["key"].dataType), *T._parse_datatype_string("seeds array<long>, lengths array<int>, words binary").fields])
+    schema = T.StructType([T.StructField("key", rows.schema["key"].dataType), *T.StructType.fromDDL("seeds array<long>, lengths array<int>, words binary").fields])
     return written(rows.mapInArrow(read, schema).withColumn("doc", F.monotonically_increasing_id()))
 
 
@@ -241,7 +241,7 @@ def held(rows: DataFrame, benchmark: DataFrame, threshold: float, seed_words: in
         asked = docs.select("doc", F.explode("seeds").alias("seed"))
         pairs = cut(joined_evenly(asked, seeds, "seed", "doc", counted=asked).select("doc", "item").distinct())
         told = joined_evenly(pairs, items.select("item", "item_id", F.col("words").alias("item_words")), "item", "doc", counted=pairs)
-        schema = T.StructType([T.StructField("key", rows.schema["key"].dataType), *T._parse_datatype_string("item_id long, item_words int, covered_words int, coverage double, n_tiles int, longest_tile int").fields])
+        schema = T.StructType([T.StructField("key", rows.schema["key"].dataType), *T.StructType.fromDDL("item_id long, item_words int, covered_words int, coverage double, n_tiles int, longest_tile int").fields])
         return cut(told.join(docs.select("doc", "key", "lengths", "words"), "doc").mapInArrow(tile, schema))
 
 
