@@ -91,7 +91,8 @@ def mesh_paths(spark: SparkSession, d: str) -> DataFrame:
     """Mesh files' names to label, split and number, and labels to ids in order."""
     kind = F.regexp_replace(F.lower("p_type"), r"\W+", "_")
     split = F.when(F.col("p_size") % 3 == 0, "test").otherwise("train")
-    path = F.concat(F.lit("/data/"), kind, F.lit("/"), split, F.lit("/"), kind, F.lit("_"), F.lpad(F.col("p_partkey").cast("string"), 6, "0"), F.lit(".off"))
+    number = F.col("p_partkey").cast("string")  # six digits at least; longer ones stay whole
+    path = F.concat(F.lit("/data/"), kind, F.lit("/"), split, F.lit("/"), kind, F.lit("_"), F.lpad(number, F.greatest(F.lit(6), F.length(number)), "0"), F.lit(".off"))
     facts = table(spark, d, "part").select("p_partkey", *scans.mesh_path_facts(path))
     ids = facts.groupBy("label").agg(F.count("*").alias("n")).select("label", (F.row_number().over(W.orderBy("label")) - 1).cast("long").alias("id"))  # one row per label
     return facts.join(ids, "label").select("p_partkey", "label", "split", "number", "id")
