@@ -19,21 +19,34 @@ SLICES = 4  # read of each file; a file holds five
 
 
 # ------------------------------------------------------------------ raw fields
+def file_slices(spark: SparkSession, d: str) -> DataFrame:
+    """(path, n, embedding): the slices of each file and their places in it; the last file may hold fewer, and a place may be missing."""
+    rows = table(spark, d, "embeddings").where(F.col("embedding").isNotNull())
+    return rows.select(F.floor(F.col("vec_id") / 5).cast("long").alias("path"), F.pmod("vec_id", F.lit(5)).cast("long").alias("n"), "embedding")
+
+
 def field_files(spark: SparkSession, d: str) -> DataFrame:
-    """(path, content): five slices of 8 by 8 numbers in each headerless file."""
-    rows = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 5).cast("long").alias("path"), "vec_id", "embedding")
+    """(path, content): up to five slices of 8 by 8 numbers in each headerless file, zeros where one is missing before others."""
 
-    def packed(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        content = b"".join(np.asarray(e, dtype="<f4").tobytes() for e in frame.sort_values("vec_id")["embedding"])
-        return pd.DataFrame({"path": [key[0]], "content": [content]})
+    def packed(frames):
+        for frame in frames:
+            out = []
+            for slices in frame["slices"]:
+                content = np.zeros((max(s["n"] for s in slices) + 1, 64), dtype="<f4")
+                for s in slices:
+                    content[s["n"]] = s["embedding"]
+                out.append(content.tobytes())
+            yield pd.DataFrame({"path": frame["path"], "content": out})
 
-    return rows.groupBy("path").applyInPandas(packed, "path long, content binary")
+    files = file_slices(spark, d).groupBy("path").agg(F.collect_list(F.struct("n", "embedding")).alias("slices"))
+    return files.mapInPandas(packed, "path long, content binary")
 
 
 def raw_field_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Raw files to slices, normalised, in groups of three, in overlapped tiles, a step on each tile, fused, cropped, scaled back: metrics by file."""
     size, block, stride = (8, 8), (4, 4), (3, 3)
-    field = containers.decoded_field(field_files(spark, d), (SLICES, 8, 8)).withColumn("k", F.col("path") * SLICES + F.col("n"))
+    field = containers.decoded_field(field_files(spark, d), (SLICES, 8, 8), short=True)
+    field = field.join(file_slices(spark, d).select("path", "n"), ["path", "n"], "left_semi").withColumn("k", F.col("path") * SLICES + F.col("n"))
     one = field.select("path", F.col("k").alias("n"), "h", "w", "v")
     normal = fields.normalize(one).withColumn("k", F.col("n") % SLICES)
     groups = tiling.group_by_three(normal.select("path", F.col("k").alias("n"), "h", "w", F.col("x").alias("v")), 8, 8, SLICES, by=("path",))

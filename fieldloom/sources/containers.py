@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,21 +88,20 @@ def stream_sizes(packs: DataFrame, by: str, streams: str) -> DataFrame:
     return each.withColumn("size", size).rollup(by, "stream").agg(F.sum("size").alias("size"))
 
 
-def decoded_field(files: DataFrame, shape: tuple[int, int, int], dtype: str = "<f4") -> DataFrame:
-    """(path, n, h, w, v) of headerless binary fields in ``files`` (path, content): the first n*h*w values of each, a slice at a time; fewer raise."""
+def decoded_field(files: DataFrame, shape: tuple[int, int, int], dtype: str = "<f4", short: bool = False) -> DataFrame:
+    """(path, n, h, w, v) of headerless binary fields in ``files`` (path, content): the first n*h*w values of each. Fewer raise; with ``short`` a file gives the whole slices that it has."""
+    from .scans import fixed_records
+
     n, h, w = shape
-    size = np.dtype(dtype).itemsize * h * w
-
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hh, ww = np.divmod(np.arange(h * w), w)
-        for frame in frames:
-            for name, content in zip(frame["path"], frame["content"], strict=True):
-                if len(content) < n * size:
-                    raise ValueError(f"{name}: {len(content)} bytes are too few for {shape}")
-                for k in range(n):
-                    yield pd.DataFrame({"path": name, "n": k, "h": hh, "w": ww, "v": np.frombuffer(content, dtype, h * w, k * size).astype(float)})
-
-    return files.select("path", "content").mapInPandas(task, f"path {dict(files.dtypes)['path']}, n long, h long, w long, v double")
+    size = n * np.dtype(dtype).itemsize * h * w
+    held = F.coalesce(F.octet_length("content"), F.lit(0))
+    told = F.concat(F.col("path").cast("string"), F.lit(": "), held.cast("string"), F.lit(f" bytes are too few for {shape}"))
+    content = F.substring("content", 1, size)
+    if not short:
+        content = F.when(held < size, F.raise_error(told).cast("binary")).otherwise(content)
+    slices = fixed_records(files.select("path", content.alias("content")), dtype, h * w)
+    cells = slices.select("path", F.col("record").alias("n"), F.posexplode("values").alias("i", "v"))
+    return cells.select("path", "n", F.floor(F.col("i") / w).alias("h"), (F.col("i") % w).cast("long").alias("w"), "v")
 
 
 def raw_field(spark: SparkSession, path: str, shape: tuple[int, int, int], dtype: str = "<f4") -> DataFrame:
