@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +14,7 @@ from .containers import metric_name, ms_ssim_db
 # File name endings of pictures and raw videos.
 PICTURES = ("jpg", "jpeg", "png", "ppm", "pgm", "bmp", "tif", "tiff", "webp")
 VIDEOS = ("yuv", "y4m", "rgb")
+MOST_VALUES = 1 << 18  # sent at a time by a scan
 
 
 def listed(spark: SparkSession, root: str, endings: tuple[str, ...] = PICTURES, deep: bool = True) -> DataFrame:
@@ -30,19 +31,43 @@ def pictures(spark: SparkSession, root: str, split: str) -> DataFrame:
 
 
 def fixed_records(files: DataFrame, dtype: str, count: int) -> DataFrame:
-    """(path, record, values) of ``files`` (path, content): each ``count`` numbers of ``dtype`` are a record; a rest is left out, and null content gives no rows."""
-    kind, size = np.dtype(dtype), np.dtype(dtype).itemsize * count
+    """(path, record, values) of ``files`` (path, content): each ``count`` numbers of ``dtype`` are a record; a rest is left out, and null content gives no rows.
 
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                n = len(content) // size
-                for at in range(0, n, 4096):  # a bounded part of a long file at a time
-                    part = np.frombuffer(content, kind, min(4096, n - at) * count, at * size).astype(float).reshape(-1, count)
-                    yield pd.DataFrame({"path": path, "record": np.arange(at, at + len(part)), "values": list(part)})
+    Records go out some ``MOST_VALUES`` numbers at a time: a long file in parts, short ones together.
+    """
+    kind, size = np.dtype(dtype), np.dtype(dtype).itemsize * count
+    most = max(1, MOST_VALUES // count)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts: list[tuple[int, int, np.ndarray]] = []  # row, first record, numbers
+            held = 0
+            for row, content in enumerate(batch.column(1)):
+                raw = content.as_buffer()
+                at, n = 0, raw.size // size
+                while at < n:
+                    taken = min(most - held, n - at)
+                    parts.append((row, at, np.frombuffer(raw, kind, taken * count, at * size)))
+                    at, held = at + taken, held + taken
+                    if held == most:
+                        yield records_of(batch.column(0), parts, count)
+                        parts, held = [], 0
+            if parts:
+                yield records_of(batch.column(0), parts, count)
 
     named = files.where(F.col("content").isNotNull()).select("path", "content")
-    return named.mapInPandas(task, f"path {dict(files.dtypes)['path']}, record long, values array<double>")
+    return named.mapInArrow(task, f"path {dict(files.dtypes)['path']}, record long, values array<double>")
+
+
+def records_of(paths: pa.Array, parts: list[tuple[int, int, np.ndarray]], count: int) -> pa.RecordBatch:
+    """(path, record, values) of ``parts``: a path's place, the first record's number, all numbers."""
+    lengths = np.array([len(values) // count for _, _, values in parts])
+    before = np.cumsum(lengths) - lengths
+    record = np.arange(lengths.sum()) + np.repeat([at for _, at, _ in parts] - before, lengths)
+    values = pa.array(np.concatenate([values for _, _, values in parts]).astype(float))
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, count, dtype=np.int32)), values)
+    named = paths.take(pa.array(np.repeat([row for row, _, _ in parts], lengths)))
+    return pa.RecordBatch.from_arrays([named, pa.array(record), lists], ["path", "record", "values"])
 
 
 # How much smaller the chroma planes are, by format.

@@ -297,3 +297,20 @@ def test_values_out_of_range_raise(spark):
     assert [r[0] for r in rows.select(search.in_range(F.col("q"), 1, 8, "quality")).collect()] == [1, None, 8]
     with pytest.raises(Exception, match="quality must lie in"):
         rows.select(search.in_range(F.col("q"), 1, 7, "quality")).collect()
+
+
+def test_short_raw_files(spark):
+    values = np.arange(30, dtype="<f4")
+    files = spark.createDataFrame([(1, bytearray(values.tobytes())), (2, bytearray(values[:13].tobytes())), (3, bytearray(values[:5].tobytes()))], "path long, content binary")
+    got = containers.decoded_field(files, (2, 3, 4), short=True).groupBy("path").agg(F.count("*").alias("cells"), F.max("v").alias("last")).orderBy("path").collect()
+    assert [tuple(r) for r in got] == [(1, 24, 23.0), (2, 12, 11.0)]
+    with pytest.raises(Exception, match="too few"):
+        containers.decoded_field(files, (2, 3, 4)).collect()
+
+
+def test_records_of_short_files_go_out_together(spark, monkeypatch):
+    """Parts of long files and many short files in one batch keep their paths and numbers."""
+    files = spark.createDataFrame([(p, bytearray([p % 250] * (4 * (p % 3)))) for p in range(500)] + [(900, bytearray(range(200)) * 4)], "path long, content binary").coalesce(1)
+    monkeypatch.setattr(scans, "MOST_VALUES", 30)
+    got = sorted((r["path"], r["record"], tuple(r["values"])) for r in scans.fixed_records(files, "<u1", 4).collect())
+    assert got == sorted([(p, k, (float(p % 250),) * 4) for p in range(500) for k in range(p % 3)] + [(900, k, tuple(float((4 * k + i) % 200) for i in range(4))) for k in range(200)])
