@@ -78,12 +78,15 @@ def raw_video(spark: SparkSession, d: str) -> DataFrame:
 def labelled_points(spark: SparkSession, d: str) -> DataFrame:
     """Records of four floats and their side file's labels by place, looked up in a table of names."""
 
-    def side(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        pairs = np.array([[(key[0] * 7 + i) % 5, i] for i in range(16)], dtype="<u2")
-        return pd.DataFrame({"path": [key[0]], "content": [pairs.tobytes()]})
+    def side(frames):
+        place = np.arange(16)
+        for frame in frames:
+            label = (frame["path"].to_numpy()[:, None] * 7 + place) % 5
+            pairs = np.stack([label, np.broadcast_to(place, label.shape)], axis=2).astype("<u2")
+            yield pd.DataFrame({"path": frame["path"], "content": [p.tobytes() for p in pairs]})
 
     points = containers_of(spark, d)
-    labels = points.select("path").groupBy("path").applyInPandas(side, "path long, content binary")
+    labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("path")).distinct().mapInPandas(side, "path long, content binary")
     found = scans.labelled_points(points, labels)
     names = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("label"), "r_name")
     return rounded(found.join(F.broadcast(names), "label").select(F.col("path").alias("n"), "pos", "x", "remission", "r_name", "instance"), "x", "remission")  # five names
