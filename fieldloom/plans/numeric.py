@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import coder, entropy, fields, images, points, quantize, search, tiling
-from ..session import new_path
+from ..session import kept, new_path
 from ..streaming import windows
 from .relational import sweep
 from .relational_sql import CLOUD, D2, HIST, SWEEP, nearest
@@ -278,7 +278,7 @@ def indexed_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 def coded_requests(spark: SparkSession, d: str) -> DataFrame:
     """Coded streams asked for in parts by a streaming run that keeps each decoder's place: counts and sums of what comes back."""
     lines = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("supp"), "l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("sym"))
-    encoded = coder.encode_streams(coder.chunked(lines, "l_orderkey", 1 << 14), "supp", ["l_orderkey", "l_linenumber"])
+    encoded = kept(coder.encode_streams(coder.chunked(lines, "l_orderkey", 1 << 14), "supp", ["l_orderkey", "l_linenumber"]))  # both parts of the requests are made of it
     name = F.concat_ws(":", F.col("supp").cast("string"), F.col("chunk").cast("string")).alias("stream_id")
     asked = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 50)))
     requests = encoded.select(name, "n", "bounds", "low", "stream", asked.alias("seq"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,26 +56,40 @@ def written_stream(out: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return out.sparkSession.read.schema(out.schema).parquet(path)
 
 
-def decoded_requests(requests: DataFrame) -> DataFrame:
+def decoded_requests(requests: DataFrame, buckets: int = 1024) -> DataFrame:
     """(stream_id, i, sym) of a streaming or batch table of ``requests`` (stream_id, seq, n, bounds, low, stream): symbols of coded streams, asked for bit by bit.
 
     The first request of a stream brings its bytes; the state of a stream is those
     bytes and the coder's place, so later requests go on where the last one ended.
+    Streams share ``buckets`` rows of state by hash, as a group of its own for each
+    small stream costs far more than its symbols; symbols go out some at a time.
     """
-    from ..operators.coder import Decoder
+    from ..operators.coder import LANES, Decoder
+
+    kind = dict(requests.dtypes)["stream_id"]
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        stream, x, at, done = state.get if state.exists else (b"", "", 0, 0)
-        out = []
-        for row in pd.concat(list(frames)).sort_values("seq").itertuples(index=False):
-            stream = bytes(row.stream) if row.stream is not None and not len(stream) else stream
+        kept = {k: list(rest) for k, *rest in zip(*state.get, strict=True)} if state.exists else {}
+        told = [r for f in frames for r in zip(*(f[c].tolist() for c in ("stream_id", "seq", "n", "low", "bounds", "stream")), strict=True)]
+        names, places, symbols, size = [], [], [], 0
+        for name, _, n, low, bounds, brought in sorted(told, key=lambda r: r[:2]):
+            own = kept.setdefault(name, [b"", "", 0, 0])
+            stream, x, at, done = own
+            stream = bytes(brought) if brought is not None and not len(stream) else bytes(stream)
             coder = Decoder(stream, (int(x), at) if x else None)
-            for sym in coder.take(int(row.n), [int(b) for b in row.bounds], int(row.low)):
-                out.append((key[0], done, sym))
-                done += 1
-            x, at = str(coder.state), coder.at
-        state.update((stream, x, at, done))
-        yield pd.DataFrame(out, columns=["stream_id", "i", "sym"])
-
-    kind = dict(requests.dtypes)["stream_id"]
-    return requests.groupBy("stream_id").applyInPandasWithState(step, f"stream_id {kind}, i long, sym long", "stream binary, x string, at long, done long", "append", GroupStateTimeout.NoTimeout)
+            found = coder.take(int(n), np.asarray(bounds).tolist(), int(low))
+            own[:] = stream, str(coder.state), coder.at, done + len(found)
+            names.append(np.full(len(found), name, dtype=object))
+            places.append(np.arange(done, done + len(found)))
+            symbols.append(np.array(found, dtype=np.int64))
+            size += len(found)
+            if size >= LANES:
+                yield pd.DataFrame({"stream_id": np.concatenate(names), "i": np.concatenate(places), "sym": np.concatenate(symbols)})
+                names, places, symbols, size = [], [], [], 0
+        state.update(tuple(list(c) for c in zip(*((k, *own) for k, own in kept.items()), strict=True)))
+        if names:
+            yield pd.DataFrame({"stream_id": np.concatenate(names), "i": np.concatenate(places), "sym": np.concatenate(symbols)})
+
+    dealt = requests.withColumn("_bucket", F.pmod(F.xxhash64("stream_id"), F.lit(buckets)))
+    held = f"stream_id array<{kind}>, stream array<binary>, x array<string>, at array<long>, done array<long>"
+    return dealt.groupBy("_bucket").applyInPandasWithState(step, f"stream_id {kind}, i long, sym long", held, "append", GroupStateTimeout.NoTimeout)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.operators import coder, entropy, fields, images, metrics, points, quantize, search, tiling
 from fieldloom.sources import containers, scans, video
+from fieldloom.streaming import windows
 
 
 def test_quantised_cdf_known_answer():
@@ -341,3 +342,22 @@ def test_many_streams_in_few_groups(spark, monkeypatch):
     one = rows.where("s is not null").select("s", "i", "sym")
     assert back.where("s is not null").exceptAll(one).count() == 0 == one.exceptAll(back.where("s is not null")).count()
     assert coder.checked_streams(encoded, "s").where("same").agg(F.sum("n")).first()[0] == len(made)
+
+
+def test_requests_of_many_streams_share_their_state(spark, tmp_path):
+    """Two runs over requests: each stream goes on where it ended, whatever lies in its bucket; few rows of state."""
+    told = {f"s{k}": [(k * i) % 9 - 4 for i in range(5 + k)] for k in range(20)}
+    first, later = [], []
+    for name, syms in told.items():
+        bounds, low = coder.bounds_of(np.array(syms))
+        first.append((name, 0, 3, bounds, low, bytearray(coder.encode(syms, bounds, low))))
+        later += [(name, s, min(4, len(syms) - 4 * s + 1), bounds, low, None) for s in range(1, (len(syms) - 3 + 3) // 4 + 1)]
+    schema = "stream_id string, seq long, n long, bounds array<int>, low long, stream binary"
+    for part in (first, later):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        got = windows.written_stream(windows.decoded_requests(stream, 3), str(tmp_path / "out"), str(tmp_path / "state"))
+    back = {name: [r["sym"] for r in got.where(F.col("stream_id") == name).orderBy("i").collect()] for name in told}
+    assert back == told
+    rows = spark.read.format("statestore").load(str(tmp_path / "state"))
+    assert 0 < rows.count() <= 3
