@@ -74,27 +74,59 @@ def neighbours(queries: DataFrame, points: DataFrame, k: int, self_too: bool = T
 
 
 def cell(c: str, radius: float) -> Column:
-    return F.floor(F.col(c) / radius)
+    return F.floor(F.col(c) / (radius * (1 + 1e-9)))  # so that rounding parts no pair by two cells
+
+
+FIRST_HELD = 16  # points of a cell that its neighbourhood is given in the first round of a ball query
 
 
 def ball_query(queries: DataFrame, points: DataFrame, radius: float, most: int) -> DataFrame:
     """(cloud, p, slot, b_p): the first ``most`` points within ``radius`` by number, short lists filled with the first.
 
     Points are filed by grid cell as wide as the radius, and a query looks into
-    the 27 cells around its own: an equi-join on cloud and cell.
+    the 27 cells around its own, at their first points by number only: lists of
+    these are gathered once for a cell, not for a query. A query is done once it
+    has ``most`` hits before the first point that it wasn't given. The few others
+    look at the next points of these cells, eight times as many each round, by an
+    equi-join; so pairs grow with the queries, not with their square.
     """
-    grid = others(points).withColumns({f"g{c}": cell(f"b_{c}", radius) for c in AXES})
-    step = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    asked = queries
-    for c in AXES:
-        asked = asked.withColumn(f"_s{c}", F.explode(step)).withColumn(f"g{c}", cell(c, radius) + F.col(f"_s{c}"))
-    near = asked.join(grid, ["cloud", *[f"g{c}" for c in AXES]]).where(squared_distance() <= radius * radius)
-    ranked = near.withColumn("slot", F.row_number().over(W.partitionBy("cloud", "p").orderBy("b_p"))).where(F.col("slot") <= most)
-    found = ranked.groupBy("cloud", "p").agg(F.sort_array(F.collect_list("b_p")).alias("hits"))
-    slots = found.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
+    axes = [f"g{c}" for c in AXES]
+    filed = others(points).withColumns({f"g{c}": cell(f"b_{c}", radius) for c in AXES})
+    filed = kept(filed.withColumn("_place", F.row_number().over(W.partitionBy("cloud", *axes).orderBy("b_p"))))
+    near = lambda rows: spread(rows, axes)
+    d2 = lambda x: sum(((F.col(c) - x[f"b_{c}"]) * (F.col(c) - x[f"b_{c}"]) for c in AXES[1:]), (F.col("x") - x["b_x"]) * (F.col("x") - x["b_x"]))
+
+    held = max(FIRST_HELD, most)
+    given = F.collect_list(F.when(F.col("_place") <= held, F.struct("b_p", *[f"b_{c}" for c in AXES])))
+    ahead = F.min(F.when(F.col("_place") > held, F.col("b_p")))
+    around = near(filed.where(F.col("_place") <= held + 1)).groupBy("cloud", *axes).agg(F.sort_array(given).alias("_given"), ahead.alias("_ahead"))
+    asked = queries.select("cloud", "p", *AXES, *[cell(c, radius).alias(g) for c, g in zip(AXES, axes, strict=True)])
+    hits = F.slice(F.transform(F.filter("_given", lambda x: d2(x) <= radius * radius), lambda x: x["b_p"]), 1, most)
+    looked = kept(asked.join(around, ["cloud", *axes]).select("cloud", "p", *AXES, *axes, hits.alias("hits"), "_ahead"))
+    done = F.col("_ahead").isNull() | F.coalesce(F.get("hits", F.lit(most - 1)) < F.col("_ahead"), F.lit(False))
+    found, open_ = looked.where(done).select("cloud", "p", "hits"), looked.where(~done)
+    while not open_.isEmpty():
+        last, held = held, 8 * held
+        block = filed.where((F.col("_place") > last) & (F.col("_place") <= held))
+        ahead = near(filed.where(F.col("_place") == held + 1)).groupBy("cloud", *axes).agg(F.min("b_p").alias("_next"))
+        met = near(open_.select("cloud", "p", *AXES, *axes)).join(block, ["cloud", *axes]).where(squared_distance() <= radius * radius)
+        first = met.withColumn("_n", F.row_number().over(W.partitionBy("cloud", "p").orderBy("b_p"))).where(F.col("_n") <= most)
+        more = first.groupBy("cloud", "p").agg(F.collect_list("b_p").alias("_more"))
+        both = open_.drop("_ahead").join(more, ["cloud", "p"], "left").join(ahead.withColumnRenamed("_next", "_ahead"), ["cloud", *axes], "left")
+        merged = F.slice(F.sort_array(F.concat("hits", F.coalesce("_more", F.slice("hits", 1, 0)))), 1, most)
+        looked = kept(both.select("cloud", "p", *AXES, *axes, merged.alias("hits"), "_ahead"))
+        found, open_ = found.unionAll(looked.where(done).select("cloud", "p", "hits")), looked.where(~done)
+    slots = found.where(F.size("hits") > 0).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
     return slots.select("cloud", "p", F.col("slot").cast("long").alias("slot"), F.coalesce(F.get("hits", F.col("slot")), F.get("hits", F.lit(0))).alias("b_p"))
 
 
+def spread(rows: DataFrame, axes: list[str]) -> DataFrame:
+    """``rows`` once in each of the 27 cells around their own."""
+    for g in axes:
+        rows = rows.withColumn(g, F.explode(F.array(*[F.col(g) + i for i in (-1, 0, 1)])))
+    return rows
+
+
 def chamfer(a: DataFrame, b: DataFrame) -> DataFrame:
     """(cloud, chamfer): mean squared distance to the nearest point, both ways, summed."""
     there = neighbours(a, b, 1).groupBy("cloud").agg(F.avg("d2").alias("there"))

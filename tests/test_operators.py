@@ -361,3 +361,18 @@ def test_requests_of_many_streams_share_their_state(spark, tmp_path):
     assert back == told
     rows = spark.read.format("statestore").load(str(tmp_path / "state"))
     assert 0 < rows.count() <= 3
+
+
+def test_ball_queries_are_those_of_all_pairs(spark, monkeypatch):
+    """Crowded cells whose first points lie out of reach, lone points, queries elsewhere: by brute force, with few points in the first round."""
+    monkeypatch.setattr(points, "FIRST_HELD", 4)
+    rng = np.random.default_rng(5)
+    rows = [(0, i, *map(float, rng.normal(size=3) / 4)) for i in range(150)] + [(1, i, 0.9 if i < 80 else 0.05, 0.1 * (i % 3), 0.0) for i in range(120)] + [(2, 7, 1.0, 1.0, 1.0)]
+    asked = [*rows, (1, 900, 1.45, 0.0, 0.0), (1, 901, -0.44, 0.0, 0.0), (2, 902, 9.0, 9.0, 9.0), (3, 903, 0.0, 0.0, 0.0)]
+    got = points.ball_query(cloud_of(spark, asked), cloud_of(spark, rows), 0.5, 4)
+    got = sorted(tuple(r) for r in got.select("cloud", "p", "slot", "b_p").collect())
+    want = []
+    for c, p, *x in asked:
+        hits = sorted(q for d, q, *y in rows if d == c and sum((a - b) * (a - b) for a, b in zip(x, y, strict=True)) <= 0.25)
+        want += [(c, p, k, hits[k] if k < min(4, len(hits)) else hits[0]) for k in range(4) if hits]
+    assert got == sorted(want)
