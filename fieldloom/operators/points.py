@@ -12,6 +12,8 @@ from .entropy import prefix_sums
 
 AXES = ("x", "y", "z")
 MOST_CLOUDS = 200_000
+MOST_PAIRS = 1 << 20  # compared by one task, on the mean
+MOST_FINER = 8  # times that a grid is made finer before the first look
 
 
 def squared_distance(a: str = "", b: str = "b_") -> Column:
@@ -26,10 +28,12 @@ def others(points: DataFrame) -> DataFrame:
 def neighbours(queries: DataFrame, points: DataFrame, k: int, self_too: bool = True) -> DataFrame:
     """(cloud, p, b_p, d2, rank): the k nearest points of the same cloud, ties by point number.
 
-    Points are filed by grid cell, some k of them in a cell where they lie evenly,
-    and a query looks into the 27 cells around its own: an equi-join. It is done
-    once its k-th neighbour is nearer than the edge of these cells; the others look
-    again on a grid twice as wide, until a cell is as wide as the cloud. Of points
+    Points are filed by grid cell, some k of them in the cell of most points, and a
+    query looks into the 27 cells around its own: an equi-join, in as many tasks as
+    its counted pairs ask for. It is done once its k-th neighbour is nearer than
+    the edge of these cells; the others look again on a grid twice as wide, until a
+    cell is as wide as the cloud. Only points around what is open are read again.
+    All pairs of a query meet in one task, and k of them leave it. Of points
     at one place only the k + 1 first can be neighbours, so a crowded place is no
     crowded join. A query in a cloud of fewer points finds them all.
     """
@@ -40,6 +44,15 @@ def neighbours(queries: DataFrame, points: DataFrame, k: int, self_too: bool = T
     boxes = apart.groupBy("cloud").agg(*spans, extent.alias("_extent"), F.count("*").alias("_n"))
     width = F.when(F.col("_extent") > 0, F.col("_extent") * F.least(F.lit(1.0), F.pow(F.lit(float(k)) / F.col("_n"), F.lit(1 / 3)))).otherwise(1.0)
     boxes = sent_whole(kept(boxes.withColumn("_w", width)), MOST_CLOUDS)
+    # a finer grid where points crowd: how many share a point's cell, on the mean, tells by how much
+    axes = [f"g{c}" for c in AXES]
+    for _ in range(MOST_FINER):
+        cells = apart.join(boxes.drop("_n"), "cloud").groupBy("cloud", *[F.floor((F.col(c) - F.col(f"_l{c}")) / F.col("_w")).alias(g) for c, g in zip(AXES, axes, strict=True)]).count()
+        crowds = kept(cells.groupBy("cloud").agg((F.sum(F.col("count") * F.col("count")) / F.sum("count")).alias("_crowd")))
+        if crowds.where(F.col("_crowd") > 4 * k).isEmpty():
+            break
+        finer = F.least(F.lit(1.0), F.pow(F.lit(float(k)) / F.col("_crowd"), F.lit(1 / 3)))
+        boxes = sent_whole(kept(boxes.join(crowds, "cloud", "left").withColumn("_w", F.col("_w") * F.coalesce(finer, F.lit(1.0))).drop("_crowd")), MOST_CLOUDS)
     filed = others(apart).join(boxes.drop("_n"), "cloud")
     open_ = queries.select("cloud", "p", *AXES).join(boxes.drop("_n"), "cloud")
     done, grow = None, 1.0
@@ -56,9 +69,13 @@ def neighbours(queries: DataFrame, points: DataFrame, k: int, self_too: bool = T
         for c in AXES:
             everything = everything & (at(c, "") - 1 <= 0) & (at(c, "") + 1 >= F.floor(F.col("_extent") / (F.col("_w") * grow)))
         asked = asked.withColumn("_edge", F.when(everything, float("inf")).otherwise(edge))
-        for c in AXES:
-            asked = asked.withColumn(f"g{c}", F.explode(F.array(*[at(c, "") + i for i in (-1, 0, 1)])))
-        met = asked.join(grid, ["cloud", *[f"g{c}" for c in AXES]]).withColumn("d2", squared_distance())
+        asked = asked.withColumns({g: at(c, "") for c, g in zip(AXES, axes, strict=True)})
+        around = spread(asked.groupBy("cloud", *axes).agg(F.count("*").alias("_asked")), axes).groupBy("cloud", *axes).agg(F.sum("_asked").alias("_asked"))
+        around = kept(around.join(grid.groupBy("cloud", *axes).agg(F.count("*").alias("_held")), ["cloud", *axes]))
+        pairs = around.agg(F.sum(F.col("_asked") * F.col("_held"))).first()[0] or 0
+        close = spread(grid.join(around.select("cloud", *axes), ["cloud", *axes], "left_semi"), axes)
+        dealt = lambda rows: rows.repartition(1 + pairs // MOST_PAIRS, "cloud", *axes)  # noqa: E731, B023
+        met = dealt(asked).join(dealt(close), ["cloud", *axes]).withColumn("d2", squared_distance())
         met = met if self_too else met.where("p != b_p")
         ranked = met.withColumn("rank", F.row_number().over(W.partitionBy("cloud", "p").orderBy("d2", "b_p"))).where(F.col("rank") <= k)
         ranked = kept(ranked.select("cloud", "p", "b_p", "d2", "rank", "_edge"))

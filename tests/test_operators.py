@@ -376,3 +376,21 @@ def test_ball_queries_are_those_of_all_pairs(spark, monkeypatch):
         hits = sorted(q for d, q, *y in rows if d == c and sum((a - b) * (a - b) for a, b in zip(x, y, strict=True)) <= 0.25)
         want += [(c, p, k, hits[k] if k < min(4, len(hits)) else hits[0]) for k in range(4) if hits]
     assert got == sorted(want)
+
+
+def test_pairs_of_crowded_clouds_stay_few(spark, monkeypatch):
+    """A crowd in a wide cloud: right by brute force, and far fewer pairs in the first round than on a grid by the cloud's extent."""
+    seen = []
+    rng = np.random.default_rng(6)
+    rows = [(0, i, *map(float, rng.normal(size=3) / 100)) for i in range(400)] + [(0, 1000 + i, *map(float, 10 * rng.normal(size=3))) for i in range(20)]
+    c = cloud_of(spark, rows)
+    dealt = type(c).repartition
+    monkeypatch.setattr(points, "MOST_PAIRS", 1)  # as many tasks as pairs, so that they are told
+    monkeypatch.setattr(type(c), "repartition", lambda self, n, *by: seen.append(n) or dealt(self, 8, *by))
+    got = sorted(tuple(r) for r in points.neighbours(c, c, 3).select("cloud", "p", "rank", "b_p").collect())
+    want = []
+    for _, p, *x in rows:
+        near = sorted((sum((a - b) * (a - b) for a, b in zip(x, y, strict=True)), q) for _, q, *y in rows)
+        want += [(0, p, k + 1, q) for k, (_, q) in enumerate(near[:3])]
+    assert got == sorted(want)
+    assert seen[0] < 420 * 420 / 4
