@@ -28,3 +28,7 @@ def test_raw_files_with_fewer_slices(spark, tmp_path, ids):
 def test_numbers_of_more_than_six_digits(spark, tmp_path):
     made = [(7, "STANDARD TIN", 1), (123456, "SMALL TIN", 3), (1199999, "STANDARD TIN", 2)]
     compared(spark, tmp_path, "mesh_paths", part=spark.createDataFrame(made, "p_partkey long, p_type string, p_size int"))
+
+
+def test_no_group_for_each_side_file(spark, sf_dir):
+    assert "FlatMapGroupsInPandas" not in QUERIES["labelled_points"](spark, sf_dir)._jdf.queryExecution().toString()
