@@ -197,6 +197,22 @@ def likeness(n_a: Column, n_b: Column, only_a: Column, only_b: Column) -> Column
 
 
 # ------------------------------------------------------------------ versions
+PARTS = ("kept", "gone", "come_next", "come", "rest_next")
+
+
+def in_parts(rows: DataFrame) -> DataFrame:
+    """``rows`` with PARTS in place of own_set, edited_set and next_set, which share most of their digests: what two of them hold is kept once."""
+    rows = rows.withColumn("kept", F.array_intersect("own_set", "edited_set")).withColumn("gone", F.array_except("own_set", "kept"))
+    rows = rows.withColumn("new", F.array_except("edited_set", "kept")).withColumn("come_next", F.array_intersect("new", "next_set"))
+    rows = rows.withColumn("come", F.array_except("new", "come_next")).withColumn("rest_next", F.array_except("next_set", "come_next"))
+    return rows.drop("own_set", "edited_set", "next_set", "new")
+
+
+def whole_sets() -> tuple[Column, Column, Column]:
+    """A document's own set, its edited version's and the next document's, from PARTS."""
+    return F.concat("kept", "gone"), F.concat("kept", "come_next", "come"), F.concat("come_next", "rest_next")
+
+
 def followers(docs: DataFrame) -> DataFrame:
     """(doc_id, half, next_id): each document's half length and the next id; the last is followed by the first."""
     rows = docs.groupBy("doc_id").agg(F.min(F.length("text")).alias("chars")).select("doc_id", F.floor(F.col("chars") / 2).cast("int").alias("half"))
@@ -222,8 +238,8 @@ def version_fingerprints(docs: DataFrame) -> DataFrame:
 
     Texts are exchanged once by id, and of each the part that the document before
     needs once more. The digests stay where the exchange has put them, on disk: to
-    read them from a checkpoint would exchange them, and all cells, again. Lost
-    ones are made again from the texts.
+    read them from a checkpoint would exchange them, and all cells, again. What
+    the sets of a row share is kept once. Lost ones are made again from the texts.
     """
     rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", text_or_empty().alias("text"))
     # twice as many parts as usual: the cells of a part's pairs are several times its texts
@@ -235,23 +251,26 @@ def version_fingerprints(docs: DataFrame) -> DataFrame:
     both = unique.join(told, "doc_id")
     edited = F.concat(F.substr("text", F.lit(1), F.length("text") - F.col("half")), F.col("instead"))
     both = both.withColumn("edited", edited).select("doc_id", F.length("text").cast("long").alias("n_chars"), "text", "edited", digests(F.col("text")).alias("own_set"), digests(F.col("edited")).alias("edited_set"), "next_set")
-    marks = both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("text").alias("own_hash"), F.xxhash64("edited").alias("edited_hash"), "own_set", "edited_set", "next_set").persist(StorageLevel.DISK_ONLY)
-    sets = F.array(*[F.struct(F.lit(k).alias("side"), F.col(c).alias("a")) for k, c in enumerate(("own_set", "edited_set", "next_set"))])
+    marks = both.select("doc_id", "n_chars", F.unhex(F.sha2("edited", 256)).alias("edited_sha256"), F.xxhash64("text").alias("own_hash"), F.xxhash64("edited").alias("edited_hash"), "own_set", "edited_set", "next_set")
+    marks = in_parts(marks).persist(StorageLevel.DISK_ONLY)
+    own, edited, following = whole_sets()
+    sets = F.array(*[F.struct(F.lit(k).alias("side"), c.alias("a")) for k, c in enumerate((own, edited, following))])
     cells = stored_cells(marks.select("doc_id", F.explode(sets).alias("s")).select("doc_id", "s.side", "s.a"), ["doc_id", "side"])
-    sets = marks.select("doc_id", F.col("own_set").alias("a"), F.col("edited_set").alias("b1"), F.col("next_set").alias("b2"))
+    sets = marks.select("doc_id", own.alias("a"), edited.alias("b1"), following.alias("b2"))
     counts = compare(sets, subtracted(cells, "doc_id"), "doc_id")
     gone = lambda side, name: F.sum(F.when(F.col("side") == side, F.col(name)).otherwise(0))
     wide = counts.groupBy("doc_id").agg(*[gone(s, n).alias(f"{n}_{s}") for s in (1, 2) for n in ("only_a", "only_b")])
     cells = shown(cells.where("side < 2"), ["doc_id", "side"])
     cells = cells.groupBy("doc_id").agg(*[F.max(F.when(F.col("side") == s, F.col("cells"))).alias(f"cells_{s}") for s in (0, 1)])
     out = marks.join(wide, "doc_id", "left").join(cells, "doc_id", "left")
+    # concatenated arrays hold no digest twice, so their sizes are the sets'
     n, zero = lambda c: F.size(c).cast("long"), lambda c: F.coalesce(F.col(c), F.lit(0))
     return out.select(
         "doc_id",
         "n_chars",
-        "edited_sha256",
-        fingerprint(F.col("own_hash"), F.col("own_set"), F.col("cells_0")).alias("fingerprint"),
-        fingerprint(F.col("edited_hash"), F.col("edited_set"), F.col("cells_1")).alias("edited_fingerprint"),
-        likeness(n("own_set"), n("edited_set"), zero("only_a_1"), zero("only_b_1")).alias("near_edited"),
-        likeness(n("own_set"), n("next_set"), zero("only_a_2"), zero("only_b_2")).alias("near_next"),
+        F.lower(F.hex("edited_sha256")).alias("edited_sha256"),
+        fingerprint(F.col("own_hash"), own, F.col("cells_0")).alias("fingerprint"),
+        fingerprint(F.col("edited_hash"), edited, F.col("cells_1")).alias("edited_fingerprint"),
+        likeness(n(own), n(edited), zero("only_a_1"), zero("only_b_1")).alias("near_edited"),
+        likeness(n(own), n(following), zero("only_a_2"), zero("only_b_2")).alias("near_next"),
     )

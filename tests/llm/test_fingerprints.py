@@ -85,3 +85,12 @@ def test_odd_tables(odd_docs, no_docs):
     assert X.version_fingerprints(no_docs).count() == 0
     alone = X.version_fingerprints(odd_docs.where("doc_id = 1")).first()
     assert alone["n_chars"] == 44
+
+
+def test_digests_that_sets_share_are_kept_once(spark):
+    rows = [(0, [1, 2, 3, 4], [1, 2, 5, 6, 9], [5, 6, 7, 8]), (1, [], [], []), (2, [1], [1], [1]), (3, [1, 2], [3], [3, 4]), (4, [], [7], [])]
+    kept = X.in_parts(spark.createDataFrame(rows, "k long, own_set array<long>, edited_set array<long>, next_set array<long>"))
+    sizes = {r["k"]: sum(len(r[c]) for c in X.PARTS) for r in kept.collect()}
+    assert sizes == {0: 9, 1: 0, 2: 2, 3: 4, 4: 1}  # not 13, 0, 3, 5, 1
+    got = kept.select("k", *[F.sort_array(c).alias(n) for c, n in zip(X.whole_sets(), ("own", "edited", "following"), strict=True)]).collect()
+    assert sorted((r["k"], r["own"], r["edited"], r["following"]) for r in got) == rows
