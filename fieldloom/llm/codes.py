@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, new_table, sent_whole, text_or_empty
+from .common import cut, new_table, sent_whole, small_batches, text_or_empty
 
 MAGIC = b"DACSEG01"
 HEADER = struct.Struct("<8sQQII")  # magic, documents, tokens, levels, reserved
@@ -239,7 +239,8 @@ def write_codes(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = E
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), text_or_empty().alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     task = partial(encode_batches, path=tokenizer_path, end_id=end_id, segment_tokens=segment_tokens)
-    ordered.mapInArrow(task, SEGMENT_SCHEMA).write.parquet(path)
+    with small_batches(docs.sparkSession):
+        ordered.mapInArrow(task, SEGMENT_SCHEMA).write.parquet(path)
 
 
 def decode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,12 +20,12 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, joined_evenly, row_digest, sent_whole, small_batches, text_or_empty, written
+from .near_duplicates import word_hashes
 
 WORD = re.compile(r"\w+")
 SEED_WORDS = 5
@@ -34,26 +34,15 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 FILTER_BITS = 27  # 16 MB at most; a larger benchmark lets more windows through to the join
 BITS_A_SEED = 16
 BROADCAST_TEXTS = 1_000_000
-KEPT_WORDS = 500_000
-
-
-class WordHashes(dict):
-    """64-bit hashes of words, those of the first KEPT_WORDS kept."""
-
-    def __missing__(self, word: str) -> int:
-        value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(self) < KEPT_WORDS:
-            self[word] = value
-        return value
-
-
-HASHES = WordHashes()
 
 
 def words_of(text: str) -> np.ndarray:
-    """The hashes of a text's words in lower case, in order."""
-    found = WORD.findall(text.lower())
-    return np.fromiter(map(HASHES.__getitem__, found), dtype=np.uint64, count=len(found))
+    """The hashes of a text's words in lower case, in order.
+
+    They are worked out from the text alone: a worker keeps no word, so its memory
+    doesn't grow with the words that it has met.
+    """
+    return word_hashes(" ".join(WORD.findall(text.lower())))
 
 
 def window_hashes(ids: np.ndarray, n: int) -> np.ndarray:

@@ -59,3 +59,20 @@ def test_tokens_by_position(spark, odd_docs, tmp_path):
 
 def test_no_documents(no_docs):
     assert codes.token_codes(no_docs, tokenizer_path()).count() == 0
+
+
+def test_texts_are_sent_to_python_in_small_batches(spark, monkeypatch):
+    from fieldloom.llm.common import BATCH_ROWS
+
+    def counting(batches, path, end_id, segment_tokens):
+        import pyarrow as pa
+
+        for batch in batches:
+            types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((0, 0, 0, batch.num_rows, 0, 0, 0, b""), types, strict=True)], ["part", "segment", "before", "n_docs", "n_tokens", "first_doc", "last_doc", "blob"])
+
+    monkeypatch.setattr(codes, "encode_batches", counting)
+    path = codes.new_table(spark)
+    codes.write_codes(spark.range(5_000).selectExpr("id AS doc_id", "'x' AS text"), path, "none")
+    sizes = [r["n_docs"] for r in spark.read.parquet(path).collect()]
+    assert sum(sizes) == 5_000 and max(sizes) <= BATCH_ROWS

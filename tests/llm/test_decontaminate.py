@@ -106,3 +106,22 @@ def test_query_is_the_definition(spark):
     want = {(r["doc_id"], i): n for r in table(spark, sf, "documents").collect() if len(r["text"] or "") < 20_000 for i, n in plain_held(r["text"] or "", items).items()}
     long_ones = {r["doc_id"] for r in table(spark, sf, "documents").collect() if len(r["text"] or "") >= 20_000}
     assert {k: n for k, n in got.items() if k[0] not in long_ones} == want and want
+
+
+def test_a_worker_keeps_no_words():
+    import tracemalloc
+
+    D.words_of("a first text")
+    tracemalloc.start()
+    for k in range(50):
+        assert len(set(D.words_of(" ".join(f"Wort{k}x{i}" for i in range(2_000))).tolist())) == 2_000
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 500_000
+
+
+def test_words_are_told_by_their_letters_alone():
+    plain = D.words_of("straße don t x_1 日本 end").tolist()
+    assert len(set(plain)) == 6
+    assert D.words_of("  STRAßE, don't x_1;日本\nEnd.").tolist() == plain
+    assert len(D.words_of("")) == len(D.words_of(" .,; ")) == 0
