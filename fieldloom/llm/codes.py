@@ -35,6 +35,7 @@ END_ID = 2
 SEGMENT_TOKENS = 1 << 18
 SEGMENT_SCHEMA = "part int, segment int, before long, n_docs long, n_tokens long, first_doc long, last_doc long, blob binary"
 BROADCAST_PARTS = 1_000_000
+BATCH_SEGMENTS = 4
 POPCOUNT = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
 
@@ -117,6 +118,56 @@ class Segment:
 
 
 # -------------------------------------------------------------- tokenization
+class FlatWords:
+    """Words in flat arrays, a fraction of a dict's memory: found by their hash, then compared byte by byte."""
+
+    def __init__(self):
+        self.raw = np.zeros(0, dtype=np.uint8)
+        self.ends = np.zeros(1, dtype=np.int64)
+        self.hashes = np.zeros(0, dtype=np.int64)  # ascending
+        self.places = np.zeros(0, dtype=np.int32)  # of the words with these hashes, in the order of ``add``
+
+    @staticmethod
+    def flat(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All bytes, and where each word begins and ends; words hold no white space."""
+        raw = np.frombuffer(("\n".join(words) + "\n").encode("utf-8", "surrogatepass"), dtype=np.uint8)
+        ends = np.flatnonzero(raw == 10)
+        return raw, np.concatenate([[0], ends[:-1] + 1]), ends
+
+    @staticmethod
+    def hashed(words: list[str]) -> np.ndarray:
+        return np.fromiter(map(hash, words), dtype=np.int64, count=len(words))
+
+    def add(self, words: list[str]) -> None:
+        """Puts ``words`` after those that are here. Of words with one hash only the first is found."""
+        n = len(self.ends) - 1
+        raw, first, end = self.flat(words)
+        self.raw = np.concatenate([self.raw, raw[raw != 10]])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(end - first)])
+        hashes = np.concatenate([self.hashes, self.hashed(words)])
+        self.hashes, at = np.unique(hashes, return_index=True)
+        self.places = np.concatenate([self.places, np.arange(n, n + len(words), dtype=np.int32)])[at]
+
+    def find(self, words: list[str]) -> np.ndarray:
+        """The place of each word, or -1."""
+        if not len(self.hashes) or not words:
+            return np.full(len(words), -1, dtype=np.int64)
+        hashes = self.hashed(words)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        places = self.places[at].astype(np.int64)
+        raw, own, end = self.flat(words)
+        first = self.ends[places]
+        n = self.ends[places + 1] - first
+        same = (self.hashes[at] == hashes) & (n == end - own)
+        some = np.flatnonzero(same)
+        if len(some):
+            stop = np.cumsum(n[some])
+            step, before = np.arange(int(stop[-1])), stop - n[some]
+            differ = raw[np.repeat(own[some] - before, n[some]) + step] != self.raw[np.repeat(first[some] - before, n[some]) + step]
+            same[some[np.searchsorted(stop, np.flatnonzero(differ), side="right")]] = False
+        return np.where(same, places, -1)
+
+
 class PieceEncoder:
     """Ids of whole texts through the tokenizer, each distinct word encoded once.
 
@@ -124,13 +175,15 @@ class PieceEncoder:
     never affect each other, so the ids of what stands between white space can be
     kept. Texts that hold one of its special tokens, and those whose lower case or
     white space differs between the libraries, go to the tokenizer whole. Once
-    ``keep`` words are known, others are encoded without being kept.
+    ``keep`` words are known, others are encoded without being kept. The first
+    ``fast`` words, mostly the common ones, are in a dict, with the newest; the
+    others are in flat arrays.
     """
 
     ODD = "Σİ\x1c\x1d\x1e\x1f\u180e"
     JOINED = 2048
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 500_000, fast: int = 1 << 16, newest: int = 1 << 14):
         import json
 
         from tokenizers import Tokenizer
@@ -143,8 +196,10 @@ class PieceEncoder:
         forms = norm.get("normalizers", [norm])
         plain = [n.get("type") for n in forms] == ["NFC", "Replace", "Lowercase"] and forms[1].get("pattern") == SPACES and forms[1].get("content") == " "
         self.by_word = bool(plain and len(steps) == 2 and steps[0].get("type") == "Split" and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and steps[1].get("type") == "ByteLevel")
-        self.keep = keep
+        self.keep, self.fast, self.newest = keep, fast, newest
+        self.n = 0  # words that have a number
         self.known: dict[str, int] = {}
+        self.flat = FlatWords()  # words with the numbers from ``fast`` on
         self.table = np.zeros(1 << 20, dtype=np.uint32)
         self.ends = np.zeros(1 << 18, dtype=np.int64)  # where the ids of word i + 1 end; word 0 has none
 
@@ -156,7 +211,7 @@ class PieceEncoder:
             begins = np.cumsum([0, *[len(w) + 1 for w in run[:-1]]])
             whose = np.searchsorted(begins, np.array([o[0] for o in encoded.offsets], dtype=np.int64), side="right") - 1
             counts = np.bincount(whose, minlength=len(run))
-            n, first = len(self.known), int(self.ends[len(self.known)])
+            n, first = self.n, int(self.ends[self.n])
             while first + len(encoded.ids) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             while n + len(run) >= len(self.ends):
@@ -164,19 +219,24 @@ class PieceEncoder:
             self.table[first : first + len(encoded.ids)] = encoded.ids
             self.ends[n + 1 : n + 1 + len(run)] = first + np.cumsum(counts)
             self.known.update(zip(run, range(n, n + len(run)), strict=True))
+            self.n += len(run)
 
     def __call__(self, text: str) -> np.ndarray:
         import unicodedata
-        from itertools import repeat
+        from itertools import islice, repeat
 
         if not self.by_word or any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         words = text.lower().split()
-        kept = len(self.known)
+        kept = self.n
         which = np.fromiter(map(self.known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
         missing = np.flatnonzero(which < 0)
+        if len(missing):
+            found = self.flat.find([words[i] for i in missing])
+            which[missing] = np.where(found < 0, -1, found + self.fast)
+            missing = missing[found < 0]
         if len(missing):
             own = [words[i] for i in missing]
             self.learn(list(dict.fromkeys(own)))
@@ -186,10 +246,13 @@ class PieceEncoder:
         ends = np.cumsum(counts)
         at = np.repeat(first - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
         ids = self.table[at]
-        if len(missing) and len(self.known) > self.keep:
+        if len(missing) and self.n > self.keep:
             for word in dict.fromkeys(own):
                 del self.known[word]
-            assert len(self.known) == kept
+            self.n = kept
+        elif len(self.known) >= self.fast + self.newest:
+            self.flat.add(list(self.known)[self.fast :])
+            self.known = dict(islice(self.known.items(), self.fast))
         return ids
 
 
@@ -244,6 +307,7 @@ def write_codes(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = E
 
 
 def decode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    piece_encoder.cache_clear()  # the files are written; workers live on, and later stages would carry the words
     for batch in batches:
         for start, blob in zip(batch.column("start").to_pylist(), batch.column("blob"), strict=True):
             seg = Segment(blob.as_py())
@@ -274,10 +338,11 @@ def read_codes(spark, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the segments at ``path``.
 
     ``start`` counts the ids of all documents before it. Segments are decoded where
-    they are read; nothing is exchanged but the parts' totals.
+    they are read, a few at a time, as each is large; nothing is exchanged but the parts' totals. The rows are kept.
     """
     table = placed(spark.read.schema(SEGMENT_SCHEMA).parquet(path))
-    return table.select("start", "blob").mapInArrow(decode_batches, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    with small_batches(spark, BATCH_SEGMENTS):
+        return cut(table.select("start", "blob").mapInArrow(decode_batches, "doc_id long, start long, n_tokens long, ids_crc32 long"))
 
 
 def tokens_at(spark, path: str, wanted: DataFrame) -> DataFrame:

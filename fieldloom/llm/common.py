@@ -14,20 +14,20 @@ from ..session import new_path, sent_whole
 
 __all__ = ["cut", "joined_evenly", "let", "new_table", "release", "row_digest", "sent_whole", "small_batches", "text_or_empty", "written"]
 BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
-BATCH_ROWS = 1_000
+BATCH_ROWS = 250
 WRITTEN: list[str] = []  # tables that this driver wrote to the shared folder, for ``release``
 
 
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Python tasks that run within take at most BATCH_ROWS rows at a time.
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Python tasks that run within take at most ``rows`` rows at a time.
 
     Whole texts and sets can be long: buffers on both sides of the pipe grow with
     the rows of a batch, and the JVM keeps the largest that it has had.
     """
     before = spark.conf.get(BATCH_SETTING)
-    if not 0 < int(before) <= BATCH_ROWS:
-        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(BATCH_SETTING, rows)
     try:
         yield
     finally:

@@ -33,6 +33,47 @@ def test_memory_is_bounded():
     assert len(encode.known) <= 3
 
 
+def test_most_words_are_in_flat_arrays(monkeypatch):
+    """Also where all words have one of two hashes."""
+    texts = [" ".join(f"w{k * 7919 % 500}é{'x' * (k % 5)}" for k in range(at, at + 90)) for at in range(0, 900, 30)]
+    for told in (hash, lambda word: len(word) % 2):
+        monkeypatch.setattr(codes, "hash", told, raising=False)
+        encode = codes.PieceEncoder(tokenizer_path(), keep=400, fast=20, newest=10)
+        for text in texts * 2:
+            assert encode(text).tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
+            assert len(encode.known) < 30 and encode.n <= 400
+
+
+def test_words_are_found_in_flat_arrays_once_they_are_added():
+    flat, words = codes.FlatWords(), [f"{k}ß{'y' * (k % 4)}" for k in range(1000)]
+    assert flat.find(words[:2]).tolist() == [-1, -1]
+    for at in range(0, 900, 300):
+        flat.add(words[at : at + 300])
+    assert flat.find(words).tolist() == [*range(900), *[-1] * 100] and flat.find([]).tolist() == []
+
+
+def test_segments_are_sent_to_python_a_few_at_a_time(spark, monkeypatch):
+    def counting(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())] * 4, ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    path = codes.new_table(spark)
+    codes.write_codes(spark.range(60).selectExpr("id AS doc_id", "'some words' AS text").coalesce(1), path, tokenizer_path(), segment_tokens=1)
+    monkeypatch.setattr(codes, "decode_batches", counting)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sizes = [r["n_tokens"] for r in codes.read_codes(spark, path).collect()]
+    assert sum(sizes) == 60 and max(sizes) <= codes.BATCH_SEGMENTS
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_words_are_let_go_once_the_files_are_read():
+    first = codes.piece_encoder(tokenizer_path())
+    assert list(codes.decode_batches(iter([]))) == []
+    assert codes.piece_encoder(tokenizer_path()) is not first
+
+
 def test_files_give_back_all_documents(spark, odd_docs):
     from tokenizers import Tokenizer
 
