@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache, partial
 
 import numpy as np
@@ -144,9 +144,12 @@ class FlatWords:
         raw, first, end = self.flat(words)
         self.raw = np.concatenate([self.raw, raw[raw != 10]])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(end - first)])
-        hashes = np.concatenate([self.hashes, self.hashed(words)])
-        self.hashes, at = np.unique(hashes, return_index=True)
-        self.places = np.concatenate([self.places, np.arange(n, n + len(words), dtype=np.int32)])[at]
+        hashes, own = np.unique(self.hashed(words), return_index=True)
+        at = np.searchsorted(self.hashes, hashes)
+        new = np.ones(len(hashes), dtype=bool)
+        new[at < len(self.hashes)] = self.hashes[at[at < len(self.hashes)]] != hashes[at < len(self.hashes)]
+        self.places = np.insert(self.places, at[new], (own[new] + n).astype(np.int32))
+        self.hashes = np.insert(self.hashes, at[new], hashes[new])
 
     def find(self, words: list[str]) -> np.ndarray:
         """The place of each word, or -1."""
@@ -169,7 +172,7 @@ class FlatWords:
 
 
 class PieceEncoder:
-    """Ids of whole texts through the tokenizer, each distinct word encoded once.
+    """Ids of whole texts through the tokenizer, each distinct word encoded once, many texts at a time.
 
     The tokenizer cuts a normalised text into pieces that hold no white space and
     never affect each other, so the ids of what stands between white space can be
@@ -182,6 +185,7 @@ class PieceEncoder:
 
     ODD = "Σİ\x1c\x1d\x1e\x1f\u180e"
     JOINED = 2048
+    RUN_CHARS = 1 << 19
 
     def __init__(self, path: str, keep: int = 500_000, fast: int = 1 << 16, newest: int = 1 << 14):
         import json
@@ -197,6 +201,12 @@ class PieceEncoder:
         plain = [n.get("type") for n in forms] == ["NFC", "Replace", "Lowercase"] and forms[1].get("pattern") == SPACES and forms[1].get("content") == " "
         self.by_word = bool(plain and len(steps) == 2 and steps[0].get("type") == "Split" and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and steps[1].get("type") == "ByteLevel")
         self.keep, self.fast, self.newest = keep, fast, newest
+        # bytes of each token, as a byte-level vocabulary has a sign for each; 0 for those that are no run of bytes
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        suffix = (spec.get("model") or {}).get("end_of_word_suffix") or ""
+        self.lengths = np.zeros(max(vocab.values(), default=0) + 1, dtype=np.int64)
+        for token, number in vocab.items():
+            self.lengths[number] = 0 if token in self.special else len(token.removesuffix(suffix))
         self.n = 0  # words that have a number
         self.known: dict[str, int] = {}
         self.flat = FlatWords()  # words with the numbers from ``fast`` on
@@ -204,56 +214,98 @@ class PieceEncoder:
         self.ends = np.zeros(1 << 18, dtype=np.int64)  # where the ids of word i + 1 end; word 0 has none
 
     def learn(self, words: list[str]) -> None:
-        """Encodes words in runs joined by a space, and cuts the ids by the place that each came from."""
+        """Encodes words in runs joined by a space, and cuts the ids by the word that each came from."""
         for at in range(0, len(words), self.JOINED):
             run = words[at : at + self.JOINED]
-            encoded = self.tokenizer.encode(" ".join(run), add_special_tokens=False)
-            begins = np.cumsum([0, *[len(w) + 1 for w in run[:-1]]])
-            whose = np.searchsorted(begins, np.array([o[0] for o in encoded.offsets], dtype=np.int64), side="right") - 1
-            counts = np.bincount(whose, minlength=len(run))
+            ids, counts = self.cut_by_length(run) or self.cut_by_place(run)
             n, first = self.n, int(self.ends[self.n])
-            while first + len(encoded.ids) > len(self.table):
+            while first + len(ids) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             while n + len(run) >= len(self.ends):
                 self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-            self.table[first : first + len(encoded.ids)] = encoded.ids
+            self.table[first : first + len(ids)] = ids
             self.ends[n + 1 : n + 1 + len(run)] = first + np.cumsum(counts)
             self.known.update(zip(run, range(n, n + len(run)), strict=True))
             self.n += len(run)
 
+    def cut_by_length(self, run: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """All ids and how many each word has, by the tokens' bytes; none where a word doesn't end with a token."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(run)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        raw, begins, ends = FlatWords.flat(run)
+        word_ends, token_ends = np.cumsum(ends - begins), np.cumsum(self.lengths[ids])
+        last = np.searchsorted(token_ends, word_ends)
+        if not len(ids) or token_ends[-1] != word_ends[-1] or (token_ends[last] != word_ends).any() or (self.lengths[ids] == 0).any():
+            return None
+        return ids, np.diff(last, prepend=-1)
+
+    def cut_by_place(self, run: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same by the places in the text that the tokenizer gives."""
+        encoded = self.tokenizer.encode(" ".join(run), add_special_tokens=False)
+        begins = np.cumsum([0, *[len(w) + 1 for w in run[:-1]]])
+        whose = np.searchsorted(begins, np.array([o[0] for o in encoded.offsets], dtype=np.int64), side="right") - 1
+        return np.array(encoded.ids, dtype=np.uint32), np.bincount(whose, minlength=len(run))
+
     def __call__(self, text: str) -> np.ndarray:
+        return self.run([text])[0]
+
+    def each(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, in order; texts are taken together until they have RUN_CHARS signs."""
+        run, held = [], 0
+        for text in texts:
+            run.append(text)
+            held += len(text)
+            if held >= self.RUN_CHARS:
+                yield from self.run(run)
+                run, held = [], 0
+        yield from self.run(run)
+
+    def run(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; the words of all are looked up together."""
         import unicodedata
+
+        words, counts, whole = [], np.zeros(len(texts) + 1, dtype=np.int64), {}
+        for k, text in enumerate(texts):
+            if not self.by_word or any(s in text for s in self.special):
+                whole[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+                continue
+            if not unicodedata.is_normalized("NFC", text):
+                text = unicodedata.normalize("NFC", text)
+            own = text.lower().split()
+            words += own
+            counts[k + 1] = len(own)
+        ids, ends = self.of_words(words)
+        at = np.concatenate([[0], ends])[np.cumsum(counts)]
+        return [whole[k] if k in whole else ids[at[k] : at[k + 1]] for k in range(len(texts))]
+
+    def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and where those of each word end."""
         from itertools import islice, repeat
 
-        if not self.by_word or any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        words = text.lower().split()
         kept = self.n
         which = np.fromiter(map(self.known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
         missing = np.flatnonzero(which < 0)
-        if len(missing):
-            found = self.flat.find([words[i] for i in missing])
-            which[missing] = np.where(found < 0, -1, found + self.fast)
-            missing = missing[found < 0]
+        new = []
         if len(missing):
             own = [words[i] for i in missing]
-            self.learn(list(dict.fromkeys(own)))
-            which[missing] = [self.known[w] for w in own]
+            distinct = list(dict.fromkeys(own))
+            places = self.flat.find(distinct)
+            new = [distinct[i] for i in np.flatnonzero(places < 0)]
+            self.learn(new)
+            places = {w: p + self.fast if p >= 0 else self.known[w] for w, p in zip(distinct, places.tolist(), strict=True)}
+            which[missing] = np.fromiter(map(places.__getitem__, own), dtype=np.int64, count=len(own))
         first = self.ends[which]
         counts = self.ends[which + 1] - first
         ends = np.cumsum(counts)
         at = np.repeat(first - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
         ids = self.table[at]
-        if len(missing) and self.n > self.keep:
-            for word in dict.fromkeys(own):
+        if new and self.n > self.keep:
+            for word in new:
                 del self.known[word]
             self.n = kept
         elif len(self.known) >= self.fast + self.newest:
             self.flat.add(list(self.known)[self.fast :])
             self.known = dict(islice(self.known.items(), self.fast))
-        return ids
+        return ids, ends
 
 
 @cache
@@ -267,10 +319,10 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, se
     from pyspark import TaskContext
 
     encode, part = piece_encoder(path), TaskContext.get().partitionId()
-    docs, parts, held, segment, before = [], [], 0, 0, 0
+    docs, lengths, parts, held, segment, before = [], [], [], 0, 0, 0
 
     def close() -> pa.RecordBatch:
-        blob = pack(np.array(docs, dtype=np.int64), np.array([len(p) for p in parts], dtype=np.int64), np.concatenate(parts))
+        blob = pack(np.array(docs, dtype=np.int64), np.array(lengths, dtype=np.int64), np.concatenate(parts))
         row = (part, segment, before, len(docs), held, docs[0], docs[-1], blob)
         types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         names = [c.split()[0] for c in SEGMENT_SCHEMA.split(", ")]
@@ -278,14 +330,15 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, se
 
     end = np.array([end_id], dtype=np.uint32)
     for batch in batches:
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-            ids = np.concatenate([encode(text.as_py()), end])
+        texts = (text.as_py() for text in batch.column("text"))
+        for doc, ids in zip(batch.column("doc_id").to_pylist(), encode.each(texts), strict=True):
             docs.append(doc)
-            parts.append(ids)
-            held += len(ids)
+            lengths.append(len(ids) + 1)
+            parts += [ids, end]
+            held += len(ids) + 1
             if held >= segment_tokens:
                 yield close()
-                docs, parts, held, segment, before = [], [], 0, segment + 1, before + held
+                docs, lengths, parts, held, segment, before = [], [], [], 0, segment + 1, before + held
     if docs:
         yield close()
 

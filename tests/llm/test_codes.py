@@ -117,3 +117,24 @@ def test_texts_are_sent_to_python_in_small_batches(spark, monkeypatch):
     codes.write_codes(spark.range(5_000).selectExpr("id AS doc_id", "'x' AS text"), path, "none")
     sizes = [r["n_docs"] for r in spark.read.parquet(path).collect()]
     assert sum(sizes) == 5_000 and max(sizes) <= BATCH_ROWS
+
+
+def test_words_of_many_texts_are_learned_together():
+    encode = codes.PieceEncoder(tokenizer_path())
+    texts = [f"w{k}é it's w{k % 7}, 你好 x{k * 31}ß" for k in range(300)] + ["", " \t", "odd Σ İ", "a <|endoftext|> b", "e\u0301 ﬁn"] * 2
+    calls, learn = [], encode.learn
+    encode.learn = lambda words: (calls.append(len(words)), learn(words))
+    got = [ids.tolist() for ids in encode.each(texts)]
+    assert got == [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(calls) == 1
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(max_size=12).map(lambda t: "".join(t.lower().split())).filter(bool), min_size=1, max_size=20))
+def test_ids_are_cut_by_bytes_as_by_places(words):
+    encode = codes.piece_encoder(tokenizer_path())
+    by_length, by_place = encode.cut_by_length(words), encode.cut_by_place(words)
+    if by_length is not None:
+        assert [x.tolist() for x in by_length] == [x.tolist() for x in by_place]
+    elif all(w.isascii() for w in words):
+        raise AssertionError(words)
