@@ -33,6 +33,7 @@ K = 64
 SHORT_LIST = 24
 BLOCK = 256
 BROADCAST_IDS = 1_000_000
+TASK_LINKS = 1 << 14
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -348,16 +349,30 @@ def remaining(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: D
     return filled.groupBy("pivot", "size", "u", "other", "x").applyInPandas(task, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def spanned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of one task's links (a, b), those that join each class with the smallest that it reaches within the task."""
+    forest = Forest()
+    for frame in frames:
+        for a, b in zip(frame["a"].tolist(), frame["b"].tolist(), strict=True):
+            forest.join(a, b)
+    stars = [(x, forest.root(x)) for x in list(forest.up)]
+    yield pd.DataFrame(stars, columns=["a", "b"]).astype("int64")
+
+
+def components(links: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
     """(cls, component): the smallest class that each class of ``links`` (a, b) reaches.
 
-    Each round points every class at the smallest neighbour of its neighbours
-    (large stars, then small stars), until nothing changes, in about as many rounds
-    as the logarithm of the longest chain; the table of links never grows.
+    First each task puts about ``task_links`` links in the place of which it gives
+    stars, and where all are in one task, that is all. Then each round points every
+    class at the smallest neighbour of its neighbours (large stars, then small
+    stars), until nothing changes, in about as many rounds as the logarithm of the
+    longest chain; the table of links never grows.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
+    tasks = -(-edges.count() // task_links)
+    edges = cut(edges.coalesce(max(1, tasks)).mapInPandas(spanned, "a long, b long"))
     before = None
-    while True:
+    while tasks > 1:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()

@@ -118,3 +118,23 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90)], "a long, b long")
     got = {r["cls"]: r["component"] for r in N.components(links).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 90: 90, 100: 90}
+
+
+def test_components_of_links_in_several_tasks(spark):
+    rng = random.Random(5)
+    links = [(i, i + 1) for i in range(60)] + [(200, 200 + rng.randint(1, 99)) for _ in range(60)] + [(rng.randint(400, 900), rng.randint(400, 900)) for _ in range(250)]
+    forest = N.Forest()
+    for a, b in links:
+        forest.join(a, b)
+    want = {x: forest.root(x) for a, b in links if a != b for x in (a, b)}
+    for size in (20, 10_000):
+        got = N.components(spark.createDataFrame(links, "a long, b long").repartition(7), size).collect()
+        assert {r["cls"]: r["component"] for r in got} == want and len(got) == len(want)
+
+
+def test_links_of_one_task_become_stars():
+    import pandas as pd
+
+    frames = [pd.DataFrame([(3, 2), (5, 4)], columns=["a", "b"]), pd.DataFrame([(4, 3)], columns=["a", "b"])]
+    (stars,) = N.spanned(iter(frames))
+    assert sorted(map(tuple, stars.to_numpy().tolist())) == [(3, 2), (4, 2), (5, 2)]
