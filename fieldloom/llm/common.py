@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..session import kept as cut
 from ..session import new_path, sent_whole
 
-__all__ = ["cut", "joined_evenly", "let", "new_table", "release", "row_digest", "sent_whole", "small_batches", "text_or_empty", "written"]
+__all__ = ["cut", "dropped", "joined_evenly", "let", "new_table", "release", "row_digest", "sent_whole", "small_batches", "text_or_empty", "written"]
 BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 250
 WRITTEN: list[str] = []  # tables that this driver wrote to the shared folder, for ``release``
@@ -43,8 +43,20 @@ def new_table(spark: SparkSession) -> str:
 def release(spark: SparkSession) -> None:
     """Deletes the tables that operators wrote to the shared folder; results that still read them can't be used after it."""
     while WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, WRITTEN.pop())
+
+
+def delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the table that ``written`` made for ``df``, which nothing reads any more: what came from it is kept."""
+    folders = {path.rsplit("/", 1)[0].rsplit("/", 1)[-1] for path in df.inputFiles()}
+    for path in [p for p in WRITTEN if p.rsplit("/", 1)[-1] in folders]:
+        WRITTEN.remove(path)
+        delete(df.sparkSession, path)
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, joined_evenly, sent_whole, small_batches, text_or_empty, written
+from .common import cut, dropped, joined_evenly, sent_whole, small_batches, text_or_empty, written
 
 K = 64
 SHORT_LIST = 24
@@ -172,8 +172,8 @@ def typed(docs: DataFrame, *columns: str) -> T.StructType:
     return T.StructType([T.StructField("row_key", docs.schema["row_key"].dataType), *rest])
 
 
-def classes_of(docs: DataFrame, shingle_words: int, k: int) -> tuple[DataFrame, DataFrame]:
-    """Members (row_key, n, digest) and classes (digest, cls, first, n, sketch): one class for each different set that isn't empty.
+def classes_of(docs: DataFrame, shingle_words: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members (row_key, n, digest), classes (digest, cls, first, n) and their sketches (cls, n, sketch): one class for each different set that isn't empty.
 
     ``first`` is the class's smallest row key, and ``cls`` a number that is the
     class's own, whatever its rows' keys are. Copies are combined before the
@@ -183,7 +183,10 @@ def classes_of(docs: DataFrame, shingle_words: int, k: int) -> tuple[DataFrame,
     sketches = written(rows.mapInArrow(partial(sketch_batches, n=shingle_words, k=k), typed(docs, "n long", "digest binary", "sketch binary")))
     classes = sketches.where("n > 0").groupBy("digest").agg(F.min("row_key").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     # the numbers are those of the written rows, and don't change when the table is read again
-    return sketches.select("row_key", "n", "digest"), written(classes.withColumn("cls", F.monotonically_increasing_id()))
+    whole = written(classes.withColumn("cls", F.monotonically_increasing_id()))
+    members = written(sketches.select("row_key", "n", "digest"))
+    dropped(sketches)
+    return members, written(whole.select("digest", "cls", "first", "n")), whole.select("cls", "n", "sketch")
 
 
 def sets_of(docs: DataFrame, classes: DataFrame, ids: DataFrame, shingle_words: int) -> DataFrame:
@@ -403,14 +406,19 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, num: int = 4, den:
 
 
 def linked_rows(docs: DataFrame, shingle_words: int, num: int, den: int, k: int, short_list: int, block: int) -> DataFrame:
-    members, classes = classes_of(docs, shingle_words, k)
-    pairs, lists = pairs_of(index_of(classes, num, den, k), num, den, short_list)
-    pairs = cut(passing(with_both(cut(pairs), classes, "sketch"), lambda x, y: may_link(x, y, num, den, k)))
+    members, classes, sketches = classes_of(docs, shingle_words, k)
+    index = written(index_of(sketches, num, den, k).drop("df"))  # read twice
+    pairs, lists = pairs_of(index, num, den, short_list)
+    pairs = cut(pairs)
+    dropped(index)
+    pairs = cut(passing(with_both(pairs, sketches, "sketch"), lambda x, y: may_link(x, y, num, den, k)))
+    dropped(sketches)
     ids = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select("b")).unionAll(lists.select("cls"))
     sets = sets_of(docs, classes, ids, shingle_words)
     links = cut(passing(with_both(pairs, sets, "shingles"), lambda x, y: linked(x, y, num, den)))
     labels = cut(components(links))
     rest = cut(remaining(lists, labels, classes, sets, num, den, k, block))
+    dropped(sets)
     if not rest.isEmpty():
         labels = cut(components(labels.select(F.col("cls").alias("a"), F.col("component").alias("b")).unionAll(rest)))
     # a component's name is the smallest row key of its classes

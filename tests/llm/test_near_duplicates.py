@@ -138,3 +138,19 @@ def test_links_of_one_task_become_stars():
     frames = [pd.DataFrame([(3, 2), (5, 4)], columns=["a", "b"]), pd.DataFrame([(4, 3)], columns=["a", "b"])]
     (stars,) = N.spanned(iter(frames))
     assert sorted(map(tuple, stars.to_numpy().tolist())) == [(3, 2), (4, 2), (5, 2)]
+
+
+def test_sketches_and_sets_are_deleted_once_read(spark):
+    """Only what the result reads is left: rows' digests, and classes without sketches."""
+    import os
+
+    from fieldloom.llm import common
+
+    before = set(common.WRITTEN)
+    rows = corpus(7)
+    found = N.near_duplicates(spark.createDataFrame(rows, "row_key long, text string"), 2, 80, 100, short_list=3, block=16)
+    left = [p for p in common.WRITTEN if p not in before]
+    assert sorted(sorted(spark.read.parquet(p).columns) for p in left) == [["cls", "digest", "first", "n"], ["digest", "n", "row_key"]]
+    assert found.count() == len(rows)
+    folder = os.path.dirname(left[0]).removeprefix("file:")
+    assert {p.rsplit("/", 1)[-1] for p in left} <= set(os.listdir(folder)) and len(os.listdir(folder)) >= 2
