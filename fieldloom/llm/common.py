@@ -12,9 +12,10 @@ from pyspark.sql import types as T
 from ..session import kept as cut
 from ..session import new_path, sent_whole
 
-__all__ = ["cut", "dropped", "joined_evenly", "let", "new_table", "release", "row_digest", "sent_whole", "small_batches", "text_or_empty", "written"]
+__all__ = ["cut", "dropped", "joined_evenly", "let", "new_table", "release", "row_digest", "sent_whole", "shuffles_let_go", "small_batches", "text_or_empty", "written"]
 BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 250
+CLEANUP_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WRITTEN: list[str] = []  # tables that this driver wrote to the shared folder, for ``release``
 
 
@@ -34,6 +35,21 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]
         spark.conf.set(BATCH_SETTING, before)
 
 
+@contextmanager
+def shuffles_let_go(spark: SparkSession) -> Iterator[None]:
+    """Tables that are kept within let go of their shuffle files as soon as they are made.
+
+    Else these stay until the driver happens to collect its garbage, which a large
+    heap does late.
+    """
+    before = spark.conf.get(CLEANUP_SETTING)
+    spark.conf.set(CLEANUP_SETTING, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP_SETTING, before)
+
+
 def new_table(spark: SparkSession) -> str:
     """The path of a new table in the shared folder."""
     WRITTEN.append(new_path(spark, "tables"))

@@ -5,8 +5,12 @@ function; the k smallest hashes are its sketch. Documents with equal sets are on
 class. Two classes with a similarity of at least the threshold share all but a
 bounded part of their sketches, so each class is filed only under its rarest
 retained values, as many as that part allows plus one: some list then holds
-both. Short lists give all their pairs. In a long list every class is paired with
-the list's pivot only, the class whose retained values are the most common; the
+both. Rows of lists carry marks, a few bits that bound how far two sketches are
+apart, as lists grow with the corpus and most classes that meet aren't alike:
+only pairs that size and marks allow leave a list. Short lists give all of these.
+A long list first lets go of the classes that no other of its classes may be
+linked to, and where it is still long, every class is paired with the list's
+pivot only, the class whose retained values are the most common; the
 classes that aren't linked to their pivot are then compared with the pivot's
 other classes block by block, inside tasks that return links and no pairs. A
 pair's similarity is estimated on the union of the sketches, and where the
@@ -23,14 +27,17 @@ from hashlib import blake2b
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, dropped, joined_evenly, sent_whole, small_batches, text_or_empty, written
+from .common import cut, dropped, joined_evenly, sent_whole, shuffles_let_go, small_batches, text_or_empty, written
 
 K = 64
 SHORT_LIST = 24
+MOST_COMPARED = 1 << 13  # rows of a long list whose marks are all compared
+MARKS = ("m0", "m1", "m2", "m3")  # 64 bits each
 BLOCK = 256
 BROADCAST_IDS = 1_000_000
 TASK_LINKS = 1 << 14
@@ -208,37 +215,82 @@ def sets_of(docs: DataFrame, classes: DataFrame, ids: DataFrame, shingle_words:
     return written(made.join(chosen.select("digest", "cls"), "digest").select("cls", "shingles"))
 
 
+def marks(sketches: list[np.ndarray]) -> np.ndarray:
+    """A row of 256 bits for each sketch, as four longs: those that its values name."""
+    bits = np.zeros((len(sketches), 256), dtype=bool)
+    if len(sketches):
+        bits[np.repeat(np.arange(len(sketches)), [len(s) for s in sketches]), (np.concatenate(sketches) & np.uint64(255)).astype(np.int64)] = True
+    return np.packbits(bits, axis=1).view("<i8")
+
+
+def may_meet(num: int, den: int, k: int) -> Column:
+    """Of rows (na, x0…, nb, y0…): whether sizes and marks allow ``may_link``.
+
+    Each value of one sketch alone sets at most one bit that differs, and sketches
+    that may be linked share as many values as the estimate asks for, or where both
+    sets are known whole, the threshold's part of them.
+    """
+    least = int(np.ceil(k * num / den - 6 * (k * num * (den - num)) ** 0.5 / den))
+    held = F.least("na", F.lit(k)) + F.least("nb", F.lit(k))
+    differing = [F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(len(MARKS))]
+    sizes = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
+    return sizes & (sum(differing[1:], differing[0]) <= F.greatest(held - 2 * least, F.floor(held * (den - num) / (den + num))))
+
+
 def index_of(classes: DataFrame, num: int, den: int, k: int) -> DataFrame:
-    """(value, cls, n, df, hub): each class under the rarest values of its sketch. ``hub``: how common its sketch is on the whole."""
+    """(value, cls, n, hub, marks…): each class under the rarest values of its sketch. ``hub``: how common its sketch is on the whole."""
 
     def retained(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             sketches = [as_set(s).astype(np.int64) for s in frame["sketch"]]
             yield pd.DataFrame({"cls": np.repeat(frame["cls"].to_numpy(), [len(s) for s in sketches]), "value": np.concatenate(sketches) if sketches else np.zeros(0, np.int64)})
 
+    def marked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.concat([frame[["cls", "n"]].reset_index(drop=True), pd.DataFrame(marks([as_set(s) for s in frame["sketch"]]), columns=[*MARKS])], axis=1)
+
     values = classes.select("cls", "sketch").mapInPandas(retained, "cls long, value long")
     frequencies = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    counted = values.join(frequencies, "value")  # a value of one class meets no other
-    packed = counted.groupBy("cls").agg(F.sum("df").alias("hub"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values")).join(classes.select("cls", "n"), "cls")
-    # values that no other class holds are the rarest of all, and use up their share of the places
+    # a value of one class meets no other; the places that such values use up, as the rarest of all, are told by their number
+    counted = values.join(frequencies, "value").select("cls", "value", "df").repartition("cls")
+    of = W.partitionBy("cls")
+    ranked = counted.select("cls", "value", F.row_number().over(of.orderBy("df", "value")).alias("rank"), F.sum("df").over(of).alias("hub"), F.count("*").over(of).alias("met"))
     whole = F.least("n", F.lit(k)).cast("int")
-    places = F.element_at(F.array(*[F.lit(rarest_count(n, num, den, k)) for n in range(1, k + 1)]), whole)
-    places = F.when(F.col("n") <= k, places).otherwise(rarest_count(k + 1, num, den, k))
-    left = places - (whole - F.size("values"))
-    return packed.where(left > 0).select("cls", "n", "hub", F.explode(F.slice("values", F.lit(1), left)).alias("v")).select(F.col("v.value").alias("value"), "cls", "n", F.col("v.df").alias("df"), "hub")
+    counts = [rarest_count(n, num, den, k) for n in range(1, k + 2)]
+    places = F.when(F.col("n") <= k, F.element_at(F.array(*[F.lit(c) for c in counts[:k]]), whole)).otherwise(counts[k])
+    told = classes.select("cls", "n", "sketch").mapInPandas(marked, "cls long, n long, " + ", ".join(f"{m} long" for m in MARKS))
+    placed = ranked.where(F.col("rank") <= max(counts)).join(told, "cls")
+    return placed.where(F.col("rank") <= places - (whole - F.col("met"))).select("value", "cls", "n", "hub", *MARKS)
+
 
+def side(rows: DataFrame, cls: str, mark: str, *more: str | Column) -> DataFrame:
+    """``rows`` (value, cls, n, marks…) under the names that ``may_meet`` reads."""
+    return rows.select(F.col("value").alias(f"v{cls}"), F.col("cls").alias(cls), F.col("n").alias(f"n{cls}"), *[F.col(m).alias(f"{mark}{i}") for i, m in enumerate(MARKS)], *more)
 
-def pairs_of(index: DataFrame, num: int, den: int, short_list: int) -> tuple[DataFrame, DataFrame]:
+
+def pairs_of(index: DataFrame, num: int, den: int, k: int, short_list: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) to verify, and memberships (cls, pivot) of long lists."""
-    lists = index.groupBy("value").agg(F.count("*").alias("here"), F.max(F.struct("hub", (-F.col("cls")).alias("cls"))).alias("top")).where("here > 1").select("value", "here", (-F.col("top.cls")).alias("pivot"))
-    filed = cut(index.join(lists, "value").select("value", "cls", "n", "here", "pivot"))
-    short = filed.where(F.col("here") <= short_list).select("value", "cls", "n")
-    a, b = short.toDF("value", "a", "na"), short.toDF("value", "b", "nb")
-    near = (F.col("a") < F.col("b")) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-    direct = a.join(b, (a["value"] == b["value"]) & near).select("a", "b")
-    members = cut(filed.where(F.col("here") > short_list).select("cls", "pivot").distinct())
-    stars = members.where("cls != pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b"))  # only pivots are in many pairs
-    return direct.unionAll(stars).distinct(), members
+
+    def met(rows: DataFrame) -> DataFrame:
+        return side(rows, "a", "x").join(side(rows, "b", "y"), (F.col("va") == F.col("vb")) & (F.col("a") < F.col("b")) & may_meet(num, den, k)).select("a", "b")
+
+    counts = index.groupBy("value").agg(F.count("*").alias("here")).where(F.col("here") > short_list)
+    long = sent_whole(cut(counts), BROADCAST_IDS)
+    direct = met(index.join(long, "value", "left_anti"))
+    # of a long list, the classes that another one of it may be linked to; the longest lists keep all
+    rows = cut(index.join(long, "value"))
+    compared = rows.where(F.col("here") <= MOST_COMPARED)
+    partner = (F.col("va") == F.col("vb")) & (F.col("a") != F.col("b")) & may_meet(num, den, k)
+    alike = side(compared, "a", "x", "hub").join(side(compared, "b", "y"), partner, "left_semi").toDF("value", "cls", "n", *MARKS, "hub")
+    alive = cut(alike.unionByName(rows.where(F.col("here") > MOST_COMPARED).drop("here")))
+    top = F.max(F.struct("hub", (-F.col("cls")).alias("cls"), "n", *MARKS)).alias("top")
+    lists = alive.groupBy("value").agg(F.count("*").alias("here"), top)
+    filed = cut(alive.join(lists, "value"))
+    of_pivot = [(-F.col("top.cls")).alias("a"), F.col("top.n").alias("na"), *[F.col(f"top.{m}").alias(f"x{i}") for i, m in enumerate(MARKS)]]
+    crowded = side(filed.where(F.col("here") > short_list), "b", "y", *of_pivot)
+    members = cut(crowded.select(F.col("b").alias("cls"), F.col("a").alias("pivot")).distinct())
+    stars = crowded.where((F.col("a") != F.col("b")) & may_meet(num, den, k)).select("a", "b")  # only pivots are in many pairs
+    return direct.unionAll(met(filed.where(F.col("here") <= short_list))).unionAll(stars).distinct(), members
 
 
 def with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
@@ -321,8 +373,6 @@ def remaining(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: D
     A pivot's classes are dealt into blocks by size, and only blocks whose sizes
     the threshold allows together meet. A task holds two blocks.
     """
-    from pyspark.sql import Window as W
-
     placed = members.join(labels, "cls", "left").select("cls", "pivot", F.coalesce("component", "cls").alias("component"))
     at_pivot = labels.select(F.col("cls").alias("pivot"), F.col("component").alias("pivot_component"))
     placed = placed.join(at_pivot, "pivot", "left").withColumn("open", F.col("component") != F.coalesce("pivot_component", "pivot"))
@@ -401,14 +451,14 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, num: int = 4, den:
     fewer words than a shingle has one shingle, all of it. An empty table gives no
     rows. Other columns are not read.
     """
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession), shuffles_let_go(docs.sparkSession):
         return linked_rows(docs, shingle_words, num, den, k, short_list, block)
 
 
 def linked_rows(docs: DataFrame, shingle_words: int, num: int, den: int, k: int, short_list: int, block: int) -> DataFrame:
     members, classes, sketches = classes_of(docs, shingle_words, k)
-    index = written(index_of(sketches, num, den, k).drop("df"))  # read twice
-    pairs, lists = pairs_of(index, num, den, short_list)
+    index = written(index_of(sketches, num, den, k))  # read several times
+    pairs, lists = pairs_of(index, num, den, k, short_list)
     pairs = cut(pairs)
     dropped(index)
     pairs = cut(passing(with_both(pairs, sketches, "sketch"), lambda x, y: may_link(x, y, num, den, k)))

@@ -154,3 +154,56 @@ def test_sketches_and_sets_are_deleted_once_read(spark):
     assert found.count() == len(rows)
     folder = os.path.dirname(left[0]).removeprefix("file:")
     assert {p.rsplit("/", 1)[-1] for p in left} <= set(os.listdir(folder)) and len(os.listdir(folder)) >= 2
+
+
+def test_classes_that_share_common_words_only_are_no_pairs(spark, monkeypatch):
+    """Every text meets many others in lists, short and long, and few are alike: lists give those, not all who meet."""
+    rng = random.Random(11)
+    texts = [" ".join(f"w{int(1500 * rng.random() ** 2)}" for _ in range(90)) for _ in range(300)]
+    for k in range(20):
+        words = texts[k].split()
+        words[rng.randrange(len(words))] = f"x{k}"
+        texts.append(" ".join(words))
+    told, joined = [], N.with_both
+    monkeypatch.setattr(N, "with_both", lambda pairs, *r: told.append(pairs.count()) or joined(pairs, *r))
+    rows = list(enumerate(texts))
+    for most in (1 << 13, 40):  # the longest lists are left to their pivots
+        monkeypatch.setattr(N, "MOST_COMPARED", most, raising=False)
+        got = {r["row_key"]: (r["n_shingles"], r["component"]) for r in N.near_duplicates(spark.createDataFrame(rows, "row_key long, text string"), 1, short_list=12).collect()}
+        assert got == plain_classes(rows, 1, 4, 5)
+    assert told[0] < 1000, told  # over 20,000 meet in lists
+
+
+@pytest.mark.parametrize("k", [8, 32, 64])
+def test_marks_let_every_pair_through_that_may_be_linked(spark, k):
+    rng = np.random.default_rng(k)
+    rows, linkable = [], 0
+    for _ in range(1500):
+        union = rng.integers(0, 2**64, size=rng.integers(1, 150), dtype=np.uint64)
+        a, b = (np.sort(union[rng.random(len(union)) < x]) for x in (1, rng.choice([0.5, 0.8, 0.9, 1])))
+        b = np.union1d(b, rng.integers(0, 2**64, size=rng.integers(0, 10), dtype=np.uint64))
+        if min(len(a), len(b)) * 5 >= 4 * max(len(a), len(b)):
+            linkable += (may := bool(N.may_link(a[:k], b[:k], 4, 5, k)))
+            rows.append((may, len(a), *N.marks([a[:k]])[0].tolist(), len(b), *N.marks([b[:k]])[0].tolist()))
+    names = ["may", "na", *[f"x{i}" for i in range(4)], "nb", *[f"y{i}" for i in range(4)]]
+    table = spark.createDataFrame(rows, names)
+    assert linkable > 300 and table.where("may").where(~N.may_meet(4, 5, k)).count() == 0
+
+
+def test_kept_tables_let_go_of_their_shuffle_files(spark):
+    import glob
+    import time
+
+    from fieldloom.llm import common
+
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    files = lambda: {f for d in dirs for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    before, was = files(), spark.conf.get(common.CLEANUP_SETTING)
+    with common.shuffles_let_go(spark):
+        kept = [common.cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()), common.written(spark.range(1000).groupBy((F.col("id") % 5).alias("k")).count())]
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.2)
+    assert files() <= before and spark.conf.get(common.CLEANUP_SETTING) == was
+    assert [k.count() for k in kept] == [7, 5]
