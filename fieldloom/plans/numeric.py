@@ -282,12 +282,13 @@ def coded_requests(spark: SparkSession, d: str) -> DataFrame:
     name = F.concat_ws(":", F.col("supp").cast("string"), F.col("chunk").cast("string")).alias("stream_id")
     asked = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 50)))
     requests = encoded.select(name, "n", "bounds", "low", "stream", asked.alias("seq"))
-    requests = requests.select("stream_id", "seq", F.least(F.lit(50), F.col("n") - F.col("seq") * 50).alias("n"), "bounds", "low", F.when(F.col("seq") == 0, F.col("stream")).alias("stream"))
+    requests = requests.select("stream_id", "seq", F.least(F.lit(50), F.col("n") - F.col("seq") * 50).alias("n"), "bounds", "low", F.when(F.col("seq") == 0, F.col("stream")).alias("stream"), (F.col("n") <= (F.col("seq") + 1) * 50).alias("last"))
     path = new_path(spark, "requests")
     for k, part in enumerate(("seq < 2", "seq >= 2")):  # the later files hold what is asked for later
         requests.where(part).repartition(4, "stream_id").write.mode("append" if k else "errorifexists").parquet(path)
     stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 4).parquet(path)
-    got = windows.written_stream(windows.decoded_requests(stream), new_path(spark, "streams"), new_path(spark, "stream-state"))
+    buckets = max(1024, encoded.count() >> 13)  # a bucket's requests are in one task's memory
+    got = windows.written_stream(windows.decoded_requests(stream, buckets), new_path(spark, "streams"), new_path(spark, "stream-state"))
     supp = F.split("stream_id", ":")[0].cast("long").alias("supp")
     return got.groupBy(supp).agg(F.count("*").alias("n"), F.sum("sym").alias("total"))
 

@@ -60,25 +60,32 @@ def decoded_requests(requests: DataFrame, buckets: int = 1024) -> DataFrame:
     """(stream_id, i, sym) of a streaming or batch table of ``requests`` (stream_id, seq, n, bounds, low, stream): symbols of coded streams, asked for bit by bit.
 
     The first request of a stream brings its bytes; the state of a stream is those
-    bytes and the coder's place, so later requests go on where the last one ended.
-    Streams share ``buckets`` rows of state by hash, as a group of its own for each
-    small stream costs far more than its symbols; symbols go out some at a time.
+    that aren't read yet and the coder's place, so later requests go on where the
+    last one ended. Where requests have a column ``last``, a stream's state goes
+    with the request for which it is true: else state grows with all streams that
+    there ever were. Streams share ``buckets`` rows of state by hash, as a group of
+    its own for each small stream costs far more than its symbols; symbols go out
+    some at a time.
     """
     from ..operators.coder import LANES, Decoder
 
-    kind = dict(requests.dtypes)["stream_id"]
+    kind, told_last = dict(requests.dtypes)["stream_id"], "last" in requests.columns
+    columns = ["stream_id", "seq", "n", "low", "bounds", "stream", *["last"] * told_last]
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = {k: list(rest) for k, *rest in zip(*state.get, strict=True)} if state.exists else {}
-        told = [r for f in frames for r in zip(*(f[c].tolist() for c in ("stream_id", "seq", "n", "low", "bounds", "stream")), strict=True)]
+        kept = {k: rest for k, *rest in zip(*state.get, strict=True)} if state.exists else {}
+        told = [r for f in frames for r in zip(*(f[c].tolist() for c in columns), strict=True)]
         names, places, symbols, size = [], [], [], 0
-        for name, _, n, low, bounds, brought in sorted(told, key=lambda r: r[:2]):
-            own = kept.setdefault(name, [b"", "", 0, 0])
-            stream, x, at, done = own
-            stream = bytes(brought) if brought is not None and not len(stream) else bytes(stream)
-            coder = Decoder(stream, (int(x), at) if x else None)
+        for name, _, n, low, bounds, brought, *last in sorted(told, key=lambda r: r[:2]):
+            if name not in kept and brought is None:
+                raise ValueError(f"a request of stream {name} without its bytes")
+            stream, x, done = kept.get(name, (brought, 0, 0))
+            coder = Decoder(stream := bytes(stream), (int(x), 0) if x else None)
             found = coder.take(int(n), np.asarray(bounds).tolist(), int(low))
-            own[:] = stream, str(coder.state), coder.at, done + len(found)
+            if last and last[0]:
+                kept.pop(name, None)
+            else:
+                kept[name] = stream[4 * coder.at :], coder.state, done + len(found)
             names.append(np.full(len(found), name, dtype=object))
             places.append(np.arange(done, done + len(found)))
             symbols.append(np.array(found, dtype=np.int64))
@@ -86,10 +93,13 @@ def decoded_requests(requests: DataFrame, buckets: int = 1024) -> DataFrame:
             if size >= LANES:
                 yield pd.DataFrame({"stream_id": np.concatenate(names), "i": np.concatenate(places), "sym": np.concatenate(symbols)})
                 names, places, symbols, size = [], [], [], 0
-        state.update(tuple(list(c) for c in zip(*((k, *own) for k, own in kept.items()), strict=True)))
+        if kept:
+            state.update(tuple(list(c) for c in zip(*((k, *own) for k, own in kept.items()), strict=True)))
+        elif state.exists:
+            state.remove()
         if names:
             yield pd.DataFrame({"stream_id": np.concatenate(names), "i": np.concatenate(places), "sym": np.concatenate(symbols)})
 
     dealt = requests.withColumn("_bucket", F.pmod(F.xxhash64("stream_id"), F.lit(buckets)))
-    held = f"stream_id array<{kind}>, stream array<binary>, x array<string>, at array<long>, done array<long>"
+    held = f"stream_id array<{kind}>, stream array<binary>, x array<long>, done array<long>"
     return dealt.groupBy("_bucket").applyInPandasWithState(step, f"stream_id {kind}, i long, sym long", held, "append", GroupStateTimeout.NoTimeout)

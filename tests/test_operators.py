@@ -363,6 +363,29 @@ def test_requests_of_many_streams_share_their_state(spark, tmp_path):
     assert 0 < rows.count() <= 3
 
 
+def test_ended_streams_leave_no_state(spark, tmp_path):
+    """A stream's state goes with its last request; that of the others holds the bytes that aren't read yet."""
+    told = {f"s{k}": [(k * i) % 9 - 4 for i in range(5 + 30 * k)] for k in range(20)}
+    parts, size = ([], []), 0
+    for name, syms in told.items():
+        bounds, low = coder.bounds_of(np.array(syms))
+        stream = bytearray(coder.encode(syms, bounds, low))
+        ends = len(syms) <= 300
+        size += 0 if ends else len(stream)
+        parts[0].append((name, 0, min(300, len(syms)), bounds, low, stream, ends))
+        parts[1].extend([] if ends else [(name, 1, len(syms) - 300, bounds, low, None, True)])
+    schema = "stream_id string, seq long, n long, bounds array<int>, low long, stream binary, last boolean"
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        got = windows.written_stream(windows.decoded_requests(stream, 3), str(tmp_path / "out"), str(tmp_path / "state"))
+        held = spark.read.format("statestore").load(str(tmp_path / "state")).select(F.explode(F.arrays_zip("value.groupState.stream_id", "value.groupState.stream")).alias("s")).select("s.*").collect()
+        assert {r["stream_id"] for r in held} == ({n for n, syms in told.items() if len(syms) > 300} if k == 0 else set())
+        assert k or 0 < sum(len(r["stream"]) for r in held) < size / 2
+    back = {name: [r["sym"] for r in got.where(F.col("stream_id") == name).orderBy("i").collect()] for name in told}
+    assert back == told
+
+
 def test_ball_queries_are_those_of_all_pairs(spark, monkeypatch):
     """Crowded cells whose first points lie out of reach, lone points, queries elsewhere: by brute force, with few points in the first round."""
     monkeypatch.setattr(points, "FIRST_HELD", 4)
